@@ -1,0 +1,95 @@
+"""Catalogue tables on Parquet with replace-by-key.
+
+Rows live in ``data/bucket=…/version=…``. A write adds new versions of the
+buckets it touches and then publishes them in ``pointers``; readers follow the
+newest pointer of each bucket. A job that dies before publishing leaves the
+table as it was.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import SALT_BUCKETS, fits_broadcast
+
+
+class BucketedTable:
+    """A table whose rows are replaced by key, one bucket at a time."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 64):
+        self.spark, self.path, self.schema, self.key, self.buckets = (
+            spark,
+            path.rstrip("/"),
+            schema,
+            key,
+            buckets,
+        )
+
+    def bucket_of(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _load(self, folder: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def _pointers(self) -> DataFrame:
+        """Newest version of each bucket: never more rows than buckets."""
+        return (
+            self._load("pointers", "bucket int, version long")
+            .groupBy("bucket")
+            .agg(F.max("version").alias("version"))
+        )
+
+    def _rows(self) -> DataFrame:
+        stored = self._load("data", f"{self.schema}, bucket int, version long")
+        return stored.join(F.broadcast(self._pointers()), ["bucket", "version"], "left_semi")
+
+    def read(self) -> DataFrame:
+        return self._rows().drop("bucket", "version")
+
+    def read_buckets_of(self, keys: DataFrame) -> DataFrame:
+        """Current rows of the buckets that hold any of ``keys``."""
+        wanted = keys.select(self.bucket_of(F.col(self.key)).alias("bucket")).distinct()
+        return self._rows().join(F.broadcast(wanted), "bucket", "left_semi")
+
+    def replace(self, rows: DataFrame, touched: DataFrame, spread_by: str) -> None:
+        """Replace every row of the keys in ``touched`` by ``rows``.
+
+        ``touched`` lists keys even where they have no new row, so a key can be
+        emptied. ``spread_by`` varies within a key: a hot key is written by
+        several tasks.
+        """
+        version = self._next_version()
+        keys = touched.select(self.key).distinct()
+        side = F.broadcast(keys) if fits_broadcast(keys) else keys
+        kept = self.read_buckets_of(keys).drop("bucket", "version").join(side, self.key, "left_anti")
+        fresh = kept.unionByName(rows.select(*kept.columns)).withColumn(
+            "bucket", self.bucket_of(F.col(self.key))
+        )
+        salt = F.pmod(F.xxhash64(F.col(spread_by)), F.lit(SALT_BUCKETS))
+        (
+            fresh.withColumn("version", F.lit(version))
+            .repartition(F.col("bucket"), salt)
+            .write.mode("append")
+            .partitionBy("bucket", "version")
+            .parquet(f"{self.path}/data")
+        )
+        (
+            keys.select(self.bucket_of(F.col(self.key)).alias("bucket"))
+            .distinct()
+            .withColumn("version", F.lit(version))
+            .coalesce(1)
+            .write.mode("append")
+            .parquet(f"{self.path}/pointers")
+        )
+
+    def _next_version(self) -> int:
+        # one row: the highest version any bucket has
+        newest = self._pointers().agg(F.max("version")).first()[0]
+        return 1 + (newest or 0)
