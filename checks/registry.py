@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import library, searches, texts
+from . import curation, library, searches, texts
 
-MODULES = [texts, searches, library]
+MODULES = [texts, searches, library, curation]
 
 
 def queries() -> dict:

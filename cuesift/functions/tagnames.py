@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import collapse_space
 
@@ -20,9 +21,12 @@ def tag_display(raw: Column) -> Column:
     return F.when((name != "") & (F.length(name) <= MAX_TAG_LENGTH), name)
 
 
-@F.pandas_udf("string")
-def _nfkc(names: pd.Series) -> pd.Series:
-    return names.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
+def _nfkc(name: Column) -> Column:
+    # nested, so that it travels to the workers by value
+    def normalize(names: pd.Series) -> pd.Series:
+        return names.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
+
+    return F.pandas_udf(normalize, T.StringType())(name)
 
 
 def tag_key(name: Column) -> Column:

@@ -80,17 +80,6 @@ def prompts(assets: DataFrame, segments: DataFrame, wanted: DataFrame) -> DataFr
     )
 
 
-def _verdict(answer: dict) -> tuple[str | None, str | None]:
-    """Error code and message of an answer that cannot be used."""
-    if answer.get("stop_reason") == "refusal":
-        return UPSTREAM, "refused"
-    if answer.get("stop_reason") == "max_tokens":
-        return TOO_LARGE, "output was cut off"
-    if not (answer.get("body") or "").strip():
-        return UPSTREAM, "no content"
-    return None, None
-
-
 def transform_texts(
     ready: DataFrame,
     function: Callable[[str], dict],
@@ -105,13 +94,23 @@ def transform_texts(
     answers become failure rows.
     """
 
+    def verdict(answer: dict) -> tuple[str | None, str | None]:
+        """Error code and message of an answer that cannot be used."""
+        if answer.get("stop_reason") == "refusal":
+            return UPSTREAM, "refused"
+        if answer.get("stop_reason") == "max_tokens":
+            return TOO_LARGE, "output was cut off"
+        if not (answer.get("body") or "").strip():
+            return UPSTREAM, "no content"
+        return None, None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for asset_id, chars, prompt in batch.itertuples(index=False, name=None):
                 try:
                     answer = function(prompt)
-                    code, message = _verdict(answer)
+                    code, message = verdict(answer)
                 except Exception as error:  # one bad call must not end the job
                     answer, code, message = {}, UPSTREAM, str(error)
                 good = code is None
