@@ -216,18 +216,11 @@ def _diff(spark, sf_dir, completed):
     )
 
 
-_DIFF_COLUMNS = "directory_id, path_key, CASE WHEN change_type <> 'new' THEN old_asset_id END AS asset_id, fingerprint, change_type"
+_DIFF_COLUMNS = "directory_id, path_key, old_asset_id AS asset_id, fingerprint, change_type"
 
 
 def _comparable(diff):
-    # ids of new files are hashes; the other ids must survive
-    return diff.select(
-        "directory_id",
-        "path_key",
-        F.when(F.col("change_type") != "new", F.col("asset_id")).alias("asset_id"),
-        "fingerprint",
-        "change_type",
-    )
+    return diff.select("directory_id", "path_key", "asset_id", "fingerprint", "change_type")
 
 
 @check("manifest_diff", f"WITH {a.MANIFEST_SQL.format(completed='true')} SELECT {_DIFF_COLUMNS} FROM diff")
@@ -267,6 +260,27 @@ def manifest_applied(spark, sf_dir):
     return after.select("path_key", "fingerprint", "updated_at")
 
 
+@check(
+    "manifest_ids",
+    f"""WITH {a.MANIFEST_SQL.format(completed='true')},
+    fresh AS (SELECT count(*) AS n FROM diff WHERE change_type = 'new'),
+    old AS (SELECT max(asset_id) AS top FROM manifest_before)
+    SELECT n AS files, n AS ids, top AS first_free, top + n AS last_id FROM fresh, old""",
+)
+def manifest_ids(spark, sf_dir):
+    """New files get distinct consecutive ids after the highest old one."""
+    before = a.manifest_before(spark, sf_dir)
+    after = apply_diff(before.withColumn("updated_at", F.lit(0)), _diff(spark, sf_dir, F.lit(True)), 1)
+    old = before.agg(F.max("asset_id")).scalar()
+    fresh = after.where(F.col("asset_id") > old)
+    return fresh.agg(
+        F.count(F.lit(1)).alias("files"),
+        F.countDistinct("asset_id").alias("ids"),
+        F.max(old).alias("first_free"),
+        F.max("asset_id").alias("last_id"),
+    )
+
+
 @check(
     "scan_summary",
     f"""WITH {a.MANIFEST_SQL.format(completed='true')},
@@ -395,7 +409,7 @@ def run_outcomes(spark, sf_dir):
             F.when(long, "too large").alias("error_message"),
         )
     )
-    runs, sources = run_rows(outcomes, "parser-1+simplified", "file", 1)
+    runs, sources = run_rows(outcomes, "parser-1+simplified", "file", 1, F.lit(0))
     return runs.select("run_id", "asset_id", F.col("status").alias("run_status")).join(
         sources.select("run_id", F.col("status").alias("source_status"), "segment_count"), "run_id"
     ).drop("run_id")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import curation, library, searches, texts
+from . import curation, library, searches, streams, texts
 
-MODULES = [texts, searches, library, curation]
+MODULES = [texts, searches, library, curation, streams]
 
 
 def queries() -> dict:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import extraction_plan
+from .ids import number_rows
 
 EXTRACTION_FAILED = "EXTRACTION_FAILED"
 
@@ -38,13 +39,12 @@ def replace_segments(old: DataFrame, new: DataFrame, touched: DataFrame) -> Data
 
 
 def run_rows(
-    outcomes: DataFrame, label: str, source: str, now_ms: int
+    outcomes: DataFrame, label: str, source: str, now_ms: int, after: Column
 ) -> tuple[DataFrame, DataFrame]:
     """Run and source rows for ``outcomes(asset_id, fingerprint, segment_count,
-    skipped_reason, error_code, error_message)``."""
+    skipped_reason, error_code, error_message)``, numbered following ``after``."""
     failed = F.col("error_code").isNotNull()
-    run_id: Column = F.xxhash64("asset_id", F.lit(label), F.lit(now_ms))
-    staged = outcomes.withColumn("run_id", run_id)
+    staged = number_rows(outcomes, ["asset_id"], "run_id", after)
     runs = staged.select(
         "run_id",
         "asset_id",

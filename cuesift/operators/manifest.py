@@ -6,17 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import extension, file_kind, file_name, fingerprint, path_key
+from .ids import highest, number_rows
 
 MAX_REPORTED_ERRORS = 50
 
 NEW, CHANGED, UNCHANGED, REMOVED, KEPT = "new", "changed", "unchanged", "removed", "kept"
 
 
-def new_asset_id(key_column: str = "path_key"):
-    """Id of a file first seen now; the same on every retry, unlike a counter."""
-    return F.xxhash64("directory_id", key_column)
-
-
 def listed_files(listing: DataFrame, case_insensitive: bool = False) -> DataFrame:
     """Readable rows of ``listing(directory_id, path, size_bytes, mtime_ms[, error])``."""
     if "error" in listing.columns:
@@ -41,7 +37,8 @@ def diff_manifest(previous: DataFrame, files: DataFrame, scans: DataFrame) -> Da
     ``previous(asset_id, directory_id, path_key, path, fingerprint)`` is the
     catalogue, ``files`` comes from ``listed_files``, and
     ``scans(directory_id, completed)`` lists the directories walked. A file that
-    was not seen is removed only if its directory was walked to the end.
+    was not seen is removed only if its directory was walked to the end. New
+    files have no id yet; ``apply_diff`` gives them one.
     """
     supported = files.where(F.col("kind").isNotNull())
     before = previous.join(scans, "directory_id").select(
@@ -63,7 +60,7 @@ def diff_manifest(previous: DataFrame, files: DataFrame, scans: DataFrame) -> Da
     return both.select(
         "directory_id",
         "path_key",
-        F.coalesce("asset_id", new_asset_id()).alias("asset_id"),
+        "asset_id",
         F.coalesce("path", "old_path").alias("path"),
         "file_name",
         "ext",
@@ -76,7 +73,10 @@ def diff_manifest(previous: DataFrame, files: DataFrame, scans: DataFrame) -> Da
 
 
 def apply_diff(assets: DataFrame, diff: DataFrame, now_ms: int) -> DataFrame:
-    """The next asset table: ids survive, unscanned directories are untouched."""
+    """The next asset table: ids survive, unscanned directories are untouched.
+
+    New files are numbered after the highest id in use.
+    """
     columns = assets.columns
     removed = diff.where(F.col("change_type") == REMOVED).select("asset_id")
     changed = diff.where(F.col("change_type") == CHANGED)
@@ -98,7 +98,12 @@ def apply_diff(assets: DataFrame, diff: DataFrame, now_ms: int) -> DataFrame:
         "created_at": F.lit(now_ms),
         "updated_at": F.lit(now_ms),
     }
-    fresh = diff.where(F.col("change_type") == NEW)
+    fresh = number_rows(
+        diff.where(F.col("change_type") == NEW).drop("asset_id"),
+        ["directory_id", "path_key"],
+        "asset_id",
+        highest(assets, "asset_id"),
+    )
     added = fresh.select(
         *[
             F.col(c)

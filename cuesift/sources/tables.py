@@ -2,12 +2,14 @@
 
 Rows live in ``data/bucket=…/version=…``. A write adds new versions of the
 buckets it touches and then publishes them in ``pointers``; readers follow the
-newest pointer of each bucket. A job that dies before publishing leaves the
-table as it was.
+newest pointer of each bucket. Versions have unique names, so what a job that
+died before publishing left behind is never read. One writer at a time.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,13 +43,16 @@ class BucketedTable:
     def _pointers(self) -> DataFrame:
         """Newest version of each bucket: never more rows than buckets."""
         return (
-            self._load("pointers", "bucket int, version long")
+            self._load("pointers", "bucket int, version string, generation long")
             .groupBy("bucket")
-            .agg(F.max("version").alias("version"))
+            .agg(
+                F.max_by("version", "generation").alias("version"),
+                F.max("generation").alias("generation"),
+            )
         )
 
     def _rows(self) -> DataFrame:
-        stored = self._load("data", f"{self.schema}, bucket int, version long")
+        stored = self._load("data", f"{self.schema}, bucket int, version string")
         return stored.join(F.broadcast(self._pointers()), ["bucket", "version"], "left_semi")
 
     def read(self) -> DataFrame:
@@ -65,7 +70,9 @@ class BucketedTable:
         emptied. ``spread_by`` varies within a key: a hot key is written by
         several tasks.
         """
-        version = self._next_version()
+        version = uuid.uuid4().hex
+        # one row: the highest generation any bucket has
+        generation = 1 + (self._pointers().agg(F.max("generation")).first()[0] or 0)
         keys = touched.select(self.key).distinct()
         side = F.broadcast(keys) if fits_broadcast(keys) else keys
         kept = self.read_buckets_of(keys).drop("bucket", "version").join(side, self.key, "left_anti")
@@ -84,12 +91,8 @@ class BucketedTable:
             keys.select(self.bucket_of(F.col(self.key)).alias("bucket"))
             .distinct()
             .withColumn("version", F.lit(version))
+            .withColumn("generation", F.lit(generation).cast("long"))
             .coalesce(1)
             .write.mode("append")
             .parquet(f"{self.path}/pointers")
         )
-
-    def _next_version(self) -> int:
-        # one row: the highest version any bucket has
-        newest = self._pointers().agg(F.max("version")).first()[0]
-        return 1 + (newest or 0)
