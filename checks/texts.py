@@ -269,12 +269,14 @@ def decode_round_trip(spark, sf_dir):
 def trigram_index(spark, sf_dir):
     """The whole index, summed per gram to compare it."""
     postings = trigram_postings(a.segments(spark, sf_dir))
-    total = F.aggregate("positions", F.lit(0).cast("long"), lambda s, p: s + p)
-    return postings.groupBy("gram").agg(
+    per_segment = postings.groupBy("gram", "segment_id").agg(
+        F.count(F.lit(1)).alias("tf"), F.sum("position").alias("spots")
+    )
+    return per_segment.groupBy("gram").agg(
         F.count(F.lit(1)).alias("segments"),
         F.sum("tf").alias("occurrences"),
-        F.sum(total).alias("position_sum"),
-        F.max("tf").cast("long").alias("max_tf"),
+        F.sum("spots").alias("position_sum"),
+        F.max("tf").alias("max_tf"),
         F.min("segment_id").alias("first_segment"),
     )
 

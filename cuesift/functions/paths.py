@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bind
 from .text import trim_space
 
 # Extensions the catalogue accepts, by kind of file.
@@ -52,16 +53,23 @@ def path_key(path: Column, case_insensitive: bool = False) -> Column:
     ``case_insensitive`` selects the rules of a drive-letter file system:
     either separator, drive and share prefixes, lower-cased.
     """
-    trimmed = trim_space(path)
-    if not case_insensitive:
-        absolute = F.startswith(trimmed, F.lit("/"))
-        body = F.array_join(_resolve_dots(F.split(trimmed, "/"), absolute), "/")
-        full = F.when(absolute, F.concat(F.lit("/"), body)).otherwise(
-            F.when(body == "", F.lit(".")).otherwise(body)
-        )
-        return F.when(trimmed == "", F.lit("")).otherwise(_strip_tail(full))
+    if case_insensitive:
+        return bind(F.translate(trim_space(path), "/", "\\"), _drive_key)
+    return bind(trim_space(path), _plain_key)
+
+
+def _plain_key(trimmed: Column) -> Column:
+    absolute = F.startswith(trimmed, F.lit("/"))
+    body = F.array_join(_resolve_dots(F.split(trimmed, "/"), absolute), "/")
+    full = F.when(absolute, F.concat(F.lit("/"), body)).otherwise(
+        F.when(body == "", F.lit(".")).otherwise(body)
+    )
+    # most paths are already in normal form, and one look tells
+    settled = ~trimmed.rlike(r"//|(?:\A|/)\.{1,2}(?:/|\z)|[\\/]\z")
+    return F.when((trimmed == "") | settled, trimmed).otherwise(bind(full, _strip_tail))
+
 
-    slashed = F.translate(trimmed, "/", "\\")
+def _drive_key(slashed: Column) -> Column:
     share = F.regexp_extract(slashed, r"\A(\\\\[^\\]+\\+[^\\]+)", 1)
     drive = F.regexp_extract(slashed, r"\A([a-zA-Z]:)", 1)
     device = F.when(share != "", share).otherwise(drive)
@@ -70,7 +78,7 @@ def path_key(path: Column, case_insensitive: bool = False) -> Column:
     body = F.array_join(_resolve_dots(F.split(rest, r"\\"), absolute), "\\")
     tail = F.when((body == "") & ~absolute, F.lit(".")).otherwise(body)
     full = F.concat(device, F.when(absolute, F.lit("\\")).otherwise(F.lit("")), tail)
-    return F.when(trimmed == "", F.lit("")).otherwise(F.lower(_strip_tail(full)))
+    return F.when(slashed == "", slashed).otherwise(F.lower(bind(full, _strip_tail)))
 
 
 def file_name(path: Column) -> Column:

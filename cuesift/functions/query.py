@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, trim_space
+from .text import SPACE, pieces, trim_space
 
 MAX_QUERY_LENGTH = 200
 GRAM_LENGTH = 3
@@ -21,7 +21,7 @@ _SEPARATORS = rf"[{SPACE}\u200b-\u200d]+"
 
 def split_terms(raw: Column) -> Column:
     """Non-empty words of a query."""
-    return F.filter(F.split(raw, _SEPARATORS), lambda word: word != "")
+    return F.filter(pieces(raw, _SEPARATORS), lambda word: word != "")
 
 
 def distinct_terms(raw: Column) -> Column:

@@ -12,12 +12,37 @@ from pyspark.sql import functions as F
 # Fixed value: the characters that count as whitespace, for use inside [...].
 SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
+# The same characters, spelled out for the trimming functions.
+_SPACE_CHARS = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_CUT = "\ufdd1"
+
+
 def trim_space(col: Column) -> Column:
     """Strip leading and trailing whitespace of every kind."""
-    return F.regexp_replace(col, rf"\A[{SPACE}]+|(?<![{SPACE}])[{SPACE}]++\z", "")
+    return F.btrim(col, F.lit(_SPACE_CHARS))
+
+
+def pieces(col: Column, pattern: str) -> Column:
+    """Split at a pattern.
+
+    ``split`` compiles its pattern again for every row, ``regexp_replace`` keeps
+    it; so the cuts are marked first, with a character that is no text, and
+    splitting at one plain character needs no pattern.
+    """
+    return F.split(F.regexp_replace(col, pattern, _CUT), _CUT)
+
+
+def lines_of(col: Column) -> Column:
+    """Split at CRLF, CR or LF."""
+    unix = F.replace(col, F.lit("\r\n"), F.lit("\n"))
+    return F.split(F.translate(unix, "\r", "\n"), "\n")
 
 
 def collapse_space(col: Column) -> Column:

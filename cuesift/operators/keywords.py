@@ -30,19 +30,21 @@ STOPWORDS = """
 的话 的人 的事 的时候 那种 这种 只是 就是 而是 不能
 """.split()
 
+# Code point of the line feed that stands for any character outside a word.
+_OUTSIDE = 10
+
 # Candidates per asset examined in one round of the greedy choice.
 _ROUND = 256
 
 
-def _windows(text: Column, size: int, chars: str) -> Column:
+def _windows(framed: Column, size: int) -> Column:
     """Every word of ``size`` characters with the character on either side.
 
-    The text is framed by line feeds, so a missing neighbour is simply a
-    character outside the class.
+    In ``framed`` every character outside the class is a line feed, and so are
+    both ends.
     """
-    framed = F.concat(F.lit("\n"), text, F.lit("\n"))
     found = F.regexp_extract_all(
-        framed, F.lit(rf"(?s)(?=(.[{chars}]{{{size}}}.))."), F.lit(1)
+        framed, F.lit(rf"(?s)(?=(.[^\n]{{{size}}}.))."), F.lit(1)
     )
     return F.transform(
         found,
@@ -55,22 +57,25 @@ def ngram_stats(segments: DataFrame, chars: str = HAN) -> DataFrame:
 
     A side is varied when it shows two different characters, that is when the
     smallest and the largest differ: plain minimum and maximum, combined before
-    the shuffle. ``first_seen`` orders words of one length by appearance.
+    the shuffle. Neighbours are kept as code points, which hash aggregation can
+    update in place. ``first_seen`` orders words of one length by appearance.
     """
     sizes = range(MIN_LENGTH, MAX_LENGTH + 1)
-    found = F.concat(*[_windows(F.col("text"), size, chars) for size in sizes])
-    rows = segments.select("asset_id", "ordinal", F.inline(found))
-    in_class = rf"[{chars}]"
+    plain = F.regexp_replace("text", rf"[^{chars}]", "\n")
+    framed = segments.select(
+        "asset_id", "ordinal", F.concat(F.lit("\n"), plain, F.lit("\n")).alias("framed")
+    )
+    found = F.concat(*[_windows(F.col("framed"), size) for size in sizes])
+    rows = framed.select("asset_id", "ordinal", F.inline(found))
 
-    def neighbour(at: Column) -> Column:
-        char = F.substring(F.col("w"), at, F.lit(1))
-        return F.when(char.rlike(in_class), char)
+    def neighbour(char: Column) -> Column:
+        return F.nullif(F.ascii(char), F.lit(_OUTSIDE))
 
     words = rows.select(
         "asset_id",
         F.substring(F.col("w"), F.lit(2), F.col("size")).alias("word"),
-        neighbour(F.lit(1)).alias("before"),
-        neighbour(F.col("size") + 2).alias("after"),
+        neighbour(F.col("w")).alias("before"),
+        neighbour(F.substring("w", -1, 1)).alias("after"),
         # ordinal and match number in one sortable number
         (F.shiftleft(F.col("ordinal").cast("long"), 24) + F.col("at")).alias("seen"),
     )

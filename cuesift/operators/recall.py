@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_fold, contains_literal
-from ..session import fits_broadcast, salted_join
+from ..session import cut_lineage, fits_broadcast, salted_join
 from .bm25 import score_hits
 from .matching import match_terms
 from .trigram import phrase_hits, scan_hits, segment_stats, term_covers
@@ -90,11 +90,15 @@ def short_terms(terms: DataFrame) -> DataFrame:
 def term_hits(
     segments: DataFrame, terms: DataFrame, postings: DataFrame | None = None
 ) -> DataFrame:
-    """Whole-term matches of long terms, through the index where there is one."""
+    """Whole-term matches of long terms, through the index where there is one.
+
+    Scoring reads the matches twice, for the weights and for the scores. Those
+    of a scan are written out in between, so the text is scanned once.
+    """
     if postings is not None:
         return phrase_hits(postings, term_covers(terms))
     texts = segments.select("segment_id", "asset_id", "text")
-    return scan_hits(match_terms(texts, "text", "segment_id", terms, F.lower))
+    return cut_lineage(scan_hits(match_terms(texts, "text", "segment_id", terms, F.lower)))
 
 
 def recall_ranked(

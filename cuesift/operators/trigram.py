@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bind import bind
 from ..functions.query import GRAM_LENGTH
 from ..session import SALT_BUCKETS, fits_broadcast, salted_join
 from .matching import grams
 
-POSTINGS = (
-    "gram string, segment_id long, asset_id long, n_grams int, tf int, positions array<int>"
-)
+POSTINGS = "gram string, segment_id long, asset_id long, n_grams int, position int"
 # Grams pushed into the scan of a stored index as literals.
 _PUSHED_GRAMS = 1024
 
@@ -22,47 +19,19 @@ def gram_count(text: Column) -> Column:
     return F.greatest(F.length(text) - (GRAM_LENGTH - 1), F.lit(0))
 
 
-def _runs(found: Column) -> Column:
-    """``array<struct<gram, positions>>`` from the grams of one text.
-
-    Sorting brings equal grams together, so they are grouped inside the row and
-    the index is built without a shuffle.
-    """
-    ordered = F.array_sort(
-        F.transform(found, lambda gram, i: F.struct(gram.alias("gram"), i.alias("at")))
-    )
-
-    def group(items: Column) -> Column:
-        first = F.filter(
-            F.sequence(F.lit(0), F.size(items) - 1),
-            lambda i: (i == 0) | (F.get(items, i)["gram"] != F.get(items, i - 1)["gram"]),
-        )
-        return bind(first, lambda starts: F.transform(starts, lambda lo, j: run(items, starts, lo, j)))
-
-    def run(items: Column, starts: Column, lo: Column, j: Column) -> Column:
-        stop = F.coalesce(F.get(starts, j + 1), F.size(items))
-        return F.struct(
-            F.get(items, lo)["gram"].alias("gram"),
-            F.transform(F.slice(items, lo + 1, stop - lo), lambda e: e["at"]).alias("positions"),
-        )
-
-    return bind(ordered, group)
-
-
 def trigram_postings(segments: DataFrame) -> DataFrame:
-    """One row per gram and segment, with its positions; a pure projection."""
-    long_enough = segments.where(F.length("text") >= GRAM_LENGTH)
-    runs = F.explode(_runs(grams(F.lower(F.col("text")), GRAM_LENGTH)))
-    return long_enough.select(
-        "segment_id", "asset_id", gram_count(F.col("text")).alias("n_grams"), runs.alias("run")
-    ).select(
-        F.col("run.gram").alias("gram"),
+    """One row per gram occurrence; a pure projection without a shuffle."""
+    return segments.select(
         "segment_id",
         "asset_id",
-        "n_grams",
-        F.size("run.positions").alias("tf"),
-        F.col("run.positions").alias("positions"),
-    )
+        gram_count(F.col("text")).alias("n_grams"),
+        F.posexplode(grams(F.lower(F.col("text")), GRAM_LENGTH)).alias("position", "gram"),
+    ).select("gram", "segment_id", "asset_id", "n_grams", "position")
+
+
+def gram_frequencies(postings: DataFrame) -> DataFrame:
+    """``gram, segment_id, tf``: occurrences of each gram in each segment."""
+    return postings.groupBy("gram", "segment_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def segment_stats(segments: DataFrame) -> DataFrame:
@@ -83,7 +52,7 @@ def write_postings(postings: DataFrame, path: str, buckets: int = 64, splits: in
     (
         postings.withColumn("gram_bucket", _gram_bucket(buckets))
         .repartition(F.col("gram_bucket"), split)
-        .sortWithinPartitions("gram_bucket", "gram", "segment_id")
+        .sortWithinPartitions("gram_bucket", "gram", "segment_id", "position")
         .write.mode("overwrite")
         .partitionBy("gram_bucket")
         .parquet(path)
@@ -130,30 +99,22 @@ def term_covers(terms: DataFrame) -> DataFrame:
 def phrase_hits(postings: DataFrame, covers: DataFrame) -> DataFrame:
     """``folded, segment_id, asset_id, n_grams, tf`` of every whole-term match.
 
-    The grams of a term must stand at matching positions, so the text itself is
-    not read. A group is one term in one segment: at most 67 rows.
+    Each gram proposes where its term would start; a start that every gram of
+    the cover proposes is an occurrence, so the text itself is not read. Both
+    groupings count, and are combined before they are shuffled.
     """
-    if fits_broadcast(covers):
-        met = postings.join(F.broadcast(covers), "gram")
+    asked = covers.select("folded", "n_cover", "offset", "gram")
+    if fits_broadcast(asked):
+        met = postings.join(F.broadcast(asked), "gram")
     else:
-        met = salted_join(postings, covers, ["gram"], "inner", F.col("segment_id"))
-    grouped = (
-        met.groupBy("folded", "n_cover", "segment_id", "asset_id", "n_grams")
-        .agg(F.collect_list(F.struct("offset", "positions")).alias("parts"))
-        .where(F.size("parts") == F.col("n_cover"))
-    )
-
-    def starts_term(parts: Column, at: Column) -> Column:
-        base = at - F.get(parts, 0)["offset"]
-        return F.forall(parts, lambda p: F.array_contains(p["positions"], base + p["offset"]))
-
-    parts = F.col("parts")
-    tf = F.when(F.col("n_cover") == 1, F.size(F.get(parts, 0)["positions"])).otherwise(
-        F.size(F.filter(F.get(parts, 0)["positions"], lambda at: starts_term(parts, at)))
-    )
-    return grouped.select("folded", "segment_id", "asset_id", "n_grams", tf.alias("tf")).where(
-        F.col("tf") > 0
+        met = salted_join(postings, asked, ["gram"], "inner", F.col("segment_id"))
+    place = ["folded", "segment_id", "asset_id", "n_grams"]
+    starts = (
+        met.groupBy(*place, "n_cover", (F.col("position") - F.col("offset")).alias("start"))
+        .agg(F.count(F.lit(1)).alias("proposed"))
+        .where(F.col("proposed") == F.col("n_cover"))
     )
+    return starts.groupBy(*place).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def scan_hits(matched: DataFrame) -> DataFrame:

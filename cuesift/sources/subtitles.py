@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bind import bind
 from ..functions.media import clock_ms
-from ..functions.text import SPACE, collapse_space, trim_space
+from ..functions.text import SPACE, collapse_space, lines_of, pieces, trim_space
 
 # Whitespace that may stand inside a line: everything but the line feed.
 _BLANK = rf"[{SPACE}&&[^\n]]"
@@ -22,7 +22,7 @@ _TIME = (
 )
 _ASIDE = rf"{_BLANK}*(?:NOTE|STYLE|REGION)(?![A-Za-z0-9_])"
 _CUE_START = rf"(?md)^(?!{_ASIDE})(?=.*{_TIME})"
-_CUE_CLOSE = rf"\n(?={_BLANK}*+(?:\n|\z)|{_ASIDE})"
+_CUE_CLOSE = rf"(?s)\n(?={_BLANK}*+(?:\n|\z)|{_ASIDE}).*"
 
 _SECTION_START = rf"(?md)^(?={_BLANK}*\[.+\]{_BLANK}*$)"
 _SECTION_NAME = rf"(?d)\A{_BLANK}*\[(.+)\]{_BLANK}*(?:\n|\z)"
@@ -55,7 +55,8 @@ def clean_cue(raw: Column, html: bool) -> Column:
             text = F.replace(text, F.lit(entity), F.lit(char))
         # last, so that an escaped entity is not decoded twice
         text = F.replace(text, F.lit("&amp;"), F.lit("&"))
-    parts = F.transform(F.split(text, r"\r\n|\r|\n|\\[Nn]"), trim_space)
+    text = F.replace(F.replace(text, F.lit(r"\N"), F.lit("\n")), F.lit(r"\n"), F.lit("\n"))
+    parts = F.transform(lines_of(text), trim_space)
     joined = F.array_join(F.filter(parts, lambda part: part != ""), "\n")
     joined = F.regexp_replace(joined, rf"(?<={_UNSPACED})\n(?={_UNSPACED})", "")
     return collapse_space(joined)
@@ -72,13 +73,16 @@ def timed_cues(content: Column) -> Column:
     line. A trailing index line left by a missing blank line is dropped.
     """
     blocks = F.filter(
-        F.split(_unix_lines(content), _CUE_START),
+        pieces(_unix_lines(content), _CUE_START),
         lambda block: block.rlike(rf"(?d)\A(?!{_ASIDE}).*{_TIME}"),
     )
 
     def cue(block: Column) -> Column:
-        stamp = [F.regexp_extract(block, _TIME, i) for i in range(1, 9)]
-        lines = F.get(F.split(F.regexp_replace(block, r"(?d)\A.*", ""), _CUE_CLOSE, 2), 0)
+        range_text = F.regexp_replace(F.regexp_extract(block, _TIME, 0), r"[^0-9]+", " ")
+        return bind(F.split(range_text, " "), lambda part: timed(block, [part[i] for i in range(8)]))
+
+    def timed(block: Column, stamp: list[Column]) -> Column:
+        lines = F.regexp_replace(F.regexp_replace(block, r"(?d)\A.*", ""), _CUE_CLOSE, "")
         lines = F.regexp_replace(lines, rf"(?<=[^\n])\n{_BLANK}*+\d++{_BLANK}*+\z", "")
         return F.struct(
             clean_cue(lines, html=True).alias("text"),
@@ -101,7 +105,7 @@ def event_cues(content: Column) -> Column:
     The Format line names the columns and stays in force until the next one;
     the text column takes the rest of the line, commas included.
     """
-    sections = F.split(_unix_lines(content), _SECTION_START)
+    sections = pieces(_unix_lines(content), _SECTION_START)
     events = F.filter(
         sections,
         lambda s: F.lower(trim_space(F.regexp_extract(s, _SECTION_NAME, 1))) == "events",
@@ -155,7 +159,7 @@ def event_cues(content: Column) -> Column:
         )
 
     cues = bind(
-        F.split(body, _FORMAT_START),
+        pieces(body, _FORMAT_START),
         lambda blocks: bind(
             F.aggregate(blocks, start, next_layout), lambda layouts: all_cues(blocks, layouts)
         ),

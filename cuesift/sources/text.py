@@ -15,7 +15,7 @@ from ..functions.paths import (
     TEXT_EXTENSIONS,
     TIMED_CUE_EXTENSIONS,
 )
-from ..functions.text import SPACE, trim_space
+from ..functions.text import SPACE, lines_of, trim_space
 from ..schemas import PARSED
 from .subtitles import event_cues, timed_cues
 
@@ -39,7 +39,7 @@ def _drop_blank(lines: Column) -> Column:
 
 def text_lines(content: Column) -> Column:
     """Trimmed non-blank lines; over-long ones are cut near whitespace."""
-    lines = _drop_blank(F.split(content, r"\r\n|\r|\n"))
+    lines = _drop_blank(lines_of(content))
     return F.flatten(
         F.transform(
             lines,
