@@ -16,12 +16,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks import adapters, registry, searches  # noqa: E402
 
-from cuesift.operators.recall import long_terms  # noqa: E402
-from cuesift.operators.terms import normalize_queries, query_terms  # noqa: E402
+from cuesift.operators.terms import load_terms, normalize_queries  # noqa: E402
 from cuesift.operators.trigram import (  # noqa: E402
     read_postings,
     segment_stats,
-    term_covers,
     trigram_postings,
     write_postings,
 )
@@ -111,8 +109,8 @@ def stored_index(spark, sf_dir: str) -> dict[str, float]:
     segment_stats(segments).write.parquet(f"{folder}/stats")
 
     def page(query: str):
-        terms = long_terms(query_terms(normalize_queries(one_query(spark, query))))
-        postings = read_postings(spark, f"{folder}/postings", term_covers(terms), buckets=8)
+        terms = load_terms(normalize_queries(one_query(spark, query))).long()
+        postings = read_postings(spark, f"{folder}/postings", terms, buckets=8)
         kept = Catalogue(
             found.assets, segments, found.tags, found.asset_tags, postings,
             spark.read.parquet(f"{folder}/stats"),

@@ -10,9 +10,7 @@ from cuesift.operators.bm25 import score_hits
 from cuesift.operators.matching import match_terms
 from cuesift.operators.ranking import top_segments
 from cuesift.operators.recall import (
-    fold_terms,
     hit_counts,
-    long_terms,
     merge_recalls,
     merge_segments,
     recall_like,
@@ -21,7 +19,7 @@ from cuesift.operators.recall import (
     recall_tags,
     term_hits,
 )
-from cuesift.operators.terms import normalize_queries, query_terms
+from cuesift.operators.terms import load_terms, normalize_queries, query_terms
 from cuesift.operators.trigram import segment_stats, trigram_postings
 from cuesift.plans.search import one_query, page_snippets, search, search_page, search_totals
 
@@ -114,11 +112,11 @@ _BATCH_BODY = f"WITH {a.SEGMENTS_SQL}, {a.QUERIES_SQL}, {_RECALL}"
 
 
 def _terms(spark):
-    return query_terms(normalize_queries(one_query(spark, FLAGSHIP)))
+    return load_terms(normalize_queries(one_query(spark, FLAGSHIP)))
 
 
 def _batch_terms(spark, sf_dir):
-    return query_terms(normalize_queries(a.queries(spark, sf_dir)))
+    return load_terms(normalize_queries(a.queries(spark, sf_dir)))
 
 
 def _six(column):
@@ -238,7 +236,7 @@ def recall_segments_scan(spark, sf_dir):
 )
 def recall_segments_indexed(spark, sf_dir):
     segments = a.segments(spark, sf_dir)
-    wanted = long_terms(_batch_terms(spark, sf_dir))
+    wanted = _batch_terms(spark, sf_dir).long()
     hits = term_hits(segments, wanted, trigram_postings(segments))
     return hits.withColumn("tf", F.col("tf").cast("long"))
 
@@ -249,7 +247,7 @@ def recall_segments_indexed(spark, sf_dir):
 )
 def recall_segments_matched(spark, sf_dir):
     """The same rows without an index."""
-    wanted = long_terms(_batch_terms(spark, sf_dir))
+    wanted = _batch_terms(spark, sf_dir).long()
     hits = term_hits(a.segments(spark, sf_dir), wanted)
     return hits.withColumn("tf", F.col("tf").cast("long"))
 
@@ -260,7 +258,7 @@ def recall_segments_matched(spark, sf_dir):
 )
 def bm25_segments(spark, sf_dir):
     segments = a.segments(spark, sf_dir)
-    wanted = long_terms(_batch_terms(spark, sf_dir))
+    wanted = _batch_terms(spark, sf_dir).long()
     scored = score_hits(term_hits(segments, wanted), segment_stats(segments), wanted)
     return scored.select("folded", "segment_id", _six("score").alias("score"))
 
@@ -423,12 +421,12 @@ def search_snippets(spark, sf_dir):
 def recall_eval_query(spark, sf_dir):
     """How much of the substring truth each way of cutting text finds."""
     segments = a.segments(spark, sf_dir)
-    wanted = fold_terms(_batch_terms(spark, sf_dir))
+    wanted = _batch_terms(spark, sf_dir).of_labels()
     truth = match_terms(segments.select("segment_id", "text"), "text", "segment_id", wanted, F.lower)
-    distinct = wanted.select("folded").distinct()
+    distinct = wanted.distinct()
     methods = {
         "index": term_hits(segments, wanted, trigram_postings(segments)),
         "word": quality.token_hits(segments, distinct, quality.words),
         "bigram": quality.token_hits(segments, distinct, quality.runs_of(2)),
     }
-    return quality.recall_eval(truth, methods, wanted).withColumn("recall", F.round("recall", 6))
+    return quality.recall_eval(truth, methods, distinct).withColumn("recall", F.round("recall", 6))

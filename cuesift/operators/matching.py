@@ -10,10 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.query import GRAM_LENGTH
-from ..session import fits_broadcast, salted_join
-
-# Up to this many distinct terms are written into the plan as literals.
-LITERAL_TERMS = 64
+from ..session import salted_join
+from .terms import LITERAL_TERMS, Terms
 
 
 def grams(folded: Column, size: int) -> Column:
@@ -21,31 +19,25 @@ def grams(folded: Column, size: int) -> Column:
     return F.regexp_extract_all(folded, F.lit(rf"(?s)(?=(.{{{size}}}))."), F.lit(1))
 
 
-def few_terms(terms: DataFrame, limit: int = LITERAL_TERMS) -> list[str] | None:
-    """The distinct terms, if there are few; reads at most ``limit + 1``."""
-    rows = terms.select("folded").distinct().limit(limit + 1).collect()
-    return sorted(row[0] for row in rows) if len(rows) <= limit else None
-
-
 def match_terms(
     texts: DataFrame,
     text: str,
     key: str,
-    terms: DataFrame,
+    terms: Terms,
     fold: Callable[[Column], Column],
     literal_limit: int = LITERAL_TERMS,
 ) -> DataFrame:
-    """Rows of ``texts`` paired with each distinct ``terms.folded`` they contain.
+    """Rows of ``texts`` paired with each distinct ``folded`` term they contain.
 
     Few terms become literal substring tests in the scan. More terms are looked
     up by equality: each text offers its short character runs, each term asks
     for one of them, and the pairs that meet are verified on the whole text.
     ``key`` identifies a text.
     """
-    literals = few_terms(terms, literal_limit)
+    literals = terms.literals(literal_limit)
     if literals is not None:
         return _match_literals(texts, text, literals, fold)
-    return _match_grams(texts, text, key, terms.select("folded").distinct(), fold)
+    return _match_grams(texts, text, key, terms, fold)
 
 
 def _match_literals(
@@ -61,9 +53,9 @@ def _match_literals(
 
 
 def _match_grams(
-    texts: DataFrame, text: str, key: str, terms: DataFrame, fold: Callable[[Column], Column]
+    texts: DataFrame, text: str, key: str, terms: Terms, fold: Callable[[Column], Column]
 ) -> DataFrame:
-    probes = terms.withColumn(
+    probes = terms.distinct().withColumn(
         "__gram",
         F.when(F.length("folded") <= GRAM_LENGTH, F.col("folded")).otherwise(
             F.substring("folded", 1, GRAM_LENGTH)
@@ -72,7 +64,7 @@ def _match_grams(
     # at most three values: the lengths of the runs to offer
     sizes = sorted(r[0] for r in probes.select(F.length("__gram")).distinct().collect())
     offered = F.array_distinct(F.concat(*[grams(fold(F.col(text)), size) for size in sizes]))
-    if fits_broadcast(terms):
+    if terms.few:
         met = texts.withColumn("__gram", F.explode(offered)).join(F.broadcast(probes), "__gram")
     else:
         pairs = salted_join(

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_fold, contains_literal
-from ..session import cut_lineage, fits_broadcast, salted_join
+from ..session import cut_lineage, salted_join
 from .bm25 import score_hits
 from .matching import match_terms
-from .trigram import phrase_hits, scan_hits, segment_stats, term_covers
+from .terms import QueryTerms, Terms
+from .trigram import phrase_hits, scan_hits, segment_stats
 
 
 def filter_assets(
@@ -26,27 +27,14 @@ def filter_assets(
     return assets
 
 
-def fold_terms(terms: DataFrame) -> DataFrame:
-    return terms.withColumn("folded", F.lower("term"))
-
-
-def ask_for(pairs: DataFrame, terms: DataFrame, spread_by: str) -> DataFrame:
-    """Return text-term pairs to the queries that asked for the term."""
-    asked = terms.select("folded", "query_id", "term")
-    if fits_broadcast(asked):
-        return pairs.join(F.broadcast(asked), "folded")
-    return salted_join(pairs, asked, ["folded"], "inner", F.col(spread_by))
-
-
-def _label_hits(labels: DataFrame, text: str, key: str, terms: DataFrame) -> DataFrame:
+def _label_hits(labels: DataFrame, text: str, key: str, terms: Terms) -> DataFrame:
     """``query_id, <key>, matched_text, term`` for short texts such as names.
 
     A text is recalled when some term matches under ASCII folding; it then
     counts every term that matches under full case folding.
     """
-    folded = fold_terms(terms)
-    pairs = match_terms(labels.select(key, text), text, key, folded, F.lower)
-    hits = ask_for(pairs, folded, key).withColumn(
+    pairs = match_terms(labels.select(key, text), text, key, terms, F.lower)
+    hits = terms.asked_by(pairs, key).withColumn(
         "__plain", contains_literal(F.col(text), F.col("term"))
     )
     return (
@@ -57,20 +45,20 @@ def _label_hits(labels: DataFrame, text: str, key: str, terms: DataFrame) -> Dat
     )
 
 
-def recall_names(assets: DataFrame, terms: DataFrame) -> DataFrame:
+def recall_names(assets: DataFrame, terms: QueryTerms) -> DataFrame:
     """``query_id, asset_id, matched_text, term`` from file names."""
-    return _label_hits(assets, "file_name", "asset_id", terms)
+    return _label_hits(assets, "file_name", "asset_id", terms.of_labels())
 
 
 def recall_tags(
-    tags: DataFrame, asset_tags: DataFrame, assets: DataFrame, terms: DataFrame
+    tags: DataFrame, asset_tags: DataFrame, assets: DataFrame, terms: QueryTerms
 ) -> DataFrame:
     """``query_id, asset_id, matched_text, term`` from the tags of assets.
 
     Names are matched once per tag; a tag on a third of all assets is joined
     in salted shares.
     """
-    hits = _label_hits(tags, "name", "tag_id", terms)
+    hits = _label_hits(tags, "name", "tag_id", terms.of_labels())
     links = asset_tags.select("asset_id", "tag_id").join(
         assets.select("asset_id"), "asset_id", "left_semi"
     )
@@ -78,17 +66,8 @@ def recall_tags(
     return joined.select("query_id", "asset_id", "matched_text", "term").distinct()
 
 
-def long_terms(terms: DataFrame) -> DataFrame:
-    return fold_terms(terms.where(F.col("path") == "fts"))
-
-
-def short_terms(terms: DataFrame) -> DataFrame:
-    like = terms.where(F.col("path") == "like")
-    return like.withColumn("folded", ascii_fold(F.col("term")))
-
-
 def term_hits(
-    segments: DataFrame, terms: DataFrame, postings: DataFrame | None = None
+    segments: DataFrame, terms: Terms, postings: DataFrame | None = None
 ) -> DataFrame:
     """Whole-term matches of long terms, through the index where there is one.
 
@@ -96,33 +75,32 @@ def term_hits(
     of a scan are written out in between, so the text is scanned once.
     """
     if postings is not None:
-        return phrase_hits(postings, term_covers(terms))
+        return phrase_hits(postings, terms)
     texts = segments.select("segment_id", "asset_id", "text")
     return cut_lineage(scan_hits(match_terms(texts, "text", "segment_id", terms, F.lower)))
 
 
 def recall_ranked(
     segments: DataFrame,
-    terms: DataFrame,
+    terms: QueryTerms,
     postings: DataFrame | None = None,
     stats: DataFrame | None = None,
 ) -> DataFrame:
     """``query_id, asset_id, segment_id, rank`` for terms of three or more characters."""
-    wanted = long_terms(terms)
+    wanted = terms.long()
     hits = term_hits(segments, wanted, postings)
     stats = segment_stats(segments) if stats is None else stats
-    asked = ask_for(score_hits(hits, stats, wanted), wanted, "segment_id")
+    asked = wanted.asked_by(score_hits(hits, stats, wanted), "segment_id")
     return asked.groupBy("query_id", "asset_id", "segment_id").agg(F.sum("score").alias("rank"))
 
 
-def recall_like(segments: DataFrame, terms: DataFrame) -> DataFrame:
+def recall_like(segments: DataFrame, terms: QueryTerms) -> DataFrame:
     """``query_id, asset_id, segment_id`` for terms of one or two characters."""
-    wanted = short_terms(terms)
+    wanted = terms.short()
     texts = segments.select("segment_id", "asset_id", "text")
     pairs = match_terms(texts, "text", "segment_id", wanted, ascii_fold).drop("text")
-    return ask_for(pairs, wanted, "segment_id").select(
-        "query_id", "asset_id", "segment_id"
-    ).distinct()
+    asked = wanted.asked_by(pairs, "segment_id")
+    return asked.select("query_id", "asset_id", "segment_id").distinct()
 
 
 def hit_counts(hits: DataFrame) -> DataFrame:

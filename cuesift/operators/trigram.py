@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.query import GRAM_LENGTH
-from ..session import SALT_BUCKETS, fits_broadcast, salted_join
+from ..session import SALT_BUCKETS, salted_join
 from .matching import grams
+from .terms import Terms
 
 POSTINGS = "gram string, segment_id long, asset_id long, n_grams int, position int"
 # Grams pushed into the scan of a stored index as literals.
@@ -60,16 +61,16 @@ def write_postings(postings: DataFrame, path: str, buckets: int = 64, splits: in
 
 
 def read_postings(
-    spark: SparkSession, path: str, covers: DataFrame | None = None, buckets: int = 64
+    spark: SparkSession, path: str, terms: Terms | None = None, buckets: int = 64
 ) -> DataFrame:
-    """Stored postings; with ``covers``, only the buckets and grams they name.
+    """Stored postings; with ``terms``, only the buckets and grams these need.
 
     Few grams go into the scan as literals, more of them through the join.
     """
     stored = spark.read.schema(f"{POSTINGS}, gram_bucket int").parquet(path)
-    if covers is None:
+    if terms is None or not terms.few:
         return stored.drop("gram_bucket")
-    wanted = covers.select("gram").distinct().withColumn("gram_bucket", _gram_bucket(buckets))
+    wanted = term_covers(terms).select("gram").distinct().withColumn("gram_bucket", _gram_bucket(buckets))
     rows = wanted.limit(_PUSHED_GRAMS + 1).collect()
     if len(rows) <= _PUSHED_GRAMS:
         stored = stored.where(
@@ -79,16 +80,15 @@ def read_postings(
     return stored.drop("gram_bucket")
 
 
-def term_covers(terms: DataFrame) -> DataFrame:
+def term_covers(terms: Terms) -> DataFrame:
     """``folded, n_cover, offset, gram``: grams that together spell each term."""
     last = F.length("folded") - GRAM_LENGTH
     offsets = F.array_distinct(
         F.concat(F.sequence(F.lit(0), last, F.lit(GRAM_LENGTH)), F.array(last))
     )
     rows = (
-        terms.where(F.length("folded") >= GRAM_LENGTH)
-        .select("folded")
-        .distinct()
+        terms.distinct()
+        .where(F.length("folded") >= GRAM_LENGTH)
         .withColumn("__offsets", offsets)
     )
     return rows.select(
@@ -96,15 +96,16 @@ def term_covers(terms: DataFrame) -> DataFrame:
     ).withColumn("gram", F.substring(F.col("folded"), F.col("offset") + 1, F.lit(GRAM_LENGTH)))
 
 
-def phrase_hits(postings: DataFrame, covers: DataFrame) -> DataFrame:
+def phrase_hits(postings: DataFrame, terms: Terms) -> DataFrame:
     """``folded, segment_id, asset_id, n_grams, tf`` of every whole-term match.
 
     Each gram proposes where its term would start; a start that every gram of
     the cover proposes is an occurrence, so the text itself is not read. Both
     groupings count, and are combined before they are shuffled.
     """
-    asked = covers.select("folded", "n_cover", "offset", "gram")
-    if fits_broadcast(asked):
+    asked = term_covers(terms)
+    # a term has at most 67 grams, so few terms have few
+    if terms.few:
         met = postings.join(F.broadcast(asked), "gram")
     else:
         met = salted_join(postings, asked, ["gram"], "inner", F.col("segment_id"))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.snippet import with_snippet
+from ..functions.text import ascii_fold
 from ..operators.catalogue import asset_summaries
+from ..operators.matching import match_terms
 from ..operators.ranking import (
     SEGMENTS_PER_ASSET,
     page_limit,
@@ -18,22 +20,17 @@ from ..operators.ranking import (
     top_segments,
 )
 from ..operators.recall import (
-    ask_for,
     filter_assets,
-    long_terms,
     merge_recalls,
     merge_segments,
     recall_like,
     recall_names,
     recall_ranked,
     recall_tags,
-    short_terms,
     term_hits,
 )
-from ..operators.terms import normalize_queries, query_terms
-from ..operators.matching import match_terms
-from ..functions.text import ascii_fold
-from ..session import fits_broadcast
+from ..operators.terms import QueryTerms, load_terms, normalize_queries
+from ..session import BROADCAST_ROWS, fits_broadcast
 
 
 @dataclass(frozen=True)
@@ -53,7 +50,7 @@ class SearchResult:
     """``candidates`` hold every matching asset; pages and snippets derive from them."""
 
     queries: DataFrame
-    terms: DataFrame
+    terms: QueryTerms
     candidates: DataFrame
     segment_hits: DataFrame
 
@@ -76,7 +73,7 @@ def search(
     short terms scan, as no trigram can hold them.
     """
     normalized = normalize_queries(queries)
-    terms = query_terms(normalized)
+    terms = load_terms(normalized)
     assets = filter_assets(catalogue.assets, kind, extract_status, directory_id)
     unfiltered = kind is None and extract_status is None and directory_id is None
 
@@ -98,17 +95,16 @@ def search(
     )
 
 
-def _body_terms(catalogue: Catalogue, terms: DataFrame, keep) -> DataFrame:
+def _body_terms(catalogue: Catalogue, terms: QueryTerms, keep) -> DataFrame:
     """``query_id, asset_id, term`` of the terms found in the text."""
-    wanted = long_terms(terms)
-    hits = term_hits(catalogue.segments, wanted, catalogue.postings).select("folded", "asset_id")
-    by_long = ask_for(hits.distinct(), wanted, "asset_id")
-    short = short_terms(terms)
+    long, short = terms.long(), terms.short()
+    hits = term_hits(catalogue.segments, long, catalogue.postings).select("folded", "asset_id")
     texts = catalogue.segments.select("segment_id", "asset_id", "text")
-    pairs = match_terms(texts, "text", "segment_id", short, ascii_fold)
-    by_short = ask_for(pairs.select("folded", "asset_id").distinct(), short, "asset_id")
-    both = by_long.unionByName(by_short).select("query_id", "asset_id", "term")
-    return keep(both.distinct())
+    pairs = match_terms(texts, "text", "segment_id", short, ascii_fold).select("folded", "asset_id")
+    both = long.asked_by(hits.distinct(), "asset_id").unionByName(
+        short.asked_by(pairs.distinct(), "asset_id")
+    )
+    return keep(both.select("query_id", "asset_id", "term").distinct())
 
 
 def search_page(
@@ -140,7 +136,8 @@ def page_snippets(
     """
     page = result_page(result.candidates, limit, offset).select("query_id", "asset_id")
     # a page holds at most page_limit assets of each query
-    page = F.broadcast(page) if fits_broadcast(result.queries, 20_000 // page_limit(limit)) else page
+    if fits_broadcast(result.queries, BROADCAST_ROWS // page_limit(limit)):
+        page = F.broadcast(page)
     chosen = result.segment_hits.join(page, ["query_id", "asset_id"], "left_semi")
     best = top_segments(chosen, per_asset)
     terms = result.queries.select(
