@@ -6,13 +6,17 @@ Spark function beside it.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesift.functions.paths import extension, file_kind, fingerprint, path_key
 from cuesift.plans.search import Catalogue
 from cuesift.session import spread
-from cuesift.sources.text import segment_texts
+from cuesift.operators.terms import load_terms, normalize_queries
+from cuesift.operators.trigram import read_postings, trigram_postings
+from cuesift.sources.text import number_segments, text_lines, untimed
 
 WS = r"[\s\x{0b}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
@@ -21,10 +25,20 @@ def trim_sql(value: str) -> str:
     return f"regexp_replace({value}, '^{WS}+|{WS}+$', '', 'g')"
 
 
+# Tables a deployment keeps, by name; the benchmark stores them before it searches.
+STORED: dict = {}
+
+
+@lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for row-expanding work."""
+    return spread(table(spark, sf_dir, name))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
@@ -59,10 +73,18 @@ segments AS (
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return segment_texts(
-        docs.select(F.col("doc_id").alias("asset_id"), F.lit(".txt").alias("ext"), F.col("text").alias("content"))
-    )
+    if "segments" in STORED:
+        return STORED["segments"]
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("asset_id"), "text")
+    return number_segments(docs, untimed(text_lines(F.col("text"))))
+
+
+def postings(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    """The gram index, cut down to the grams of ``asked`` queries where it is stored."""
+    if "postings" in STORED:
+        terms = load_terms(normalize_queries(asked)).long()
+        return read_postings(spark, STORED["postings"], terms, STORED["buckets"])
+    return trigram_postings(segments(spark, sf_dir))
 
 
 # ---- assets: one file per document, its extension decided by language
@@ -86,6 +108,8 @@ assets AS (
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if "assets" in STORED:
+        return STORED["assets"]
     ext = (
         F.when(F.col("lang") == "en", ".txt")
         .when(F.col("lang") == "fr", ".mp4")
@@ -151,10 +175,14 @@ def tag_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asset_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if "asset_tags" in STORED:
+        return STORED["asset_tags"]
     return tag_links(spark, sf_dir).select("asset_id", text_id(F.col("name")).alias("tag_id"))
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if "tags" in STORED:
+        return STORED["tags"]
     unused = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
     names = tag_links(spark, sf_dir).select("name").unionByName(unused).distinct()
     return names.select(
@@ -171,6 +199,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
         segments=segments(spark, sf_dir),
         tags=tags(spark, sf_dir),
         asset_tags=asset_tags(spark, sf_dir),
+        stats=STORED.get("stats"),
     )
 
 
@@ -287,7 +316,7 @@ def _order_path(ext: Column) -> Column:
 
 
 def manifest_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") != "1-URGENT")
+    orders = spread_table(spark, sf_dir, "orders").where(F.col("o_orderpriority") != "1-URGENT")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     path = _order_path(F.lit(".mp4"))
     return orders.select(
@@ -300,7 +329,7 @@ def manifest_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "F")
+    orders = spread_table(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "F")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     odd = (F.col("o_orderpriority") == "3-MEDIUM") & (F.col("o_orderstatus") == "O")
     return orders.select(

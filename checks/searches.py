@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from cuesift.functions.text import contains_literal
@@ -237,7 +239,7 @@ def recall_segments_scan(spark, sf_dir):
 def recall_segments_indexed(spark, sf_dir):
     segments = a.segments(spark, sf_dir)
     wanted = _batch_terms(spark, sf_dir).long()
-    hits = term_hits(segments, wanted, trigram_postings(segments))
+    hits = term_hits(segments, wanted, a.postings(spark, sf_dir, a.queries(spark, sf_dir)))
     return hits.withColumn("tf", F.col("tf").cast("long"))
 
 
@@ -320,7 +322,7 @@ def search_page_query(spark, sf_dir):
     result = search(found, one_query(spark, FLAGSHIP))
     # ranks are rounded first: the last digits of a sum depend on its order
     rounded = result.candidates.withColumn("best_rank", _six("best_rank"))
-    page = search_page(found, type(result)(result.queries, result.terms, rounded, result.segment_hits), offset=30)
+    page = search_page(found, replace(result, candidates=rounded), offset=30)
     return page.select(
         "asset_id",
         "tier",
@@ -347,10 +349,9 @@ def search_filtered(spark, sf_dir):
 def search_batch(spark, sf_dir):
     """A table of queries against the whole corpus, through the index."""
     found = a.catalogue(spark, sf_dir)
-    indexed = type(found)(
-        found.assets, found.segments, found.tags, found.asset_tags, trigram_postings(found.segments)
-    )
-    return _flat(search(indexed, a.queries(spark, sf_dir)).candidates)
+    asked = a.queries(spark, sf_dir)
+    indexed = replace(found, postings=a.postings(spark, sf_dir, asked))
+    return _flat(search(indexed, asked).candidates)
 
 
 @check(

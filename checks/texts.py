@@ -133,7 +133,7 @@ def srt_round_trip(spark, sf_dir):
         F.lit("NOTE not spoken"),
         F.lit("nor this"),
     )
-    files = a.table(spark, sf_dir, "events").select(
+    files = a.spread_table(spark, sf_dir, "events").select(
         F.col("event_id").alias("asset_id"), F.lit(".SRT").alias("ext"), content.alias("content")
     )
     return segment_texts(files).select("asset_id", "ordinal", "text", "start_ms", "end_ms")
@@ -172,7 +172,7 @@ def ass_round_trip(spark, sf_dir):
         ),
         F.lit("Dialogue: 0:00:00.00,0:00:00.00,Default,{\\p1}m 0 0 l 9 9{\\p0}"),
     )
-    files = a.table(spark, sf_dir, "orders").select(
+    files = a.spread_table(spark, sf_dir, "orders").select(
         key.alias("asset_id"), F.lit(".ass").alias("ext"), content.alias("content")
     )
     return segment_texts(files).select("asset_id", "ordinal", "text", "start_ms", "end_ms")
@@ -204,7 +204,7 @@ def transcript_segments(spark, sf_dir):
             ).alias("chunks"),
         )
     )
-    files = a.table(spark, sf_dir, "conversations").select(
+    files = a.spread_table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 100 + turn).alias("asset_id"), output.alias("output")
     )
     return segment_transcripts(files).select("asset_id", "ordinal", "text", "start_ms", "end_ms")
@@ -232,7 +232,7 @@ def media_probe(spark, sf_dir):
         F.lit("  Stream #0:2: Subtitle: mov_text"),
     )
     info = media_info(log)
-    return a.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", info.alias("i")).select(
+    return a.spread_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", info.alias("i")).select(
         "l_orderkey", "l_linenumber", "i.duration_ms", "i.has_audio", "i.has_video"
     )
 
@@ -325,7 +325,7 @@ def redact_nested(spark, sf_dir):
         F.concat(F.lit("bearer "), secret).alias("header"),
         F.array(F.concat(F.lit("sk-"), secret), F.col("role")).alias("items"),
     )
-    rows = a.table(spark, sf_dir, "conversations").select("conv_id", "turn", value.alias("v"))
+    rows = a.spread_table(spark, sf_dir, "conversations").select("conv_id", "turn", value.alias("v"))
     kind = T._parse_datatype_string("header string, items array<string>")
     return rows.select("conv_id", "turn", redact_value(F.col("v"), kind).alias("v")).select(
         "conv_id", "turn", "v.header", F.get("v.items", 0).alias("first_item"), F.get("v.items", 1).alias("second_item")
@@ -343,7 +343,7 @@ def redact_nested(spark, sf_dir):
 )
 def format_timestamps(spark, sf_dir):
     ms = F.col("event_id") * 777
-    return a.table(spark, sf_dir, "events").select(
+    return a.spread_table(spark, sf_dir, "events").select(
         "event_id", formats.clock_short(ms).alias("short"), formats.clock_long(ms).alias("long")
     )
 
@@ -361,7 +361,7 @@ def format_timestamps(spark, sf_dir):
 )
 def format_sizes(spark, sf_dir):
     key = F.col("o_orderkey")
-    return a.table(spark, sf_dir, "orders").select("o_orderkey", formats.byte_size(key * key * 977).alias("size"))
+    return a.spread_table(spark, sf_dir, "orders").select("o_orderkey", formats.byte_size(key * key * 977).alias("size"))
 
 
 @check(

@@ -88,14 +88,16 @@ def ngram_stats(segments: DataFrame, chars: str = HAN) -> DataFrame:
 
 
 def eligible_words(stats: DataFrame) -> DataFrame:
-    """Words frequent and varied enough that are no stopword and no repetition."""
-    return stats.where(
-        (F.col("frequency") >= MIN_FREQUENCY)
-        & F.col("left_varied")
-        & F.col("right_varied")
-        & ~F.col("word").isin(STOPWORDS)
-        & ~F.col("word").rlike(r"(?s)\A(.)\1+\z")
-    ).select("asset_id", "word", "frequency", "first_seen")
+    """Words frequent and varied enough that are no stopword and no repetition.
+
+    The tests of the word itself stay behind the counts: on their own they
+    would be moved below the grouping and run on every occurrence.
+    """
+    counted = (F.col("frequency") >= MIN_FREQUENCY) & F.col("left_varied") & F.col("right_varied")
+    useful = ~F.col("word").isin(STOPWORDS) & ~F.col("word").rlike(r"(?s)\A(.)\1+\z")
+    return stats.where(F.when(counted, useful).otherwise(F.lit(False))).select(
+        "asset_id", "word", "frequency", "first_seen"
+    )
 
 
 def drop_fragments(words: DataFrame) -> DataFrame:
@@ -123,16 +125,20 @@ def drop_fragments(words: DataFrame) -> DataFrame:
         )
     )
     none = F.lit(None).cast("long")
-    around = words.select(
-        "asset_id",
-        F.explode(pieces).alias("word"),
-        none.alias("frequency"),
-        none.alias("first_seen"),
-        F.col("frequency").alias("longer"),
-    )
+
+    def entry(word: Column, frequency: Column, first_seen: Column, longer: Column) -> Column:
+        return F.struct(
+            word.alias("word"),
+            frequency.alias("frequency"),
+            first_seen.alias("first_seen"),
+            longer.alias("longer"),
+        )
+
+    itself = entry(F.col("word"), F.col("frequency"), F.col("first_seen"), none)
+    around = F.transform(pieces, lambda piece: entry(piece, none, none, F.col("frequency")))
+    # a word and its parts leave the same row, so the statistics are read once
     grouped = (
-        words.withColumn("longer", none)
-        .unionByName(around)
+        words.select("asset_id", F.inline(F.concat(F.array(itself), around)))
         .groupBy("asset_id", "word")
         .agg(
             F.max("frequency").alias("frequency"),

@@ -71,11 +71,11 @@ def term_hits(
 ) -> DataFrame:
     """Whole-term matches of long terms, through the index where there is one.
 
-    Scoring reads the matches twice, for the weights and for the scores. Those
-    of a scan are written out in between, so the text is scanned once.
+    Scoring reads the matches twice, for the weights and for the scores. They
+    are written out in between, so the text or the index is read once.
     """
     if postings is not None:
-        return phrase_hits(postings, terms)
+        return cut_lineage(phrase_hits(postings, terms))
     texts = segments.select("segment_id", "asset_id", "text")
     return cut_lineage(scan_hits(match_terms(texts, "text", "segment_id", terms, F.lower)))
 

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.query import GRAM_LENGTH
-from ..session import SALT_BUCKETS, salted_join
+from ..session import SALT_BUCKETS, cut_lineage, fits_broadcast, salted_join
 from .matching import grams
 from .terms import Terms
 
 POSTINGS = "gram string, segment_id long, asset_id long, n_grams int, position int"
 # Grams pushed into the scan of a stored index as literals.
-_PUSHED_GRAMS = 1024
+_PUSHED_GRAMS = 4096
+# Proposed places that may be broadcast; a term has at most 67 grams to confirm.
+_BROADCAST_PLACES = 200_000
 
 
 def gram_count(text: Column) -> Column:
@@ -96,26 +98,64 @@ def term_covers(terms: Terms) -> DataFrame:
     ).withColumn("gram", F.substring(F.col("folded"), F.col("offset") + 1, F.lit(GRAM_LENGTH)))
 
 
+def rarest_grams(postings: DataFrame, covers: DataFrame) -> DataFrame:
+    """Of each term's cover, the gram with the fewest postings: one row per term."""
+    wanted = covers.select("gram").distinct()
+    counted = postings.join(wanted, "gram", "left_semi").groupBy("gram").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    rated = covers.join(counted, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    first = F.min(F.struct("n", "offset", "gram"))
+    return rated.groupBy("folded", "n_cover").agg(first.alias("lead")).select(
+        "folded", "n_cover", "lead.offset", "lead.gram"
+    )
+
+
 def phrase_hits(postings: DataFrame, terms: Terms) -> DataFrame:
     """``folded, segment_id, asset_id, n_grams, tf`` of every whole-term match.
 
-    Each gram proposes where its term would start; a start that every gram of
-    the cover proposes is an occurrence, so the text itself is not read. Both
-    groupings count, and are combined before they are shuffled.
+    The rarest gram of a term proposes places where the term may start; only
+    these places are looked up among the postings of its other grams. A place
+    that all of them confirm is an occurrence, so no text is read.
     """
-    asked = term_covers(terms)
-    # a term has at most 67 grams, so few terms have few
+    covers = term_covers(terms)
+    leads = rarest_grams(postings, covers)
     if terms.few:
-        met = postings.join(F.broadcast(asked), "gram")
+        met = postings.join(F.broadcast(leads), "gram")
+    else:
+        met = salted_join(postings, leads, ["gram"], "inner", F.col("segment_id"))
+    hit = ["folded", "segment_id", "asset_id", "n_grams"]
+    proposed = cut_lineage(
+        met.select(
+            *hit,
+            "n_cover",
+            F.col("offset").alias("lead"),
+            (F.col("position") - F.col("offset")).alias("start"),
+        ).where(F.col("start") >= 0)
+    )
+    several = proposed.where(F.col("n_cover") > 1)
+    spelled = covers.select("folded", "offset", "gram")
+    if terms.few:
+        asked = several.join(F.broadcast(spelled), "folded")
+    else:
+        asked = salted_join(several, spelled, ["folded"], "inner", F.col("segment_id"))
+    asked = asked.where(F.col("offset") != F.col("lead")).withColumn(
+        "position", F.col("start") + F.col("offset")
+    )
+    place = ["gram", "segment_id", "position"]
+    held = postings.select(*place)
+    # the key names one occurrence, so no value of it is common
+    if fits_broadcast(several, _BROADCAST_PLACES):
+        confirmed = held.join(F.broadcast(asked), place)
     else:
-        met = salted_join(postings, asked, ["gram"], "inner", F.col("segment_id"))
-    place = ["folded", "segment_id", "asset_id", "n_grams"]
-    starts = (
-        met.groupBy(*place, "n_cover", (F.col("position") - F.col("offset")).alias("start"))
-        .agg(F.count(F.lit(1)).alias("proposed"))
-        .where(F.col("proposed") == F.col("n_cover"))
+        confirmed = held.join(asked, place)
+    whole = (
+        confirmed.groupBy(*hit, "n_cover", "start")
+        .agg((F.count(F.lit(1)) + 1).alias("grams"))
+        .where(F.col("grams") == F.col("n_cover"))
     )
-    return starts.groupBy(*place).agg(F.count(F.lit(1)).alias("tf"))
+    starts = whole.select(*hit).unionByName(proposed.where(F.col("n_cover") == 1).select(*hit))
+    return starts.groupBy(*hit).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def scan_hits(matched: DataFrame) -> DataFrame:
