@@ -13,7 +13,8 @@ def _whole_seconds(ms: Column) -> Column:
 def clock_short(ms: Column) -> Column:
     """``m:ss``, minutes unbounded; null stays null."""
     total = _whole_seconds(ms)
-    return F.format_string("%d:%02d", F.floor(total / 60).cast("long"), F.pmod(total, F.lit(60)))
+    text = F.format_string("%d:%02d", F.floor(total / 60).cast("long"), F.pmod(total, F.lit(60)))
+    return F.when(ms.isNotNull(), text)
 
 
 def clock_long(ms: Column) -> Column:
