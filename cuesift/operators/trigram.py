@@ -13,8 +13,8 @@ from .terms import Terms
 POSTINGS = "gram string, segment_id long, asset_id long, n_grams int, position int"
 # Grams pushed into the scan of a stored index as literals.
 _PUSHED_GRAMS = 4096
-# Proposed places that may be broadcast; a term has at most 67 grams to confirm.
-_BROADCAST_PLACES = 200_000
+# Places to confirm that may be broadcast: narrow rows, at most about 100 MB.
+_BROADCAST_PLACES = 500_000
 
 
 def gram_count(text: Column) -> Column:
@@ -55,7 +55,7 @@ def write_postings(postings: DataFrame, path: str, buckets: int = 64, splits: in
     (
         postings.withColumn("gram_bucket", _gram_bucket(buckets))
         .repartition(F.col("gram_bucket"), split)
-        .sortWithinPartitions("gram_bucket", "gram", "segment_id", "position")
+        .sortWithinPartitions("gram_bucket", "gram")
         .write.mode("overwrite")
         .partitionBy("gram_bucket")
         .parquet(path)
@@ -72,27 +72,35 @@ def read_postings(
     stored = spark.read.schema(f"{POSTINGS}, gram_bucket int").parquet(path)
     if terms is None or not terms.few:
         return stored.drop("gram_bucket")
-    wanted = term_covers(terms).select("gram").distinct().withColumn("gram_bucket", _gram_bucket(buckets))
-    rows = wanted.limit(_PUSHED_GRAMS + 1).collect()
-    if len(rows) <= _PUSHED_GRAMS:
-        stored = stored.where(
-            F.col("gram_bucket").isin(sorted({r.gram_bucket for r in rows}))
-            & F.col("gram").isin(sorted(r.gram for r in rows))
-        )
-    return stored.drop("gram_bucket")
+    wanted = sorted({gram for row in terms.rows for gram, _ in cover_of(row.folded)})
+    if len(wanted) > _PUSHED_GRAMS:
+        return stored.drop("gram_bucket")
+    named = spark.createDataFrame([(gram,) for gram in wanted], "gram string")
+    named = named.select(_gram_bucket(buckets).alias("bucket")).distinct()
+    held = sorted(row.bucket for row in named.collect())
+    return stored.where(F.col("gram_bucket").isin(held) & F.col("gram").isin(wanted)).drop("gram_bucket")
+
+
+def cover_of(folded: str) -> list[tuple[str, int]]:
+    """Grams that together spell a term, with their offsets; none for short terms."""
+    last = len(folded) - GRAM_LENGTH
+    offsets = sorted({*range(0, last + 1, GRAM_LENGTH), last}) if last >= 0 else []
+    return [(folded[at : at + GRAM_LENGTH], at) for at in offsets]
 
 
 def term_covers(terms: Terms) -> DataFrame:
-    """``folded, n_cover, offset, gram``: grams that together spell each term."""
+    """``folded, n_cover, offset, gram``: the cover of each distinct term."""
+    if terms.few:
+        covers = {row.folded: cover_of(row.folded) for row in terms.rows}
+        rows = [(t, len(c), at, gram) for t, c in sorted(covers.items()) for gram, at in c]
+        schema = "folded string, n_cover int, offset int, gram string"
+        return terms.table.sparkSession.createDataFrame(rows, schema)
     last = F.length("folded") - GRAM_LENGTH
     offsets = F.array_distinct(
         F.concat(F.sequence(F.lit(0), last, F.lit(GRAM_LENGTH)), F.array(last))
     )
-    rows = (
-        terms.distinct()
-        .where(F.length("folded") >= GRAM_LENGTH)
-        .withColumn("__offsets", offsets)
-    )
+    long_enough = terms.distinct().where(F.length("folded") >= GRAM_LENGTH)
+    rows = long_enough.withColumn("__offsets", offsets)
     return rows.select(
         "folded", F.size("__offsets").alias("n_cover"), F.explode("__offsets").alias("offset")
     ).withColumn("gram", F.substring(F.col("folded"), F.col("offset") + 1, F.lit(GRAM_LENGTH)))
@@ -100,10 +108,8 @@ def term_covers(terms: Terms) -> DataFrame:
 
 def rarest_grams(postings: DataFrame, covers: DataFrame) -> DataFrame:
     """Of each term's cover, the gram with the fewest postings: one row per term."""
-    wanted = covers.select("gram").distinct()
-    counted = postings.join(wanted, "gram", "left_semi").groupBy("gram").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    # counted before the join: a common gram leaves each task as one row
+    counted = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rated = covers.join(counted, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     first = F.min(F.struct("n", "offset", "gram"))
     return rated.groupBy("folded", "n_cover").agg(first.alias("lead")).select(
@@ -145,7 +151,7 @@ def phrase_hits(postings: DataFrame, terms: Terms) -> DataFrame:
     place = ["gram", "segment_id", "position"]
     held = postings.select(*place)
     # the key names one occurrence, so no value of it is common
-    if fits_broadcast(several, _BROADCAST_PLACES):
+    if fits_broadcast(asked, _BROADCAST_PLACES):
         confirmed = held.join(F.broadcast(asked), place)
     else:
         confirmed = held.join(asked, place)
