@@ -67,7 +67,7 @@ seg_lists AS (
       ELSE [l] END)) AS items
   FROM documents),
 segments AS (
-  SELECT doc_id AS asset_id, doc_id * 16777216 + ordinal AS segment_id, ordinal, text
+  SELECT doc_id AS asset_id, doc_id * 16777216 + ordinal AS segment_id, CAST(ordinal AS INTEGER) AS ordinal, text
   FROM (SELECT doc_id, unnest(items) AS text, generate_subscripts(items, 1) - 1 AS ordinal FROM seg_lists))
 """
 

@@ -37,7 +37,7 @@ _NGRAMS = rf"""
 places AS (
   SELECT asset_id, ordinal, text, unnest(generate_series(1, length(text))) AS p FROM segments),
 ngrams AS (
-  SELECT asset_id, substr(text, p, size) AS word, ordinal * 16777216 + p AS seen,
+  SELECT asset_id, substr(text, p, size) AS word, ordinal::BIGINT * 16777216 + p AS seen,
          CASE WHEN p > 1 AND regexp_matches(substr(text, p - 1, 1), '\p{{L}}') THEN substr(text, p - 1, 1) END AS before,
          CASE WHEN regexp_matches(substr(text, p + size, 1), '\p{{L}}') THEN substr(text, p + size, 1) END AS after
   FROM (SELECT *, unnest([2, 3, 4]) AS size FROM places) WHERE regexp_full_match(substr(text, p, size), '\p{{L}}+') AND length(substr(text, p, size)) = size),
@@ -136,7 +136,7 @@ def unlink_tags(spark, sf_dir):
 # requested names: part names in spellings that share a key
 _ASKED_SQL = f"""
 asked AS (
-  SELECT p_partkey AS request_id, p_size AS asset_id, p_type AS color,
+  SELECT p_partkey AS request_id, CAST(p_size AS BIGINT) AS asset_id, p_type AS color,
          CASE WHEN p_type = 'ECONOMY' THEN ' ' || upper(p_name) || '  '
               WHEN p_type = 'SMALL' THEN replace(p_name, ' ', '   ')
               WHEN p_type = 'LARGE' THEN '   ' WHEN p_type = 'MEDIUM' THEN repeat(p_name, 9) ELSE p_name END AS name
@@ -399,7 +399,7 @@ def status_drift_query(spark, sf_dir):
 
 @check(
     "sync_status",
-    f"WITH {_STATUS_SQL} SELECT asset_id, derived_status AS extract_status, CASE WHEN derived_status = 'done' THEN 77 ELSE extracted_at END AS extracted_at FROM derived",
+    f"WITH {_STATUS_SQL} SELECT asset_id, derived_status AS extract_status, CAST(CASE WHEN derived_status = 'done' THEN 77 ELSE extracted_at END AS BIGINT) AS extracted_at FROM derived",
 )
 def sync_status_query(spark, sf_dir):
     return sync_status(_people(spark, sf_dir), a.jobs(spark, sf_dir), a.runs(spark, sf_dir), 77)

@@ -240,7 +240,7 @@ def manifest_diff_cancelled(spark, sf_dir):
 @check(
     "manifest_applied",
     f"""WITH {a.MANIFEST_SQL.format(completed='true')}
-    SELECT path_key, fingerprint, CASE WHEN change_type IN ('new', 'changed') THEN 99 ELSE 1 END AS updated_at
+    SELECT path_key, fingerprint, CAST(CASE WHEN change_type IN ('new', 'changed') THEN 99 ELSE 1 END AS BIGINT) AS updated_at
     FROM diff WHERE change_type IN ('new', 'changed', 'unchanged')
     UNION ALL SELECT path, fingerprint, 1 FROM manifest_before
     WHERE directory_id NOT IN (SELECT directory_id FROM scans)""",

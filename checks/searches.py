@@ -46,7 +46,7 @@ FLAGSHIP = "src1_EN  the entre en ch"
 
 _FLAGSHIP_TERMS = """
 terms AS (
-  SELECT 0 AS query_id, term, lower(term) AS folded
+  SELECT CAST(0 AS BIGINT) AS query_id, term, lower(term) AS folded
   FROM (VALUES ('src1_EN'), ('the'), ('entre'), ('en'), ('ch')) t(term))
 """
 
@@ -54,7 +54,7 @@ terms AS (
 _RECALL = """
 long_terms AS (SELECT * FROM terms WHERE length(term) >= 3),
 short_terms AS (SELECT * FROM terms WHERE length(term) < 3),
-seg_low AS (SELECT *, lower(text) AS low, greatest(length(text) - 2, 0) AS n_grams FROM segments),
+seg_low AS (SELECT *, lower(text) AS low, CAST(greatest(length(text) - 2, 0) AS INTEGER) AS n_grams FROM segments),
 totals AS (SELECT count(*)::DOUBLE AS n_all, avg(n_grams) AS mean FROM seg_low),
 phrase AS (
   SELECT t.folded, s.segment_id, s.asset_id, s.n_grams,
@@ -100,7 +100,7 @@ labels_all AS (
 candidates AS (
   SELECT coalesce(l.query_id, b.query_id) AS query_id, coalesce(l.asset_id, b.asset_id) AS asset_id,
          CASE WHEN l.exact THEN 0 WHEN l.query_id IS NOT NULL THEN 1 ELSE 2 END AS tier,
-         coalesce(n_terms, 0) AS n_terms, coalesce(matched_terms, '') AS matched_terms,
+         CAST(coalesce(n_terms, 0) AS INTEGER) AS n_terms, coalesce(matched_terms, '') AS matched_terms,
          0.0 - round(-best_rank, 6) AS best_rank, coalesce(segment_hits, 0) AS segment_hits,
          concat_ws(',', CASE WHEN by_name THEN 'file_name' END, CASE WHEN by_tag THEN 'tag' END,
                         CASE WHEN b.query_id IS NOT NULL THEN 'segment' END) AS matched_in
@@ -198,7 +198,7 @@ def like_literal(spark, sf_dir):
 
 @check(
     "recall_names",
-    f"WITH {a.ASSETS_SQL}, {_FLAGSHIP_TERMS} SELECT 0 AS query_id, asset_id, file_name AS matched_text, term "
+    f"WITH {a.ASSETS_SQL}, {_FLAGSHIP_TERMS} SELECT query_id, asset_id, file_name AS matched_text, term "
     "FROM assets JOIN terms ON contains(lower(file_name), folded)",
 )
 def recall_names_query(spark, sf_dir):
@@ -207,7 +207,7 @@ def recall_names_query(spark, sf_dir):
 
 @check(
     "recall_tags",
-    f"WITH {a.TAGS_SQL}, {_FLAGSHIP_TERMS} SELECT DISTINCT 0 AS query_id, asset_id, name AS matched_text, term "
+    f"WITH {a.TAGS_SQL}, {_FLAGSHIP_TERMS} SELECT DISTINCT query_id, asset_id, name AS matched_text, term "
     "FROM tags JOIN terms ON contains(lower(name), folded) JOIN asset_tags USING (tag_id)",
 )
 def recall_tags_query(spark, sf_dir):

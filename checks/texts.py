@@ -285,7 +285,7 @@ def trigram_index(spark, sf_dir):
     "segment_lengths",
     f"""
     WITH {a.SEGMENTS_SQL}
-    SELECT segment_id, asset_id, greatest(length(text) - 2, 0) AS n_grams FROM segments
+    SELECT segment_id, asset_id, CAST(greatest(length(text) - 2, 0) AS INTEGER) AS n_grams FROM segments
     """,
 )
 def segment_lengths(spark, sf_dir):
