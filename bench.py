@@ -112,7 +112,7 @@ def store_catalogue(spark, sf_dir: str) -> dict[str, float]:
     keep("stats", segment_stats(segments))
     buckets = 16
     times["store_index"] = timed(
-        lambda: write_postings(trigram_postings(segments), f"{folder}/postings", buckets, splits=1)
+        lambda: write_postings(trigram_postings(segments), f"{folder}/postings", buckets)
     )
     adapters.STORED.update(postings=f"{folder}/postings", buckets=buckets)
     return times

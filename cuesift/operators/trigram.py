@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.query import GRAM_LENGTH
-from ..session import SALT_BUCKETS, cut_lineage, fits_broadcast, salted_join
+from ..session import cut_lineage, fits_broadcast, salted_join
 from .matching import grams
 from .terms import Terms
 
@@ -46,15 +46,15 @@ def _gram_bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int")
 
 
-def write_postings(postings: DataFrame, path: str, buckets: int = 64, splits: int = 4) -> None:
-    """Store postings by gram bucket, sorted, each bucket split over several files.
+def write_postings(postings: DataFrame, path: str, buckets: int = 64) -> None:
+    """Store postings by gram bucket, sorted by gram.
 
-    The split keeps a bucket with a very common gram from becoming one task.
+    Rebalancing sizes the write tasks by the data: a bucket with a very common
+    gram is split over as many tasks and files as it needs.
     """
-    split = F.pmod(F.xxhash64("segment_id"), F.lit(min(splits, SALT_BUCKETS)))
     (
         postings.withColumn("gram_bucket", _gram_bucket(buckets))
-        .repartition(F.col("gram_bucket"), split)
+        .hint("rebalance", F.col("gram_bucket"))
         .sortWithinPartitions("gram_bucket", "gram")
         .write.mode("overwrite")
         .partitionBy("gram_bucket")

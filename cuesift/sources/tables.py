@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import SALT_BUCKETS, fits_broadcast
+from ..session import fits_broadcast
 
 
 class BucketedTable:
@@ -63,12 +63,12 @@ class BucketedTable:
         wanted = keys.select(self.bucket_of(F.col(self.key)).alias("bucket")).distinct()
         return self._rows().join(F.broadcast(wanted), "bucket", "left_semi")
 
-    def replace(self, rows: DataFrame, touched: DataFrame, spread_by: str) -> None:
+    def replace(self, rows: DataFrame, touched: DataFrame) -> None:
         """Replace every row of the keys in ``touched`` by ``rows``.
 
         ``touched`` lists keys even where they have no new row, so a key can be
-        emptied. ``spread_by`` varies within a key: a hot key is written by
-        several tasks.
+        emptied. Rebalancing sizes the write tasks by the data: the bucket of a
+        hot key is written by as many tasks as it needs.
         """
         version = uuid.uuid4().hex
         # one row: the highest generation any bucket has
@@ -79,10 +79,9 @@ class BucketedTable:
         fresh = kept.unionByName(rows.select(*kept.columns)).withColumn(
             "bucket", self.bucket_of(F.col(self.key))
         )
-        salt = F.pmod(F.xxhash64(F.col(spread_by)), F.lit(SALT_BUCKETS))
         (
             fresh.withColumn("version", F.lit(version))
-            .repartition(F.col("bucket"), salt)
+            .hint("rebalance", F.col("bucket"))
             .write.mode("append")
             .partitionBy("bucket", "version")
             .parquet(f"{self.path}/data")

@@ -22,7 +22,7 @@ def stream_segments(texts: DataFrame, table: BucketedTable, checkpoint: str) ->
     """
 
     def store(batch: DataFrame, _batch_id: int) -> None:
-        table.replace(segment_texts(batch), batch, spread_by="segment_id")
+        table.replace(segment_texts(batch), batch)
 
     return (
         texts.writeStream.foreachBatch(store)

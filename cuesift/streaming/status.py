@@ -33,7 +33,7 @@ def stream_job_states(
         old = table.read_buckets_of(jobs).join(jobs, "job_id", "left_semi")
         columns = ["job_id", "type", "status", "target_id", "event_id"]
         merged = newest_states(old.select(*columns).unionByName(batch.select(*columns)))
-        table.replace(merged, jobs, spread_by="job_id")
+        table.replace(merged, jobs)
 
     return (
         events.writeStream.foreachBatch(store)

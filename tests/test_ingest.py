@@ -141,17 +141,17 @@ def test_replacing_by_key(spark, tmp_path):
     table = BucketedTable(spark, str(tmp_path / "t"), "k long, v string", "k", buckets=3)
     assert table.read().count() == 0
     rows = lambda *items: spark.createDataFrame(list(items), "k long, v string")
-    table.replace(rows((1, "a"), (2, "b"), (2, "bb"), (3, "c")), rows((1, ""), (2, ""), (3, "")), "v")
-    table.replace(rows((2, "B")), rows((2, ""), (3, "")), "v")
+    table.replace(rows((1, "a"), (2, "b"), (2, "bb"), (3, "c")), rows((1, ""), (2, ""), (3, "")))
+    table.replace(rows((2, "B")), rows((2, ""), (3, "")))
     assert sorted(map(tuple, table.read().collect())) == [(1, "a"), (2, "B")]
-    table.replace(rows().limit(0), rows((1, ""), (2, "")), "v")
+    table.replace(rows().limit(0), rows((1, ""), (2, "")))
     assert table.read().count() == 0
 
 
 def test_an_unpublished_write_is_never_read(spark, tmp_path):
     table = BucketedTable(spark, str(tmp_path / "t"), "k long, v string", "k", buckets=1)
     one = spark.createDataFrame([(1, "a")], "k long, v string")
-    table.replace(one, one, "v")
+    table.replace(one, one)
     lost = one.withColumn("v", F.lit("lost")).withColumn("bucket", F.lit(0)).withColumn("version", F.lit("dead"))
     lost.write.mode("append").partitionBy("bucket", "version").parquet(str(tmp_path / "t" / "data"))
     assert [r.v for r in table.read().collect()] == ["a"]

@@ -222,7 +222,7 @@ def test_phrases_and_counts(small, many):
 
 def test_stored_index(spark, small, tmp_path):
     segments, few, _ = small
-    write_postings(trigram_postings(segments), str(tmp_path / "p"), buckets=4, splits=2)
+    write_postings(trigram_postings(segments), str(tmp_path / "p"), buckets=4)
     terms = few.long()
     kept = read_postings(spark, str(tmp_path / "p"), terms, buckets=4)
     assert kept.count() < read_postings(spark, str(tmp_path / "p")).count()
