@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -63,14 +64,19 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
 
-    A temporary folder is used only where none is configured, as in tests.
+    One process (``local[n]``) may use a temporary folder of its own; on a
+    cluster no other executor would see it, so a missing setting is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
             "spark.checkpoint.dir", None
         )
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cuesift-checkpoint-"))
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="cuesift-checkpoint-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -85,6 +91,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared folder and read back.
+
+    Later steps read the files, so a lost executor costs no recomputation, and
+    values that depend on the task (row numbers) stay what they were.
+    """
+    spark = df.sparkSession
+    folder = scratch_folder(spark, name)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def salted_join(
     many: DataFrame,
     one: DataFrame,
