@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 # White space that does not count: 0x20 and 0x09-0x0D.
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -67,6 +69,8 @@ def exact_groups(
             .alias("keep_id"),
         )
     )
+    # written, so that both sides of the join are dealt out anew and Spark can split a hot group
+    groups = stored(groups, "exact-groups")
     members = rows.select("doc_id", "__hash", F.unhex(F.sha2("__bare", 256)).alias("__sha"))
     return members.join(groups, ["__hash", "__sha"]).select(
         "doc_id",
