@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesift.llm import mixing, registry, tokens
+from cuesift.llm import decontamination, mixing, near_dedup, registry, tokens
 from cuesift.session import stored
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.without_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in which no benchmark window occurs."""
+    return decontamination.uncontaminated(docs, registry.table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source repeated or thinned to its target weight."""
     return mixing.repeated(mixing.mix(docs))
@@ -18,7 +28,12 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokens.token_files(docs, registry.vocabulary())
 
 
-STAGES = [("mix_sources", mix_sources), ("tokenize", tokenize)]
+STAGES = [
+    ("drop_near_duplicates", drop_near_duplicates),
+    ("drop_contaminated", drop_contaminated),
+    ("mix_sources", mix_sources),
+    ("tokenize", tokenize),
+]
 
 # The first stage is a trained classifier, which SQL cannot express.
 ORACLE_SQL = None

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # Text bytes worked on at once.
 SLICE_BYTES = 1 << 20
@@ -30,6 +32,12 @@ ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 
 
+def row_key() -> Column:
+    """128 bits of a document's id and text; repeated rows share them."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text)))
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and the ``n + 1`` bounds of its rows; null is empty."""
     if column.null_count:
@@ -127,8 +135,10 @@ def joined_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.full(n, size, np.uint64)
+    # factors without a simple relation to each other, so that order counts
+    factors = mix(np.arange(101, 101 + size, dtype=np.uint64)) | np.uint64(1)
     for place in range(size):
-        out += hashes[place : place + n] * np.uint64((2 * place + 3) * _BASE & (1 << 64) - 1 | 1)
+        out += hashes[place : place + n] * factors[place]
     return mix(out)
 
 
