@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesift.llm import decontamination, mixing, near_dedup, registry, tokens
+from cuesift.llm import decontamination, mixing, near_dedup, registry, tokens, toxicity
 from cuesift.session import stored
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity machine does not reject."""
+    return toxicity.not_toxic(docs, registry.toxicity_machine(spark, sf_dir))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return near_dedup.without_near_duplicates(docs)
@@ -29,6 +34,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("drop_toxic", drop_toxic),
     ("drop_near_duplicates", drop_near_duplicates),
     ("drop_contaminated", drop_contaminated),
     ("mix_sources", mix_sources),

@@ -6,7 +6,9 @@ slice size and its longest single text, not the batch or the partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,17 @@ ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 
 
+def kept_by_worker(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gave when this Python worker first asked for ``name``.
+
+    Spark reuses its Python workers, so the value serves all their tasks.
+    """
+    held = vars(sys.modules.setdefault("__kept_by_worker__", types.ModuleType("__kept_by_worker__")))
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def row_key() -> Column:
     """128 bits of a document's id and text; repeated rows share them."""
     text = F.coalesce(F.col("text"), F.lit(""))

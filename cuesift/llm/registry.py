@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact, mixing, near_dedup, tokens
+from . import decontamination, exact, mixing, near_dedup, tokens, toxicity
 
 
 @lru_cache(maxsize=256)
@@ -89,6 +89,19 @@ FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine | None:
+    """Fitted on the labels outside the held-out third."""
+    labels = table(spark, sf_dir, "labels").where(toxicity.fold(F.col("doc_id"), 3) != 1)
+    return toxicity.train(table(spark, sf_dir, "documents"), labels)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = toxicity.toxicity(docs, toxicity_machine(spark, sf_dir))
+    held_out = toxicity.fold(F.col("doc_id"), 3) == 1
+    return rated.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -120,6 +133,7 @@ FROM doc_words d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op4_near_dedup": op4_near_dedup,
     "op5_token_files": op5_token_files,

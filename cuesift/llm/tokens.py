@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from .arrays import flat, slices, span_hashes
+from .arrays import flat, kept_by_worker, slices, span_hashes
 from .packing import pack, unpack
 
 END_ID = 0
@@ -153,14 +151,6 @@ class Encoder:
         return out
 
 
-def worker_encoder(path: str) -> Encoder:
-    """The Python worker's encoder; it serves all tasks that the worker runs."""
-    held = sys.modules.setdefault("__token_encoders__", types.ModuleType("__token_encoders__"))
-    if path not in vars(held):
-        setattr(held, path, Encoder(path))
-    return getattr(held, path)
-
-
 def write_tokens(
     docs: DataFrame,
     folder: str,
@@ -193,7 +183,7 @@ def write_tokens(
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(tokenizer)
+        encoder = kept_by_worker(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
         shard, piece = TaskContext.get().partitionId(), 0
         ids, parts = [], []
 
