@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact, mixing, near_dedup, tokens, toxicity
+from . import decontamination, exact, mixing, near_dedup, quality, tokens, toxicity
 
 
 @lru_cache(maxsize=256)
@@ -131,6 +131,14 @@ FROM doc_words d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = toxicity.fold(F.col("doc_id"), 5)
+    classifier = quality.train(docs, table(spark, sf_dir, "labels").where(fold != 0))
+    rated = quality.quality(docs, classifier)
+    return rated.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -138,6 +146,7 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_token_files": op5_token_files,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
