@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact, mixing, near_dedup, quality, tokens, toxicity
+from . import decontamination, exact, lines, mixing, near_dedup, quality, substrings, tokens, toxicity
 
 
 @lru_cache(maxsize=256)
@@ -131,6 +131,14 @@ FROM doc_words d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = toxicity.fold(F.col("doc_id"), 5)
@@ -145,7 +153,9 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_near_dedup": op4_near_dedup,
     "op5_token_files": op5_token_files,
+    "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
 }
 
