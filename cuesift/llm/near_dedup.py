@@ -24,8 +24,8 @@ MATCHES = 36
 
 # Lists of at most so many classes are compared pair by pair, longer ones in blocks.
 SHORT_LIST = 32
-BLOCK_CLASSES = 512
-BLOCK_SHINGLES = 1 << 19
+BLOCK_CLASSES = 256
+BLOCK_SHINGLES = 1 << 17
 
 
 def _row_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -140,6 +140,8 @@ def _confirmed(pairs: DataFrame, tokens: DataFrame, sets: DataFrame, matches: in
         .select("a", "b")
     )
     left, right = (sets.select(F.col("class").alias(s), F.col("shingles").alias(f"set_{s}")) for s in "ab")
+    # few are left; written, so that their sets are fetched by a step of its own
+    agreed = stored(agreed, "agreed-pairs")
     return agreed.join(left, "a").join(right, "b").where(_near("set_a", "set_b", percent)).select("a", "b")
 
 
@@ -246,7 +248,7 @@ def residual_links(
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    by_pair = _confirmed(pairs, tokens, sets, matches, percent)
+    by_pair = stored(_confirmed(pairs, tokens, sets, matches, percent), "pair-links")
 
     long = (
         open_.where(F.col("size") > SHORT_LIST)
@@ -272,7 +274,8 @@ def residual_links(
     right = placed.select(
         *ids, F.lit(1).alias("side"), each("left_blocks").alias("left"), share("right_blocks").alias("right")
     )
-    rows = left.unionByName(right).join(sets, "class")
+    # dealt out without the sets first, which then meet only the rows that need them
+    rows = stored(left.unionByName(right), "blocks").join(sets, "class")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_block_links(part, percent), columns=["a", "b"], dtype="int64")
