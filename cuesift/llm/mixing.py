@@ -185,12 +185,14 @@ def mix(
     unless they begin with ``mix_`` or two underscores.
     """
     plan = source_plan(docs, weights, seed, max_epochs).drop("source", "weight")
-    plan = plan.withColumnsRenamed({"source_size": "mix_source_size", "target": "mix_target"})
-    below = F.col("cut").isNotNull() & (_unsigned("__draw") < _unsigned("cut"))
-    at = F.coalesce(F.col("__draw") == F.col("cut"), F.lit(False))
+    plan = plan.withColumnsRenamed(
+        {"source_size": "mix_source_size", "target": "mix_target", "whole": "__whole", "cut": "__cut", "rest": "__rest"}
+    )
+    below = F.col("__cut").isNotNull() & (_unsigned("__draw") < _unsigned("__cut"))
+    at = F.coalesce(F.col("__draw") == F.col("__cut"), F.lit(False))
     rows = sized(docs, seed).join(plan, "__key")
-    copies = F.col("whole") + below.cast("int")
-    rest = F.when(at, F.least("rest", "__size")).otherwise(0).cast("long")
+    copies = F.col("__whole") + below.cast("int")
+    rest = F.when(at, F.least("__rest", "__size")).otherwise(0).cast("long")
     return rows.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.col("__size").alias("mix_size"),

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact, lines, mixing, near_dedup, quality, substrings, tokens, toxicity
+from . import decontamination, exact, lines, mixing, near_dedup, personal, quality, substrings, tokens, toxicity
 
 
 @lru_cache(maxsize=256)
@@ -131,6 +131,10 @@ FROM doc_words d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents"))
 
@@ -153,6 +157,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_near_dedup": op4_near_dedup,
     "op5_token_files": op5_token_files,
+    "op6_personal_data": op6_personal_data,
     "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
