@@ -13,9 +13,9 @@ from cuesift.operators.keywords import (
     ngram_stats,
     suggest_keywords,
 )
-from cuesift.operators.results import current_results, last_failures, mark_current
+from cuesift.operators.results import current_results, last_failures, mark_current, save_results
 from cuesift.operators.status import active_conflicts, derive_status, status_drift, sync_status
-from cuesift.operators.transform import asset_texts, prompt_gate, prompts, transform_texts
+from cuesift.operators.transform import prompt_gate, prompts, text_parts, transform_texts
 
 from . import adapters as a
 
@@ -271,10 +271,11 @@ texts AS (SELECT asset_id, string_agg(text, chr(10) ORDER BY ordinal) AS text FR
 
 @check(
     "asset_full_text",
-    f"WITH {a.SEGMENTS_SQL}, {_TEXTS_SQL} SELECT asset_id, input_chars::BIGINT AS input_chars, text FROM texts JOIN sizes USING (asset_id) WHERE input_chars <= 120000",
+    f"""WITH {a.SEGMENTS_SQL} SELECT asset_id, CAST(ordinal // 500 AS BIGINT) AS part, string_agg(text, chr(10) ORDER BY ordinal) AS text
+    FROM segments GROUP BY ALL""",
 )
 def asset_full_text(spark, sf_dir):
-    return asset_texts(a.segments(spark, sf_dir))
+    return text_parts(a.segments(spark, sf_dir))
 
 
 def _wanted(spark, sf_dir):
@@ -351,6 +352,24 @@ def result_history(spark, sf_dir):
     return mark_current(a.results(spark, sf_dir)).select("result_id", "asset_id", "is_current")
 
 
+@check(
+    "save_results",
+    f"""WITH {a.RESULTS_SQL},
+    kept AS (
+      SELECT result_id, asset_id, body, status, created_at FROM results WHERE created_at < 2
+      UNION ALL SELECT 1000000000 + asset_id, asset_id, body, status, 99 FROM results WHERE created_at = 2)
+    SELECT asset_id, body, created_at::BIGINT AS created_at,
+           status = 'succeeded' AND result_id = max(result_id) FILTER (WHERE status = 'succeeded') OVER (PARTITION BY asset_id) AS is_current
+    FROM kept""",
+)
+def save_results_query(spark, sf_dir):
+    results = a.results(spark, sf_dir)
+    history = results.where(F.col("created_at") < 2)
+    new = results.where(F.col("created_at") == 2).drop("result_id", "created_at")
+    saved = history.unionByName(save_results(history, new, 99))
+    return mark_current(saved).select("asset_id", "body", "created_at", "is_current")
+
+
 @check(
     "last_failure",
     f"""WITH {a.RESULTS_SQL} SELECT asset_id, coalesce(error_code, 'UNKNOWN') AS error_code, error_message, created_at FROM results WHERE status = 'failed'

@@ -301,15 +301,28 @@ def scan_summary_query(spark, sf_dir):
 @check(
     "scan_errors",
     "SELECT o_custkey AS directory_id, '/d/' || o_orderkey AS path, o_orderpriority AS error FROM orders "
-    "WHERE o_orderpriority = '1-URGENT' ORDER BY 1, 2 LIMIT 50",
+    "WHERE o_orderpriority = '1-URGENT'",
 )
 def scan_errors_query(spark, sf_dir):
-    listing = a.table(spark, sf_dir, "orders").select(
+    return scan_errors(_error_listing(spark, sf_dir))
+
+
+@check(
+    "scan_errors_report",
+    "SELECT o_custkey AS directory_id, '/d/' || o_orderkey AS path, o_orderpriority AS error FROM orders "
+    "WHERE o_orderpriority = '1-URGENT' "
+    "QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY '/d/' || o_orderkey) <= 2",
+)
+def scan_errors_report(spark, sf_dir):
+    return scan_errors(_error_listing(spark, sf_dir), per_directory=2)
+
+
+def _error_listing(spark, sf_dir):
+    return a.table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("directory_id"),
         F.concat(F.lit("/d/"), F.col("o_orderkey").cast("string")).alias("path"),
         F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority")).alias("error"),
     )
-    return scan_errors(listing)
 
 
 @check(

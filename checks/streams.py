@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from cuesift.operators.progress import download_progress
 from cuesift.schemas import SEGMENTS
 from cuesift.session import scratch_folder
-from cuesift.sources.tables import BucketedTable
+from cuesift.sources.changes import ChangeTable
 from cuesift.streaming.ingest import stream_segments
-from cuesift.streaming.status import JOB_STATES, active_status, stream_job_states
+from cuesift.streaming.status import active_status, job_states, stream_job_states
 
 from . import adapters as a
 
@@ -36,7 +36,7 @@ def _stream(spark, sf_dir, name):
 def stream_text_segments(spark, sf_dir):
     """Documents arrive as a stream; the stored table equals the batch result."""
     folder = scratch_folder(spark, "segments")
-    table = BucketedTable(spark, f"{folder}/table", SEGMENTS, "asset_id", buckets=8)
+    table = ChangeTable(spark, f"{folder}/table", SEGMENTS, "asset_id")
     texts = _stream(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("asset_id"), F.lit(".txt").alias("ext"), F.col("text").alias("content")
     )
@@ -54,7 +54,6 @@ GROUP BY 1
 
 def _job_states(spark, sf_dir):
     folder = scratch_folder(spark, "jobs")
-    table = BucketedTable(spark, f"{folder}/table", JOB_STATES, "job_id", buckets=8)
     kind = F.col("event_type")
     events = _stream(spark, sf_dir, "events").select(
         (F.col("user_id") * 10 + F.length(kind)).alias("job_id"),
@@ -63,8 +62,8 @@ def _job_states(spark, sf_dir):
         F.col("user_id").alias("target_id"),
         "event_id",
     )
-    stream_job_states(events, table, f"{folder}/progress").awaitTermination()
-    return table.read()
+    stream_job_states(events, f"{folder}/table", f"{folder}/progress").awaitTermination()
+    return job_states(spark, f"{folder}/table")
 
 
 @check("stream_job_states", _STATES_SQL)

@@ -32,15 +32,11 @@ def redact_text(col: Column) -> Column:
 def redact_value(col: Column, data_type: T.DataType, depth: int = 0) -> Column:
     """Mask secrets in every string inside a nested value, by its type.
 
-    Strings below the nesting limit become the marker; other types cannot
-    hold it and become null there.
+    Strings below the nesting limit become the marker. Numbers and other values
+    hold no secrets and stay at any depth.
     """
-    if depth > MAX_DEPTH:
-        if isinstance(data_type, T.StringType):
-            return F.when(col.isNotNull(), F.lit(TOO_DEEP))
-        return F.lit(None).cast(data_type)
     if isinstance(data_type, T.StringType):
-        return redact_text(col)
+        return F.when(col.isNotNull(), F.lit(TOO_DEEP)) if depth > MAX_DEPTH else redact_text(col)
     if isinstance(data_type, T.ArrayType):
         return F.transform(col, lambda item: redact_value(item, data_type.elementType, depth + 1))
     if isinstance(data_type, T.MapType):

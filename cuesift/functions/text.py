@@ -21,22 +21,14 @@ _SPACE_CHARS = (
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-_CUT = "\ufdd1"
-
-
 def trim_space(col: Column) -> Column:
     """Strip leading and trailing whitespace of every kind."""
     return F.btrim(col, F.lit(_SPACE_CHARS))
 
 
 def pieces(col: Column, pattern: str) -> Column:
-    """Split at a pattern.
-
-    ``split`` compiles its pattern again for every row, ``regexp_replace`` keeps
-    it; so the cuts are marked first, with a character that is no text, and
-    splitting at one plain character needs no pattern.
-    """
-    return F.split(F.regexp_replace(col, pattern, _CUT), _CUT)
+    """Split at a pattern; no character of the text has a meaning of its own."""
+    return F.split(col, pattern)
 
 
 def lines_of(col: Column) -> Column:

@@ -12,9 +12,9 @@ from ..functions.text import contains_literal, trim_space
 from ..session import salted_join
 from .recall import filter_assets
 
-# Page limits of the listings.
-ASSET_PAGE, ASSET_PAGE_MAX = 50, 500
-SEGMENT_PAGE, SEGMENT_PAGE_MAX = 200, 1000
+# Page sizes of the listings where none is asked for.
+ASSET_PAGE = 50
+SEGMENT_PAGE = 200
 
 DIRECTORY_DUPLICATE = "DIRECTORY_DUPLICATE"
 DIRECTORY_NOT_FOUND = "DIRECTORY_NOT_FOUND"
@@ -33,8 +33,9 @@ SUMMARY = [
 ]
 
 
-def clamp(value: int | None, default: int, most: int) -> int:
-    return min(max(default if value is None else value, 1), most)
+def page_size(value: int | None, default: int) -> int:
+    """Rows asked for, at least one; a larger page is given as asked."""
+    return max(default if value is None else value, 1)
 
 
 def tags_by_asset(asset_tags: DataFrame, tags: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def list_assets(found: DataFrame, limit: int | None = None, offset: int | None =
         found.select(*present)
         .orderBy("file_name", "asset_id")
         .offset(max(offset or 0, 0))
-        .limit(clamp(limit, ASSET_PAGE, ASSET_PAGE_MAX))
+        .limit(page_size(limit, ASSET_PAGE))
     )
 
 
@@ -125,7 +126,7 @@ def list_segments(
         segments.where(F.col("asset_id") == asset_id)
         .orderBy("ordinal")
         .offset(max(offset or 0, 0))
-        .limit(clamp(limit, SEGMENT_PAGE, SEGMENT_PAGE_MAX))
+        .limit(page_size(limit, SEGMENT_PAGE))
     )
 
 

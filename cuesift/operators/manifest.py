@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import extension, file_kind, file_name, fingerprint, path_key
 from .ids import highest, number_rows
 
-MAX_REPORTED_ERRORS = 50
-
 NEW, CHANGED, UNCHANGED, REMOVED, KEPT = "new", "changed", "unchanged", "removed", "kept"
 
 
@@ -141,7 +139,13 @@ def scan_summary(listing: DataFrame, files: DataFrame, diff: DataFrame) -> DataF
     )
 
 
-def scan_errors(listing: DataFrame, limit: int = MAX_REPORTED_ERRORS) -> DataFrame:
-    """The first unreadable paths of a scan, for the report."""
-    bad = listing.where(F.col("error").isNotNull())
-    return bad.select("directory_id", "path", "error").orderBy("directory_id", "path").limit(limit)
+def scan_errors(listing: DataFrame, per_directory: int | None = None) -> DataFrame:
+    """The unreadable paths of a scan; for a short report the first ones of each directory.
+
+    Spark keeps the first rows of a directory before it shuffles them.
+    """
+    bad = listing.where(F.col("error").isNotNull()).select("directory_id", "path", "error")
+    if per_directory is None:
+        return bad
+    order = Window.partitionBy("directory_id").orderBy("path")
+    return bad.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_directory).drop("n")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import salted_join
+from .ids import highest, number_rows
 
 UNKNOWN_ERROR = "UNKNOWN"
 
@@ -31,6 +32,17 @@ def mark_current(results: DataFrame) -> DataFrame:
     ).drop("__current")
 
 
+def save_results(history: DataFrame, rows: DataFrame, created_at: int) -> DataFrame:
+    """The rows to append for new results: ids after the highest in use, and a time.
+
+    ``history`` needs its ``result_id`` only. Nothing stored is rewritten: which
+    result is current follows from the ids, see ``mark_current``. ``rows`` hold at
+    most one result per asset and model.
+    """
+    numbered = number_rows(rows, ["asset_id", "model"], "result_id", highest(history, "result_id"))
+    return numbered.withColumn("created_at", F.lit(created_at).cast("long"))
+
+
 def last_failures(results: DataFrame) -> DataFrame:
     """Why the newest failed attempt of each asset failed."""
     bad = results.where(F.col("status") == "failed")

@@ -19,6 +19,9 @@ TOO_LARGE = "POLISH_INPUT_TOO_LARGE"
 ASSET_NOT_FOUND = "ASSET_NOT_FOUND"
 UPSTREAM = "CREDENTIALS_UPSTREAM"
 
+# Segments joined into one part of a full text.
+PART_SEGMENTS = 500
+
 RESULT_ROWS = (
     "asset_id long, body string, model string, prompt_version string, status string, "
     "error_code string, error_message string, input_chars long, input_tokens long, "
@@ -52,11 +55,23 @@ def prompt_gate(assets: DataFrame, segments: DataFrame, wanted: DataFrame) -> Da
     )
 
 
+def text_parts(segments: DataFrame, per_part: int = PART_SEGMENTS) -> DataFrame:
+    """``asset_id, part, text``: the whole text of every asset in ordered parts.
+
+    A part is the text of ``per_part`` ordinals, so no group grows with the
+    asset; parts joined by line feeds in their order are the full text.
+    """
+    part = F.floor(F.col("ordinal") / per_part).cast("long").alias("part")
+    return segments.groupBy("asset_id", part).agg(
+        F.expr("listagg(text, '\n') within group (order by ordinal)").alias("text")
+    )
+
+
 def asset_texts(segments: DataFrame, max_chars: int = MAX_INPUT_CHARS) -> DataFrame:
-    """``asset_id, input_chars, text`` of every asset whose text fits.
+    """``asset_id, input_chars, text`` of the assets that the gate admits.
 
-    Only assets within the limit are joined, so each group is bounded; the
-    larger ones are found with ``text_sizes``.
+    Only assets within the limit are joined, so each group is bounded; the gate
+    reports the larger ones, and ``text_parts`` has the text of all.
     """
     small = text_sizes(segments).where(F.col("input_chars") <= max_chars)
     rows = salted_join(

@@ -10,7 +10,9 @@ from ..functions.paths import extension, file_kind, file_name, fingerprint, path
 from ..session import allow_text_decoding
 from .text import can_import
 
+# The size from which a file is refused on import, and the reason given.
 MAX_TEXT_BYTES = 16 * 1024 * 1024
+FILE_TOO_LARGE = "FILE_TOO_LARGE"
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -50,16 +52,24 @@ def classify_files(files: DataFrame, case_insensitive: bool = False) -> DataFram
     )
 
 
-def read_texts(spark: SparkSession, root: str) -> DataFrame:
-    """``path, ext, size_bytes, content`` of importable files, decoded.
+def read_texts(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """``path, ext, size_bytes, content, error`` of importable files, decoded.
 
-    The size condition reaches the scan, so over-large files are never opened.
+    Files above ``max_bytes`` are listed with an error and never opened: they come
+    from a listing without the bytes, the others from a scan with the condition.
     """
     allow_text_decoding(spark)
-    files = plain_path(_binary_files(spark, root).where(F.col("length") <= MAX_TEXT_BYTES))
-    return files.withColumn("ext", extension(F.col("path"))).where(can_import(F.col("ext"))).select(
-        "path",
-        "ext",
-        F.col("length").alias("size_bytes"),
-        decode_text(F.col("content")).alias("content"),
-    )
+    files = plain_path(_binary_files(spark, root)).withColumn("ext", extension(F.col("path")))
+    files = files.where(can_import(F.col("ext")))
+
+    def rows(part: DataFrame, content, error) -> DataFrame:
+        return part.select(
+            "path", "ext", F.col("length").alias("size_bytes"), content.alias("content"), error.alias("error")
+        )
+
+    nothing = F.lit(None).cast("string")
+    if max_bytes is None:
+        return rows(files, decode_text(F.col("content")), nothing)
+    small = rows(files.where(F.col("length") <= max_bytes), decode_text(F.col("content")), nothing)
+    large = rows(files.where(F.col("length") > max_bytes), nothing, F.lit(FILE_TOO_LARGE))
+    return small.unionByName(large)

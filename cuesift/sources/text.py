@@ -28,9 +28,18 @@ _CHUNK = (
     rf"|.{{{SEGMENT_CHARS}}}"
 )
 
-# A segment id packs the asset id and the ordinal. Files are at most 16 MiB and
-# a line costs two bytes, so an ordinal fits in 24 bits.
+# A segment id packs the asset id and the ordinal. An asset id has 39 bits and an
+# ordinal 24; a number beyond that stops the job, as it would name another segment.
 ORDINAL_BITS = 24
+ASSET_BITS = 63 - ORDINAL_BITS
+
+
+def segment_id(asset_id: Column, ordinal: Column) -> Column:
+    """The number of a segment, unique over all assets."""
+    fits = asset_id.between(0, (1 << ASSET_BITS) - 1) & ordinal.between(0, (1 << ORDINAL_BITS) - 1)
+    number = F.shiftleft(asset_id.cast("long"), ORDINAL_BITS) + ordinal
+    message = F.format_string("segment %s of asset %s has no segment id", ordinal, asset_id)
+    return F.when(asset_id.isNull() | fits, number).otherwise(F.raise_error(message).cast("long"))
 
 
 def _drop_blank(lines: Column) -> Column:
@@ -85,7 +94,7 @@ def number_segments(df: DataFrame, items: Column, source: Column | str = "file")
     return (
         df.select("asset_id", source.alias("source"), F.posexplode(items).alias("ordinal", "item"))
         .select(
-            (F.shiftleft(F.col("asset_id"), ORDINAL_BITS) + F.col("ordinal")).alias("segment_id"),
+            segment_id(F.col("asset_id"), F.col("ordinal")).alias("segment_id"),
             "asset_id",
             "source",
             "ordinal",

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.status import ACTIVE
-from ..sources.tables import BucketedTable
+from ..sources.changes import read_stamps, write_stamp
 
 # Newest state per job; a job's later event overrides its earlier one.
 JOB_STATES = "job_id long, type string, status string, target_id long, event_id long"
@@ -19,21 +19,15 @@ def newest_states(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(newest.alias("s")).select("job_id", "s.*")
 
 
-def stream_job_states(
-    events: DataFrame, table: BucketedTable, checkpoint: str
-) -> StreamingQuery:
-    """Keep ``table`` (keyed by ``job_id``) at the newest event of each job.
+def stream_job_states(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Add the newest state of each job of every micro-batch to the folder ``path``.
 
-    Only the buckets a micro-batch touches are read and rewritten. Merging by
-    the largest event id makes a repeated or late batch harmless.
+    Nothing stored is read or rewritten; ``job_states`` takes the newest event of
+    each job, which makes a repeated or late batch harmless.
     """
 
-    def store(batch: DataFrame, _batch_id: int) -> None:
-        jobs = batch.select("job_id").distinct()
-        old = table.read_buckets_of(jobs).join(jobs, "job_id", "left_semi")
-        columns = ["job_id", "type", "status", "target_id", "event_id"]
-        merged = newest_states(old.select(*columns).unionByName(batch.select(*columns)))
-        table.replace(merged, jobs)
+    def store(batch: DataFrame, batch_id: int) -> None:
+        write_stamp(newest_states(batch), path, batch_id)
 
     return (
         events.writeStream.foreachBatch(store)
@@ -43,6 +37,16 @@ def stream_job_states(
     )
 
 
+def job_states(spark: SparkSession, path: str) -> DataFrame:
+    """The newest state of every job in the folder ``path``."""
+    return newest_states(read_stamps(spark, path, JOB_STATES).drop("stamp"))
+
+
+def compact_job_states(spark: SparkSession, path: str, to: str) -> None:
+    """One row per job as a new folder, which a stream may go on with."""
+    write_stamp(job_states(spark, path), to, -1)
+
+
 def active_status(states: DataFrame) -> DataFrame:
     """``asset_id, active_status`` of the newest active extraction per asset."""
     active = states.where((F.col("type") == "extract") & F.col("status").isin(ACTIVE))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from cuesift.operators import quality, tagging
 from cuesift.operators.keywords import HAN, drop_fragments, eligible_words, ngram_stats, pick_keywords, suggest_keywords
 from cuesift.operators.progress import running
-from cuesift.operators.results import current_results, last_failures, mark_current
+from cuesift.operators.results import current_results, last_failures, mark_current, save_results
 from cuesift.operators.status import active_conflicts, derive_status, status_drift
-from cuesift.operators.transform import asset_texts, prompt_gate, transform_texts
+from cuesift.operators.transform import asset_texts, prompt_gate, text_parts, transform_texts
 
 SIDES = "天地人风云雨雪山水花草木"
 
@@ -216,6 +216,20 @@ def test_gate_and_texts(spark):
     got = {r.asset_id: (r.input_chars, r.gate_reason) for r in prompt_gate(assets, segments, wanted).collect()}
     assert got == {1: (5, None), 2: (120_001, "POLISH_INPUT_TOO_LARGE"), 3: (0, "EXTRACTION_NO_CONTENT"), 4: (0, "ASSET_NOT_FOUND")}
     assert [(r.asset_id, r.text) for r in asset_texts(segments).collect()] == [(1, "一😀\n二")]
+    parts = {(r.asset_id, r.part): r.text for r in text_parts(segments, per_part=1).collect()}
+    assert parts == {(1, 0): "一😀", (1, 1): "二", (2, 0): "x" * 60_000, (2, 1): "y" * 60_000}
+    assert {r.asset_id: len(r.text) for r in text_parts(segments).collect()} == {1: 4, 2: 120_001}
+
+
+def test_saved_results_get_new_ids(spark):
+    schema = "result_id long, asset_id long, body string, model string, status string"
+    history = spark.createDataFrame([(7, 1, "old", "m", "succeeded"), (9, 2, "only", "m", "succeeded")], schema)
+    rows = spark.createDataFrame([(1, "new", "m", "succeeded"), (2, "", "m", "failed"), (3, "x", "m", "succeeded")], "asset_id long, body string, model string, status string")
+    saved = save_results(history, rows, 5).collect()
+    assert sorted(r.result_id for r in saved) == [10, 11, 12] and {r.created_at for r in saved} == {5}
+    every = history.unionByName(save_results(history, rows, 5).drop("created_at"))
+    assert {(r.asset_id, r.body) for r in current_results(every).collect()} == {(1, "new"), (2, "only"), (3, "x")}
+    assert save_results(history.limit(0), rows, 5).count() == 3
 
 
 def test_transform_outcomes(spark):

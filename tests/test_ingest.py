@@ -8,10 +8,10 @@ from cuesift.operators.catalogue import mark_scanned, register_directories, remo
 from cuesift.operators.ids import number_rows
 from cuesift.operators.manifest import diff_manifest, listed_files, scan_errors, scan_summary
 from cuesift.plans.ingest import apply_scan, import_texts, scan_folder
-from cuesift.sources.tables import BucketedTable
-from cuesift.sources.text import segment_texts
-from cuesift.streaming.ingest import stream_texts
-from cuesift.streaming.status import JOB_STATES, active_status, newest_states, stream_job_states
+from cuesift.sources.changes import ChangeTable
+from cuesift.sources.text import segment_id, segment_texts
+from cuesift.streaming.ingest import import_failures, retry_paths, stream_texts
+from cuesift.streaming.status import active_status, compact_job_states, job_states, newest_states, stream_job_states
 
 LISTING = "directory_id long, path string, size_bytes long, mtime_ms double, error string"
 
@@ -59,12 +59,13 @@ def test_a_cancelled_scan_removes_nothing(spark, empty):
     assert second.summary.first().removed == 0
 
 
-def test_errors_are_counted_and_capped(spark, empty):
+def test_errors_are_counted_and_all_reported(spark, empty):
     rows = listing(spark, (1, "/a/x.mp4", 1, 1.0), *[(1, f"/a/bad{i:02}", None, None, "EACCES") for i in range(60)])
     files = listed_files(rows)
     diff = diff_manifest(empty.select("asset_id", "directory_id", "path_key", "path", "fingerprint"), files, scans(spark, (1, True)))
     assert scan_summary(rows, files, diff).first().visited == 61
-    assert scan_errors(rows).count() == 50
+    assert scan_errors(rows).count() == 60
+    assert [r.path for r in scan_errors(rows, per_directory=2).orderBy("path").collect()] == ["/a/bad00", "/a/bad01"]
 
 
 def test_dense_ids(spark):
@@ -138,44 +139,66 @@ def test_scan_a_folder(spark, empty, tmp_path):
 
 
 def test_replacing_by_key(spark, tmp_path):
-    table = BucketedTable(spark, str(tmp_path / "t"), "k long, v string", "k", buckets=3)
+    table = ChangeTable(spark, str(tmp_path / "t"), "k long, v string", "k")
     assert table.read().count() == 0
     rows = lambda *items: spark.createDataFrame(list(items), "k long, v string")
-    table.replace(rows((1, "a"), (2, "b"), (2, "bb"), (3, "c")), rows((1, ""), (2, ""), (3, "")))
-    table.replace(rows((2, "B")), rows((2, ""), (3, "")))
+    table.replace(rows((1, "a"), (2, "b"), (2, "bb"), (3, "c")), rows((1, ""), (2, ""), (3, "")), 0)
+    table.replace(rows((2, "B")), rows((2, ""), (3, "")), 1)
     assert sorted(map(tuple, table.read().collect())) == [(1, "a"), (2, "B")]
-    table.replace(rows().limit(0), rows((1, ""), (2, "")))
+    table.replace(rows((2, "B")), rows((2, ""), (3, "")), 1)  # the same write again
+    assert sorted(map(tuple, table.read().collect())) == [(1, "a"), (2, "B")]
+    small = table.compacted(str(tmp_path / "small"), 1)
+    assert sorted(map(tuple, small.read().collect())) == [(1, "a"), (2, "B")]
+    small.replace(rows((1, "A")), rows((1, "")), 2)
+    assert sorted(map(tuple, small.read().collect())) == [(1, "A"), (2, "B")]
+    table.replace(rows().limit(0), rows((1, ""), (2, "")), 2)
     assert table.read().count() == 0
 
 
-def test_an_unpublished_write_is_never_read(spark, tmp_path):
-    table = BucketedTable(spark, str(tmp_path / "t"), "k long, v string", "k", buckets=1)
-    one = spark.createDataFrame([(1, "a")], "k long, v string")
-    table.replace(one, one)
-    lost = one.withColumn("v", F.lit("lost")).withColumn("bucket", F.lit(0)).withColumn("version", F.lit("dead"))
-    lost.write.mode("append").partitionBy("bucket", "version").parquet(str(tmp_path / "t" / "data"))
-    assert [r.v for r in table.read().collect()] == ["a"]
+def test_a_write_costs_what_it_brings(spark, tmp_path):
+    table = ChangeTable(spark, str(tmp_path / "t"), "k long, v string", "k")
+    many = spark.range(5000).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    table.replace(many, many, 0)
+    table.replace(many.where("k = 3"), many.where("k = 3"), 1)
+    assert spark.read.parquet(str(tmp_path / "t")).where("stamp = 1").count() == 2
+    assert table.read().count() == 5000
+
+
+def test_segment_ids_beyond_their_range_stop_the_job(spark):
+    ids = spark.createDataFrame([(0, 0), (1, 5), ((1 << 39) - 1, (1 << 24) - 1)], "a long, o int")
+    assert len({r[0] for r in ids.select(segment_id(F.col("a"), F.col("o"))).collect()}) == 3
+    for a, o in ((1 << 39, 0), (1 << 40, 0), (-1, 0), (1, 1 << 24)):
+        bad = spark.createDataFrame([(a, o)], "a long, o int")
+        with pytest.raises(Exception, match="has no segment id"):
+            bad.select(segment_id(F.col("a"), F.col("o"))).collect()
 
 
 def test_streamed_files_equal_the_batch(spark, tmp_path):
-    root, store = tmp_path / "in", BucketedTable(spark, str(tmp_path / "t"), schemas.SEGMENTS, "asset_id", buckets=4)
+    root, store = tmp_path / "in", ChangeTable(spark, str(tmp_path / "t"), schemas.SEGMENTS, "asset_id")
     root.mkdir()
     paths = {1: root / "a.srt", 2: root / "b.txt", 3: root / "c.bin"}
     paths[1].write_text("1\n00:00:01,000 --> 00:00:02,000\none\n")
     paths[2].write_text("x\ny\n")
     paths[3].write_text("no")
-    assets = spark.createDataFrame([(i, str(p)) for i, p in paths.items()], "asset_id long, path string")
-    run = lambda: stream_texts(spark, str(root), assets, store, str(tmp_path / "progress")).awaitTermination()
+    early, large = root / "e.txt", root / "f.txt"
+    early.write_text("early\n")
+    large.write_text("z" * 5000)
+    assets = spark.createDataFrame([*[(i, str(p)) for i, p in paths.items()], (6, str(large))], "asset_id long, path string")
+    failures = str(tmp_path / "failures")
+    run = lambda: stream_texts(spark, str(root), assets, store, failures, str(tmp_path / "progress"), max_bytes=4000).awaitTermination()
     run()
     files = spark.createDataFrame([(1, ".srt", paths[1].read_text()), (2, ".txt", "x\ny\n")], "asset_id long, ext string, content string")
     key = lambda frame: sorted((r.segment_id, r.text, r.start_ms or -1) for r in frame.collect())
     assert key(store.read()) == key(segment_texts(files))
+    bad = {r.path.rsplit("/", 1)[1]: r.error for r in import_failures(spark, failures).collect()}
+    assert bad == {"c.bin": "UNSUPPORTED_FORMAT", "e.txt": "ASSET_NOT_FOUND", "f.txt": "FILE_TOO_LARGE"}
     late = root / "d.txt"
     late.write_text("late\n")
-    assets = assets.unionByName(spark.createDataFrame([(4, str(late))], assets.schema))
+    assets = assets.unionByName(spark.createDataFrame([(4, str(late)), (5, str(early))], assets.schema))
     run()
     assert [r.text for r in store.read().where("asset_id = 4").collect()] == ["late"]
     assert store.read().count() == 4
+    assert [r.asset_id for r in retry_paths(spark, failures, assets).collect()] == [5]
 
 
 def test_streamed_job_states_equal_the_batch(spark, tmp_path):
@@ -184,13 +207,15 @@ def test_streamed_job_states_equal_the_batch(spark, tmp_path):
         [(1, "extract", "queued", 10, 1), (2, "extract", "queued", 11, 2), (3, "scan", "queued", 10, 3)],
         [(1, "extract", "running", 10, 4), (2, "extract", "succeeded", 11, 5), (1, "extract", "queued", 10, 1)],
     ]
-    table = BucketedTable(spark, str(tmp_path / "t"), JOB_STATES, "job_id", buckets=2)
+    path = str(tmp_path / "t")
     for batch in batches:
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         events = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        stream_job_states(events, table, str(tmp_path / "progress")).awaitTermination()
+        stream_job_states(events, path, str(tmp_path / "progress")).awaitTermination()
     whole = spark.createDataFrame(batches[0] + batches[1], schema)
     columns = ["job_id", "status", "event_id"]
     pick = lambda frame: sorted(tuple(r) for r in frame.select(*columns).collect())
-    assert pick(table.read()) == pick(newest_states(whole))
-    assert [tuple(r) for r in active_status(table.read()).collect()] == [(10, "running")]
+    assert pick(job_states(spark, path)) == pick(newest_states(whole))
+    assert [tuple(r) for r in active_status(job_states(spark, path)).collect()] == [(10, "running")]
+    compact_job_states(spark, path, str(tmp_path / "small"))
+    assert pick(job_states(spark, str(tmp_path / "small"))) == pick(newest_states(whole))
