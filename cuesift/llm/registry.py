@@ -139,6 +139,39 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents"))
 
 
+OP7_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, text, string_split_regex(coalesce(text, ''), '\r\n|\r|\n') AS ls FROM documents),
+all_lines AS (
+  SELECT doc_id, line, place,
+         list_transform(list_filter(string_split_regex(line, '[\x20\x09\x0b\x0c]+'), lambda t: t <> ''),
+                        lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+  FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM texts)),
+masked AS (
+  SELECT tokens, len(tokens) AS n, tokens[1:3] AS lead, count(DISTINCT doc_id) AS docs
+  FROM all_lines WHERE len(tokens) > 0 GROUP BY tokens),
+fields AS (
+  SELECT tokens, n, lead, docs, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM masked),
+support AS (SELECT n, lead, place, token, sum(docs) AS seen FROM fields GROUP BY ALL),
+kept AS (
+  SELECT tokens, n, lead, docs,
+         list(CASE WHEN seen >= 10 THEN token ELSE '<*>' END ORDER BY place) AS template,
+         avg(CASE WHEN seen >= 10 THEN 1 ELSE 0 END) AS share
+  FROM fields JOIN support USING (n, lead, place, token) GROUP BY tokens, n, lead, docs),
+gone AS (
+  SELECT tokens FROM kept WHERE share >= 0.8
+  QUALIFY sum(docs) OVER (PARTITION BY n, lead, template) >= 10),
+judged AS (
+  SELECT l.*, g.tokens IS NOT NULL AS dropped FROM all_lines l LEFT JOIN gone g ON l.tokens = g.tokens),
+joined AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+         coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '') AS rest
+  FROM judged GROUP BY doc_id)
+SELECT doc_id, n_lines, n_dropped, CASE WHEN n_dropped > 0 THEN rest ELSE text END AS text
+FROM texts JOIN joined USING (doc_id)
+"""
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -167,6 +200,7 @@ QUERIES = {
 ORACLES = {
     "op1_decontamination": OP1_SQL,
     "op4_near_dedup": OP4_SQL,
+    "op7_line_dedup": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
 
