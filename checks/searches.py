@@ -22,8 +22,9 @@ from cuesift.operators.recall import (
     term_hits,
 )
 from cuesift.operators.terms import load_terms, normalize_queries, query_terms
-from cuesift.operators.trigram import segment_stats, trigram_postings
+from cuesift.operators.trigram import index_table, phrase_hits, segment_stats, trigram_postings, update_index
 from cuesift.plans.search import one_query, page_snippets, search, search_page, search_totals
+from cuesift.session import scratch_folder
 
 from . import adapters as a
 
@@ -94,7 +95,9 @@ labels_all AS (
   SELECT query_id, asset_id, count(DISTINCT term) AS n_terms,
          string_agg(DISTINCT term, ',' ORDER BY term) AS matched_terms,
          bool_or(lower(matched_text) = lower(term)) AS exact,
-         bool_or(source = 'file_name') AS by_name, bool_or(source = 'tag') AS by_tag
+         bool_or(source = 'file_name') AS by_name, bool_or(source = 'tag') AS by_tag,
+         string_agg(DISTINCT matched_text, ',' ORDER BY matched_text) FILTER (WHERE source = 'file_name') AS names,
+         string_agg(DISTINCT matched_text, ',' ORDER BY matched_text) FILTER (WHERE source = 'tag') AS tag_names
   FROM (SELECT *, 'file_name' AS source FROM name_hits UNION ALL SELECT *, 'tag' FROM tag_hits)
   GROUP BY ALL),
 candidates AS (
@@ -103,7 +106,8 @@ candidates AS (
          CAST(coalesce(n_terms, 0) AS INTEGER) AS n_terms, coalesce(matched_terms, '') AS matched_terms,
          0.0 - round(-best_rank, 6) AS best_rank, coalesce(segment_hits, 0) AS segment_hits,
          concat_ws(',', CASE WHEN by_name THEN 'file_name' END, CASE WHEN by_tag THEN 'tag' END,
-                        CASE WHEN b.query_id IS NOT NULL THEN 'segment' END) AS matched_in
+                        CASE WHEN b.query_id IS NOT NULL THEN 'segment' END) AS matched_in,
+         coalesce(names, '') AS matched_names, coalesce(tag_names, '') AS matched_tags
   FROM labels_all l FULL JOIN body b ON l.query_id = b.query_id AND l.asset_id = b.asset_id)
 """
 
@@ -136,6 +140,8 @@ def _flat(candidates):
         _six("best_rank").alias("best_rank"),
         "segment_hits",
         F.array_join("matched_in", ",").alias("matched_in"),
+        F.array_join("matched_names", ",").alias("matched_names"),
+        F.array_join("matched_tags", ",").alias("matched_tags"),
     )
 
 
@@ -243,6 +249,33 @@ def recall_segments_indexed(spark, sf_dir):
     return hits.withColumn("tf", F.col("tf").cast("long"))
 
 
+# every tenth asset is turned into upper case and its words reversed, every tenth deleted
+_CHANGED_SQL = f"""
+WITH {a.SEGMENTS_SQL},
+now AS (SELECT asset_id, segment_id, CASE asset_id % 10 WHEN 3 THEN upper(reverse(text)) ELSE text END AS text
+        FROM segments WHERE asset_id % 10 <> 7)
+SELECT term AS folded, segment_id, asset_id, len(regexp_extract_all(lower(text), term)) AS tf
+FROM now, (VALUES ('tion'), ('thing'), ('eht'), ('zzzz')) t(term) WHERE contains(lower(text), term)
+"""
+
+
+@check("index_after_update", _CHANGED_SQL)
+def index_after_update(spark, sf_dir):
+    """A stored index after texts changed and assets went, searched as it is."""
+    segments = a.segments(spark, sf_dir)
+    index = index_table(spark, scratch_folder(spark, "index"))
+    every = segments.select("asset_id").distinct()
+    update_index(index, segments, every, 0)
+    touched = every.where(F.col("asset_id") % 10 == 3)
+    changed = segments.join(touched, "asset_id", "left_semi").withColumn("text", F.upper(F.reverse("text")))
+    update_index(index, changed, touched, 1)
+    gone = every.where(F.col("asset_id") % 10 == 7)
+    update_index(index, segments.limit(0), gone, 2)
+    asked = normalize_queries(one_query(spark, "tion THING eht zzzz"))
+    hits = phrase_hits(index.read(), load_terms(asked).long())
+    return hits.select("folded", "segment_id", "asset_id", F.col("tf").cast("long").alias("tf"))
+
+
 @check(
     "recall_segments_matched",
     f"{_BATCH_BODY} SELECT folded, segment_id, asset_id, n_grams, tf::BIGINT AS tf FROM phrase",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.query import GRAM_LENGTH
 from ..session import cut_lineage, fits_broadcast, salted_join
+from ..sources.changes import ChangeTable
 from .matching import grams
 from .terms import Terms
 
@@ -81,6 +82,20 @@ def read_postings(
     return stored.where(F.col("gram_bucket").isin(held) & F.col("gram").isin(wanted)).drop("gram_bucket")
 
 
+def index_table(spark: SparkSession, path: str) -> ChangeTable:
+    """An index that follows its segments: postings replaced asset by asset."""
+    return ChangeTable(spark, path, POSTINGS, "asset_id")
+
+
+def update_index(index: ChangeTable, segments: DataFrame, touched: DataFrame, stamp: int) -> None:
+    """Bring the postings of the assets in ``touched(asset_id)`` to ``segments``.
+
+    ``segments`` holds all segments these assets have now; an asset without any
+    leaves the index. Only the touched assets' postings are written.
+    """
+    index.replace(trigram_postings(segments), touched, stamp)
+
+
 def cover_of(folded: str) -> list[tuple[str, int]]:
     """Grams that together spell a term, with their offsets; none for short terms."""
     last = len(folded) - GRAM_LENGTH
@@ -108,8 +123,9 @@ def term_covers(terms: Terms) -> DataFrame:
 
 def rarest_grams(postings: DataFrame, covers: DataFrame) -> DataFrame:
     """Of each term's cover, the gram with the fewest postings: one row per term."""
-    # counted before the join: a common gram leaves each task as one row
-    counted = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # only grams that are asked for are counted, and a common one leaves each task as one row
+    wanted = covers.select("gram").distinct()
+    counted = postings.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rated = covers.join(counted, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     first = F.min(F.struct("n", "offset", "gram"))
     return rated.groupBy("folded", "n_cover").agg(first.alias("lead")).select(

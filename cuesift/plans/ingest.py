@@ -18,6 +18,7 @@ from ..operators.extraction import (
 )
 from ..operators.ids import highest
 from ..operators.manifest import apply_diff, diff_manifest, listed_files, scan_summary
+from ..session import stored
 from ..sources.files import MAX_TEXT_BYTES, list_files
 from ..sources.text import can_import, number_segments, parse_text
 
@@ -72,8 +73,10 @@ def import_texts(
     script: str = "simplified",
     script_table: dict[str, str] | None = None,
 ) -> ImportResult:
-    """Import the text of all assets that need it, in one job.
+    """Import the text of all assets that need it.
 
+    Every file is parsed once: what that gives is written to the shared folder,
+    and all results are read from there.
     ``contents(asset_id, content)`` holds the decoded files; an asset without a
     row there could not be read. Over-large and unreadable assets fail with a
     reason and keep their old segments; the others are replaced. The label
@@ -96,6 +99,7 @@ def import_texts(
         .when(F.col("content").isNull(), F.lit("text file could not be read"))
         .alias("error_message"),
     )
+    tried = stored(tried, "parsed-files")
     outcomes = tried.select(
         "asset_id",
         "fingerprint",

@@ -130,6 +130,28 @@ def test_import(spark):
     assert [r.text for r in newer.segments.where("asset_id = 1").collect()] == ["new"]
 
 
+def test_every_file_is_parsed_once(spark):
+    n = 30
+    assets = spark.range(n).select(
+        F.col("id").alias("asset_id"), F.lit(".txt").alias("ext"), F.lit(4).cast("long").alias("size_bytes"),
+        F.lit("f").alias("fingerprint"), F.lit("none").alias("extract_status"),
+    )
+    full = spark.createDataFrame([], schemas.ASSETS)
+    assets = full.unionByName(assets, allowMissingColumns=True)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def content(_):
+        read.add(1)
+        return "a\nb\n"
+
+    contents = spark.range(n).select(F.col("id").alias("asset_id"), content.asNondeterministic()("id").alias("content"))
+    done = import_texts(assets, contents, spark.createDataFrame([], schemas.SEGMENTS), spark.createDataFrame([], schemas.RUNS), 5)
+    assert done.segments.count() == 2 * n and done.runs.count() == n
+    assert done.assets.where("extract_status = 'done'").count() == n and done.outcomes.count() == n
+    assert read.value == n
+
+
 def test_scan_a_folder(spark, empty, tmp_path):
     (tmp_path / "a.txt").write_text("x")
     (tmp_path / "b.bin").write_text("x")
