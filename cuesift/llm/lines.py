@@ -26,10 +26,11 @@ def masked_tokens(line: Column) -> Column:
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """``key, at, line, branch``: the lines of every document that have tokens.
+    """``key, at, line, branch, masked``: the lines of every document that have tokens.
 
-    A document's rows that agree in id and text are one. ``branch`` is 128 bits of
-    the token count and the leading tokens.
+    A document's rows that agree in id and text are one. ``masked`` are the masked
+    tokens with one space between them, ``line`` is 128 bits of that and ``branch``
+    128 bits of the token count and the leading tokens.
     """
     texts = docs.select(row_key().alias("key"), F.split(F.coalesce("text", F.lit("")), "\r\n|\r|\n").alias("all"))
     lines = texts.select("key", F.posexplode("all").alias("at", "line"))
@@ -40,7 +41,7 @@ def document_lines(docs: DataFrame) -> DataFrame:
         "at",
         F.unhex(F.md5(F.array_join("tokens", " "))).alias("line"),
         F.unhex(F.md5(F.concat_ws(" ", F.size("tokens").cast("string"), lead))).alias("branch"),
-        "tokens",
+        F.array_join("tokens", " ").alias("masked"),
     )
 
 
@@ -49,20 +50,23 @@ def recurring_lines(
 ) -> DataFrame:
     """``line, template, documents`` of the masked lines that belong to a recurring template.
 
-    Branches with too few documents are left at once. In the others a token is
-    kept where enough documents of the branch have it at that place, and is a
-    variable field elsewhere; lines that come to the same kept tokens share a
-    template. A line joins its template only if enough of its tokens are kept.
-    Counting is by distinct masked line, each with its number of documents, so a
-    line in a third of all documents is one row.
+    Branches with too few documents are left at once, before any text is moved.
+    In the others a token is kept where enough documents of the branch have it at
+    that place, and is a variable field elsewhere; lines that come to the same
+    kept tokens share a template. A line joins its template only if enough of its
+    tokens are kept. Counting is by distinct masked line, each with its number of
+    documents, so a line in a third of all documents is one row.
     """
-    distinct = lines.groupBy("branch", "line").agg(
-        F.count_distinct("key").alias("documents"), F.min("tokens").alias("tokens")
+    counted = lines.select("branch", "line", "key").distinct()
+    counted = stored(
+        counted.groupBy("branch", "line").agg(F.count(F.lit(1)).alias("documents")), "distinct-lines"
     )
-    distinct = stored(distinct, "distinct-lines")
-    full = distinct.groupBy("branch").agg(F.sum("documents").alias("n")).where(F.col("n") >= min_documents)
-    open_ = distinct.join(full.select("branch"), "branch", "left_semi")
-    tokens = open_.select("branch", "line", "documents", F.posexplode("tokens").alias("at", "token"))
+    full = counted.groupBy("branch").agg(F.sum("documents").alias("n")).where(F.col("n") >= min_documents)
+    wanted = stored(counted.join(full.select("branch"), "branch", "left_semi"), "open-lines")
+    texts = lines.select("line", "masked").join(wanted.select("line"), "line", "left_semi")
+    texts = texts.groupBy("line").agg(F.min("masked").alias("masked"))
+    open_ = stored(wanted.join(texts, "line"), "open-texts")
+    tokens = open_.select("branch", "line", "documents", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     support = tokens.groupBy("branch", "at", "token").agg(F.sum("documents").alias("n"))
     kept = (
         tokens.join(support, ["branch", "at", "token"])
@@ -81,6 +85,7 @@ def recurring_lines(
         )
         .where(F.col("share") >= similarity)
     )
+    kept = stored(kept, "kept-lines")
     templates = kept.groupBy("branch", "template").agg(F.sum("documents").alias("n"))
     templates = templates.where(F.col("n") >= min_documents)
     return kept.join(templates, ["branch", "template"]).select("line", "template", F.col("n").alias("documents"))
