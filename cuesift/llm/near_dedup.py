@@ -335,7 +335,9 @@ def near_duplicates(
         groups.join(joined.select(F.col("node").alias("class"), "component"), "class", "left")
         .withColumn("component", F.coalesce("component", "class"))
     )
-    smallest = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"))
+    named = stored(named, "named-classes")
+    # written, so that both sides of the join are dealt out anew and Spark can split a large component
+    smallest = stored(named.groupBy("component").agg(F.min(order).alias("first")), "component-heads")
     labels = named.join(smallest, "component").select(
         "set_a", "set_b", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key")
     )
