@@ -143,6 +143,44 @@ def test_substrings_keep_one_copy(spark, odd, empty):
     assert substrings.substring_dedup(empty).collect() == []
 
 
+def test_short_passages_go_to_their_last_word(spark):
+    draw = random.Random(5)
+    own = collections.defaultdict(list)
+    rows = []
+    for i in range(300):
+        passage = prose(draw, 51)
+        own[passage] = [(prose(draw, 40), prose(draw, 40)) for _ in range(2)]
+        rows += [(2 * i + n, f"{before} {passage} {after}") for n, (before, after) in enumerate(own[passage])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in substrings.substring_dedup(docs).collect()}
+    whole = sum(r.removed_words >= 51 for i, r in got.items() if i % 2)
+    assert whole >= 299
+    for i, (passage, pairs) in enumerate(own.items()):
+        before, after = pairs[1]
+        assert got[2 * i].text == rows[2 * i][1]
+        left = got[2 * i + 1]
+        if left.removed_words == 51:
+            assert left.text == f"{before}  {after}" and left.first_ids == [2 * i]
+            assert [(s.begin, s.end) for s in left.spans] == [(len(before) + 1, len(before) + 1 + len(passage))]
+
+
+def test_passages_are_followed_beyond_what_is_read_at_first(spark):
+    draw = random.Random(6)
+    # the chunks of the middle stand first elsewhere, so only the ends of the passage stand first in 2
+    middle, ends = prose(draw, 900), [prose(draw, 30), prose(draw, 30)]
+    passage = f"{ends[0]} {middle} {ends[1]}"
+    rows = [(1, f"{prose(draw, 20)} {middle} {prose(draw, 20)}")]
+    rows += [(i, f"{prose(draw, 20)} {a}{passage}{b} {prose(draw, 20)}") for i, a, b in ((2, "x", "y"), (3, "q", "r"))]
+    rows += [(4, "few shared words only " + ends[0][: len(ends[0]) // 3]), (5, "  "), (6, "  ")]
+    found = substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got, texts = {r.doc_id: r for r in found}, dict(rows)
+    assert got[1].text == texts[1] and got[4].text == texts[4] and got[5].text == "  " and got[6].text == ""
+    assert got[2].removed_words == 900 and got[2].first_ids == [1]
+    (span,) = got[3].spans
+    inside = passage[passage.index(" ") + 1 : passage.rindex(" ")]  # the outermost words are others in 2
+    assert texts[3][span.begin : span.end] == inside and got[3].first_ids == [1, 2]
+
+
 def expected_lines(rows, least, similarity):
     """The same tree without Spark."""
     split = lambda t: re.split(r"\r\n|\r|\n", t or "")
