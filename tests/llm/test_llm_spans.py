@@ -95,6 +95,28 @@ def test_pattern_scores_match_brute_force(spark):
     assert {r.instance: round(r.score, 9) for r in new.collect()} == want
 
 
+def test_scores_settle_however_many_identifiers_are_unseen(spark):
+    # pattern: known, unseen of its own
+    sizes = {"few": (3, 0), "three": (3, 1), "many": (20, 40), "hot": (3, 3000), "two": (2, 1)}
+    found = [("phone", f"{p}-{i}", p, i < k) for p, (k, m) in sizes.items() for i in range(k + m)]
+    found += [("phone", f"both-{i}", p, False) for i in range(50) for p in ("three", "hot")]
+    frame = spark.createDataFrame(found, "kind string, instance string, pattern string, known boolean")
+    sure, new = learned_patterns(frame)
+    score = {r.pattern: r.confidence for r in sure.collect()}
+    assert set(score) == {"few", "three", "many", "hot"}
+    assert abs(score["few"] - 3 / 3.75) < 1e-5 and abs(score["many"] - 20 / 20.75) < 1e-5
+    assert 0.8 < score["hot"] < 1 and abs(score["hot"] - score["three"]) < 1e-6
+    got = {r.instance for r in new.collect()}
+    assert got == {i for _, i, p, known in found if not known and p != "two"}
+
+
+def test_few_known_identifiers_suffice(spark):
+    rows = [(i, f"reach me at user{i}@mail.example.org") for i in range(3)]
+    rows += [(100 + i, f"reach me at hidden{i}(at)mail.example.org") for i in range(40)]
+    got = personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.spans != "" for r in got} == {i: True for i, _ in rows}
+
+
 def prose(draw, n):
     return " ".join("".join(draw.choice("abcdefé") for _ in range(draw.randrange(2, 8))) for _ in range(n))
 
