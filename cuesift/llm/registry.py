@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact, lines, mixing, near_dedup, personal, quality, substrings, tokens, toxicity
+from . import codes, decontamination, exact, grid_join, lines, mixing, near_dedup, personal, prefix_trie, quality
+from . import substrings, tokens, toxicity
 
 
 @lru_cache(maxsize=256)
@@ -184,6 +185,123 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+_ROUND = """
+near{r} AS MATERIALIZED (
+  SELECT pos, part, n, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT p.pos, p.part, p.n, b.e,
+               list_sum(list_transform(list_zip(p.part, b.entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM parts p JOIN book{r} b USING (pos))
+  GROUP BY pos, part, n)"""
+
+_MOVE = """
+means{r} AS (
+  SELECT pos, e, list(m ORDER BY place) AS entry
+  FROM (SELECT pos, e, place, ((sum(n * x) - (sum(n * x) % sum(n) + sum(n)) % sum(n)) // sum(n))::BIGINT AS m
+        FROM (SELECT pos, e, n, unnest(part) AS x, generate_subscripts(part, 1) AS place FROM near{r})
+        GROUP BY pos, e, place)
+  GROUP BY pos, e),
+book{s} AS MATERIALIZED (
+  SELECT b.pos, b.e, coalesce(m.entry, b.entry) AS entry FROM book{r} b LEFT JOIN means{r} m USING (pos, e))"""
+
+OP11_SQL = (
+    """
+WITH whole AS (
+  SELECT row_number() OVER () AS id, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+sized AS (
+  SELECT * FROM whole WHERE len(v) = (
+    SELECT len(v) FROM whole WHERE len(v) > 0 AND len(v) % 8 = 0 ORDER BY vec_id NULLS LAST, v LIMIT 1)),
+cut AS MATERIALIZED (
+  SELECT id, pos, v[pos * (len(v) // 8) + 1:(pos + 1) * (len(v) // 8)] AS part
+  FROM sized, (SELECT unnest(range(8)) AS pos)),
+parts AS MATERIALIZED (SELECT pos, part, count(*) AS n FROM cut GROUP BY ALL),
+first AS (SELECT id, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM sized),
+book0 AS MATERIALIZED (SELECT pos, e, part AS entry FROM first JOIN cut USING (id) WHERE e < 16),"""
+    + ",".join(_ROUND.format(r=r) + "," + _MOVE.format(r=r, s=r + 1) for r in range(6))
+    + ","
+    + _ROUND.format(r=6)
+    + """,
+coded AS (
+  SELECT id, string_agg(lpad(to_hex(e), 2, '0'), '' ORDER BY pos) AS code, sum(d)::BIGINT AS error
+  FROM cut JOIN near6 USING (pos, part) GROUP BY id)
+SELECT vec_id, lower(code) AS code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY pos, e)) FROM book6) AS codebooks_sha256
+FROM sized JOIN coded USING (id)
+"""
+)
+
+
+def op12_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.vector_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH RECURSIVE whole AS (
+  SELECT row_number() OVER () AS id, vec_id, embedding::DOUBLE[] AS v,
+         embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fit
+  FROM embeddings),
+links AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b, b.vec_id FROM whole a JOIN whole b ON a.id <> b.id AND len(a.v) = len(b.v)
+  WHERE a.fit AND b.fit AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(a, b) AS (
+  SELECT id, id FROM whole UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a AS id, min(vec_id) AS component_id FROM reach JOIN whole ON whole.id = b GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = whole.id) AS n_links, component_id,
+       vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM whole JOIN least USING (id)
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = """
+WITH turns AS MATERIALIZED (
+  SELECT conv_id, digest, size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place
+  FROM (SELECT conv_id, turn, strlen(coalesce(text, '')) AS size,
+               md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+        FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS MATERIALIZED (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ord(s)::BIGINT),
+           lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT conv_id, digest, size, row_number() OVER (PARTITION BY conv_id ORDER BY own, place) AS d
+  FROM (SELECT c.conv_id, digest, size, 0 AS own, place FROM convs c JOIN turns t ON t.conv_id = base AND place <= h
+        UNION ALL
+        SELECT c.conv_id, digest, size, 1 AS own, place FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND place > h)),
+prefixes AS MATERIALIZED (
+  SELECT conv_id, d, size, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY d) AS k FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+lengths AS (SELECT conv_id, max(d) AS d FROM prefixes GROUP BY conv_id),
+ends AS (
+  SELECT k, string_agg(conv_id, ',' ORDER BY conv_id) AS ids FROM prefixes JOIN lengths USING (conv_id, d) GROUP BY k),
+nodes AS MATERIALIZED (
+  SELECT d, k, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * max(size) AS saved FROM prefixes GROUP BY d, k),
+parents AS MATERIALIZED (
+  SELECT n.k, p.k AS parent FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.d = n.d - 1),
+children AS (SELECT parent AS k, count(*) AS n_children FROM parents GROUP BY parent),
+subtrees AS (
+  SELECT p.k, sum(n.saved) AS saved, count(*) FILTER (WHERE n_children IS NULL) AS leaves
+  FROM nodes n LEFT JOIN children c USING (k) JOIN prefixes p ON p.conv_id = n.conv_id AND p.d <= n.d
+  GROUP BY p.k)
+SELECT n.conv_id, n.d::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n AS n_convs,
+       coalesce(n_children, 0) AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n JOIN subtrees s USING (k) LEFT JOIN children USING (k) LEFT JOIN ends USING (k)
+     LEFT JOIN parents p USING (k) LEFT JOIN nodes up ON up.k = p.parent
+"""
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -195,6 +313,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_vector_duplicates": op12_vector_duplicates,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
@@ -202,6 +323,9 @@ ORACLES = {
     "op4_near_dedup": OP4_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op11_vector_codes": OP11_SQL,
+    "op12_vector_duplicates": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
 
 

@@ -20,6 +20,8 @@ from test_llm_near_and_benchmark import expected_components, expected_hits
 
 SF_DIR = "/root/testdata/sf0.001"
 
+NOT_DOCUMENTS = ("op11_vector_codes", "op12_vector_duplicates", "op13_prefix_trie")
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
 
@@ -33,7 +35,7 @@ def database():
 
 def test_one_query_for_each_operator():
     numbers = [name.split("_")[0] for name in registry.queries()]
-    assert numbers == [f"op{n}" for n in range(1, 11)]
+    assert numbers == [f"op{n}" for n in range(1, 14)]
     assert set(registry.oracles()) <= set(registry.queries())
 
 
@@ -41,7 +43,8 @@ def test_one_query_for_each_operator():
 def test_query(spark, database, name):
     frame = registry.queries()[name](spark, SF_DIR)
     rows = frame.collect()
-    assert len(rows) == 200
+    if name not in NOT_DOCUMENTS:
+        assert len(rows) == 200
     if name in registry.oracles():
         cursor = database.execute(registry.oracles()[name])
         columns = [c[0] for c in cursor.description]
