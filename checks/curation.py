@@ -61,12 +61,11 @@ _WORDS = f"WITH {a.SEGMENTS_SQL}, {_NGRAMS}"
 
 @check(
     "ngram_stats",
-    f"{_WORDS} SELECT asset_id, word, frequency, left_varied, right_varied FROM stats WHERE frequency >= 3",
+    f"{_WORDS} SELECT asset_id, word, frequency, left_varied, right_varied FROM stats",
 )
 def ngram_stats_query(spark, sf_dir):
-    """Words frequent enough to be candidates, with their neighbours judged."""
-    stats = ngram_stats(a.segments(spark, sf_dir), LETTERS)
-    return stats.where("frequency >= 3").drop("first_seen")
+    """Every word of every asset, with its neighbours judged."""
+    return ngram_stats(a.segments(spark, sf_dir), LETTERS).drop("first_seen")
 
 
 @check("keyword_fragments_removed", f"{_WORDS} SELECT asset_id, word, frequency FROM whole")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuesift.functions.paths import fingerprint
@@ -44,6 +45,22 @@ def list_assets_page(spark, sf_dir):
     return ops.list_assets(found, offset=20).select(*_PAGE.split(", "))
 
 
+@check(
+    "list_assets_walked",
+    f"""WITH {a.ASSETS_SQL} SELECT {_PAGE}, n - 121 AS place FROM (
+      SELECT *, row_number() OVER (ORDER BY file_name, asset_id) AS n FROM assets) WHERE n BETWEEN 121 AND 160""",
+)
+def list_assets_walked(spark, sf_dir):
+    """The fourth page of forty, each page asked for after the last row of the one before."""
+    found, last = a.assets(spark, sf_dir), None
+    for _ in range(3):
+        row = ops.list_assets(found, 40, after=last).collect()[-1]
+        last = (row.file_name, row.asset_id)
+    page = ops.list_assets(found, 40, after=last)
+    # one page: its rows are numbered to compare their order too
+    return page.select(*_PAGE.split(", "), (F.row_number().over(Window.orderBy("file_name", "asset_id")) - 1).cast("long").alias("place"))
+
+
 @check(
     "list_assets_total",
     f"WITH {a.ASSETS_SQL} SELECT count(*) AS total FROM assets WHERE kind = 'text' AND contains(file_name, 'rc1')",
@@ -338,13 +355,12 @@ def fingerprint_query(spark, sf_dir):
 _EVENT_ASSETS_SQL = """
 event_assets AS (
   SELECT user_id AS asset_id, max(CAST(floor(value) AS BIGINT)) || ':' || (user_id * 1000) AS fingerprint
-  FROM events WHERE event_type IN ('click', 'purchase', 'view') GROUP BY user_id)
+  FROM events GROUP BY user_id)
 """
 
 
 def _event_assets(spark, sf_dir):
-    events = a.table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase", "view"))
-    top = events.groupBy(F.col("user_id").alias("asset_id")).agg(F.max(F.floor("value")).alias("size"))
+    top = a.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("asset_id")).agg(F.max(F.floor("value")).alias("size"))
     return top.select("asset_id", fingerprint(F.col("size"), F.col("asset_id") * 1000).alias("fingerprint"))
 
 

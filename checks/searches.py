@@ -10,7 +10,7 @@ from cuesift.functions.text import contains_literal
 from cuesift.operators import quality
 from cuesift.operators.bm25 import score_hits
 from cuesift.operators.matching import match_terms
-from cuesift.operators.ranking import top_segments
+from cuesift.operators.ranking import last_rows, next_page, result_page, top_segments
 from cuesift.operators.recall import (
     hit_counts,
     merge_recalls,
@@ -22,9 +22,9 @@ from cuesift.operators.recall import (
     term_hits,
 )
 from cuesift.operators.terms import load_terms, normalize_queries, query_terms
-from cuesift.operators.trigram import index_table, phrase_hits, segment_stats, trigram_postings, update_index
-from cuesift.plans.search import one_query, page_snippets, search, search_page, search_totals
-from cuesift.session import scratch_folder
+from cuesift.operators.trigram import GramIndex, gram_blocks, segment_stats
+from cuesift.plans.search import one_query, page_snippets, search, search_page, search_top, search_totals
+from cuesift.session import cut_lineage, scratch_folder
 
 from . import adapters as a
 
@@ -59,9 +59,13 @@ seg_low AS (SELECT *, lower(text) AS low, CAST(greatest(length(text) - 2, 0) AS
 totals AS (SELECT count(*)::DOUBLE AS n_all, avg(n_grams) AS mean FROM seg_low),
 phrase AS (
   SELECT t.folded, s.segment_id, s.asset_id, s.n_grams,
-         len(list_filter(generate_series(1, length(s.low) - length(t.folded) + 1),
-             lambda p: substr(s.low, p, length(t.folded)) = t.folded)) AS tf
-  FROM (SELECT DISTINCT folded FROM long_terms) t JOIN seg_low s ON contains(s.low, t.folded)),
+         -- a term that cannot overlap itself is counted by splitting
+         CASE WHEN t.plain THEN len(string_split(s.low, t.folded)) - 1
+              ELSE len(list_filter(generate_series(1, length(s.low) - length(t.folded) + 1),
+                       lambda p: substr(s.low, p, length(t.folded)) = t.folded)) END AS tf
+  FROM (SELECT DISTINCT folded, len(list_filter(generate_series(1, length(folded) - 1),
+                                    lambda n: left(folded, n) = right(folded, n))) = 0 AS plain
+        FROM long_terms) t JOIN seg_low s ON contains(s.low, t.folded)),
 weights AS (
   SELECT folded, greatest(ln((n_all - n + 0.5) / (n + 0.5)), 1e-6) AS idf
   FROM (SELECT folded, count(*) AS n FROM phrase GROUP BY folded), totals),
@@ -122,7 +126,20 @@ def _terms(spark):
 
 
 def _batch_terms(spark, sf_dir):
-    return load_terms(normalize_queries(a.queries(spark, sf_dir)))
+    return _asked_terms(a.queries(spark, sf_dir))
+
+
+def _asked_terms(asked):
+    return load_terms(normalize_queries(asked))
+
+
+def _spark(found):
+    return found.assets.sparkSession
+
+
+def _postings(found):
+    """The catalogue's index, or one made on the way."""
+    return gram_blocks(found.segments) if found.postings is None else found.postings
 
 
 def _six(column):
@@ -207,8 +224,9 @@ def like_literal(spark, sf_dir):
     f"WITH {a.ASSETS_SQL}, {_FLAGSHIP_TERMS} SELECT query_id, asset_id, file_name AS matched_text, term "
     "FROM assets JOIN terms ON contains(lower(file_name), folded)",
 )
-def recall_names_query(spark, sf_dir):
-    return recall_names(a.assets(spark, sf_dir), _terms(spark))
+@a.served("recall_names")
+def recall_names_query(found, asked):
+    return recall_names(found.assets, _terms(_spark(found)))
 
 
 @check(
@@ -216,10 +234,9 @@ def recall_names_query(spark, sf_dir):
     f"WITH {a.TAGS_SQL}, {_FLAGSHIP_TERMS} SELECT DISTINCT query_id, asset_id, name AS matched_text, term "
     "FROM tags JOIN terms ON contains(lower(name), folded) JOIN asset_tags USING (tag_id)",
 )
-def recall_tags_query(spark, sf_dir):
-    return recall_tags(
-        a.tags(spark, sf_dir), a.asset_tags(spark, sf_dir), a.assets(spark, sf_dir), _terms(spark)
-    )
+@a.served("recall_tags")
+def recall_tags_query(found, asked):
+    return recall_tags(found.tags, found.asset_tags, found.assets, _terms(_spark(found)))
 
 
 @check(
@@ -234,19 +251,18 @@ def segment_hit_counts(spark, sf_dir):
     "recall_segments_scan",
     f"{_FLAGSHIP_BODY} SELECT query_id, asset_id, segment_id FROM short_hits",
 )
-def recall_segments_scan(spark, sf_dir):
-    return recall_like(a.segments(spark, sf_dir), _terms(spark))
+@a.served("recall_segments_scan")
+def recall_segments_scan(found, asked):
+    return recall_like(found.segments, _terms(_spark(found)))
 
 
 @check(
     "recall_segments_indexed",
     f"{_BATCH_BODY} SELECT folded, segment_id, asset_id, n_grams, tf::BIGINT AS tf FROM phrase",
 )
-def recall_segments_indexed(spark, sf_dir):
-    segments = a.segments(spark, sf_dir)
-    wanted = _batch_terms(spark, sf_dir).long()
-    hits = term_hits(segments, wanted, a.postings(spark, sf_dir, a.queries(spark, sf_dir)))
-    return hits.withColumn("tf", F.col("tf").cast("long"))
+@a.served("recall_segments_indexed")
+def recall_segments_indexed(found, asked):
+    return term_hits(found.segments, _asked_terms(asked).long(), _postings(found))
 
 
 # every tenth asset is turned into upper case and its words reversed, every tenth deleted
@@ -263,27 +279,43 @@ FROM now, (VALUES ('tion'), ('thing'), ('eht'), ('zzzz')) t(term) WHERE contains
 def index_after_update(spark, sf_dir):
     """A stored index after texts changed and assets went, searched as it is."""
     segments = a.segments(spark, sf_dir)
-    index = index_table(spark, scratch_folder(spark, "index"))
+    index = _changed_index(spark, segments)
+    return index.hits(_changed_terms(spark)).select("folded", "segment_id", "asset_id", "tf")
+
+
+def _changed_index(spark, segments):
+    index = GramIndex(spark, scratch_folder(spark, "index"), buckets=16)
     every = segments.select("asset_id").distinct()
-    update_index(index, segments, every, 0)
+    index.build(segments)
     touched = every.where(F.col("asset_id") % 10 == 3)
     changed = segments.join(touched, "asset_id", "left_semi").withColumn("text", F.upper(F.reverse("text")))
-    update_index(index, changed, touched, 1)
-    gone = every.where(F.col("asset_id") % 10 == 7)
-    update_index(index, segments.limit(0), gone, 2)
-    asked = normalize_queries(one_query(spark, "tion THING eht zzzz"))
-    hits = phrase_hits(index.read(), load_terms(asked).long())
-    return hits.select("folded", "segment_id", "asset_id", F.col("tf").cast("long").alias("tf"))
+    index.update(changed, touched, 1)
+    index.update(segments.limit(0), every.where(F.col("asset_id") % 10 == 7), 2)
+    return index
+
+
+def _changed_terms(spark):
+    return load_terms(normalize_queries(one_query(spark, "tion THING eht zzzz"))).long()
+
+
+@check("index_compacted", _CHANGED_SQL)
+def index_compacted(spark, sf_dir):
+    """The same index after its changes were merged, searched through a catalogue."""
+    index = _changed_index(spark, a.segments(spark, sf_dir))
+    merged = index.compacted(scratch_folder(spark, "index"))
+    return term_hits(a.segments(spark, sf_dir), _changed_terms(spark), merged).select(
+        "folded", "segment_id", "asset_id", "tf"
+    )
 
 
 @check(
     "recall_segments_matched",
     f"{_BATCH_BODY} SELECT folded, segment_id, asset_id, n_grams, tf::BIGINT AS tf FROM phrase",
 )
-def recall_segments_matched(spark, sf_dir):
+@a.served("recall_segments_matched")
+def recall_segments_matched(found, asked):
     """The same rows without an index."""
-    wanted = _batch_terms(spark, sf_dir).long()
-    hits = term_hits(a.segments(spark, sf_dir), wanted)
+    hits = term_hits(found.segments, _asked_terms(asked).long())
     return hits.withColumn("tf", F.col("tf").cast("long"))
 
 
@@ -291,10 +323,10 @@ def recall_segments_matched(spark, sf_dir):
     "bm25_segments",
     f"{_BATCH_BODY} SELECT folded, segment_id, 0.0 - round(-score, 6) AS score FROM scored",
 )
-def bm25_segments(spark, sf_dir):
-    segments = a.segments(spark, sf_dir)
-    wanted = _batch_terms(spark, sf_dir).long()
-    scored = score_hits(term_hits(segments, wanted), segment_stats(segments), wanted)
+@a.served("bm25_segments")
+def bm25_segments(found, asked):
+    wanted = _asked_terms(asked).long()
+    scored = score_hits(term_hits(found.segments, wanted), segment_stats(found.segments), wanted)
     return scored.select("folded", "segment_id", _six("score").alias("score"))
 
 
@@ -305,8 +337,9 @@ def bm25_segments(spark, sf_dir):
       SELECT *, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY round(rank, 9), segment_id) AS INTEGER) AS n FROM ranked)
     WHERE n <= 3""",
 )
-def top_segments_per_asset(spark, sf_dir):
-    hits = recall_ranked(a.segments(spark, sf_dir), _terms(spark))
+@a.served("top_segments_per_asset")
+def top_segments_per_asset(found, asked):
+    hits = recall_ranked(found.segments, _terms(_spark(found)))
     best = top_segments(hits.withColumn("rank", F.round("rank", 9)), 3)
     return best.select("asset_id", "segment_id", "n", _six("rank").alias("rank"))
 
@@ -336,9 +369,10 @@ def merge_segments_query(spark, sf_dir):
 
 
 @check("search_ranked", f"{_FLAGSHIP_ALL} SELECT * FROM candidates")
-def search_ranked(spark, sf_dir):
+@a.served("search_ranked")
+def search_ranked(found, asked):
     """Every matching asset of the flagship query with all it is ranked by."""
-    result = search(a.catalogue(spark, sf_dir), one_query(spark, FLAGSHIP))
+    result = search(found, one_query(_spark(found), FLAGSHIP))
     return _flat(result.candidates)
 
 
@@ -379,12 +413,17 @@ def search_filtered(spark, sf_dir):
 
 
 @check("search_batch", f"{_BATCH_ALL} SELECT * FROM candidates")
-def search_batch(spark, sf_dir):
+@a.served("search_batch")
+def search_batch(found, asked):
     """A table of queries against the whole corpus, through the index."""
-    found = a.catalogue(spark, sf_dir)
-    asked = a.queries(spark, sf_dir)
-    indexed = replace(found, postings=a.postings(spark, sf_dir, asked))
-    return _flat(search(indexed, asked).candidates)
+    return _flat(search(replace(found, postings=_postings(found)), asked).candidates)
+
+
+@check("search_batch_scan", f"{_BATCH_ALL} SELECT * FROM candidates")
+@a.served("search_batch_scan")
+def search_batch_scan(found, asked):
+    """The same without an index."""
+    return _flat(search(replace(found, postings=None), asked).candidates)
 
 
 @check(
@@ -394,12 +433,51 @@ def search_batch(spark, sf_dir):
       SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, n_terms DESC, best_rank NULLS LAST, asset_id) AS INTEGER) AS position
       FROM candidates) WHERE position <= 30""",
 )
-def search_batch_top(spark, sf_dir):
-    """The first page of every query, without an index."""
-    from cuesift.operators.ranking import result_page
+@a.served("search_batch_top")
+def search_batch_top(found, asked):
+    """The first page of every query; hits that cannot reach it are never summed."""
+    page = search_top(found, asked, digits=6)
+    return page.select("query_id", "asset_id", "position", "tier")
+
+
+@check(
+    "search_top_filtered",
+    f"""{_FLAGSHIP_ALL}
+    SELECT asset_id, tier, n_terms, matched_in, matched_names, matched_tags, segment_hits, best_rank, position FROM (
+      SELECT c.*, CAST(row_number() OVER (ORDER BY tier, n_terms DESC, best_rank NULLS LAST, c.asset_id) AS INTEGER) AS position
+      FROM candidates c JOIN assets a USING (asset_id) WHERE a.kind = 'video') WHERE position BETWEEN 11 AND 31""",
+)
+def search_top_filtered(spark, sf_dir):
+    """A later page of one query over part of the assets, with all it is ranked by."""
+    page = search_top(a.catalogue(spark, sf_dir), one_query(spark, FLAGSHIP), 21, 10, kind="video", digits=6)
+    return page.select(
+        "asset_id",
+        "tier",
+        "n_terms",
+        F.array_join("matched_in", ",").alias("matched_in"),
+        F.array_join("matched_names", ",").alias("matched_names"),
+        F.array_join("matched_tags", ",").alias("matched_tags"),
+        "segment_hits",
+        "best_rank",
+        "position",
+    )
+
 
-    found = search(a.catalogue(spark, sf_dir), a.queries(spark, sf_dir)).candidates
-    page = result_page(found.withColumn("best_rank", _six("best_rank")))
+@check(
+    "search_pages_walked",
+    f"""{_BATCH_ALL}
+    SELECT query_id, asset_id, position, tier FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, n_terms DESC, best_rank NULLS LAST, asset_id) AS INTEGER) AS position
+      FROM candidates) WHERE position BETWEEN 91 AND 120""",
+)
+@a.served("search_pages_walked")
+def search_pages_walked(found, asked):
+    """The fourth page of every query, each page starting after the last row of the one before."""
+    candidates = search(found, asked).candidates.withColumn("best_rank", _six("best_rank"))
+    candidates = cut_lineage(candidates.select("query_id", "asset_id", "tier", "n_terms", "best_rank"))
+    page = result_page(candidates)
+    for _ in range(3):
+        page = next_page(candidates, cut_lineage(last_rows(page)))
     return page.select("query_id", "asset_id", "position", "tier")
 
 
@@ -443,7 +521,7 @@ def search_snippets(spark, sf_dir):
     by_bigram AS (
       SELECT folded, segment_id FROM (SELECT *, count(*) OVER (PARTITION BY folded) AS needed FROM asked) JOIN bigrams USING (token)
       GROUP BY folded, segment_id, needed HAVING count(*) = needed),
-    methods AS (SELECT 'index' AS method, * FROM truth UNION ALL SELECT 'word', * FROM by_word UNION ALL SELECT 'bigram', * FROM by_bigram)
+    methods AS (SELECT 'index' AS method, * FROM truth WHERE length(folded) >= 3 UNION ALL SELECT 'word', * FROM by_word UNION ALL SELECT 'bigram', * FROM by_bigram)
     SELECT m.method, w.folded, coalesce(e.expected, 0) AS expected, coalesce(r.returned, 0) AS returned, coalesce(h.hit, 0) AS hit,
            round(CASE WHEN e.expected IS NULL THEN 1.0 ELSE coalesce(h.hit, 0) / e.expected END, 6)::DOUBLE AS recall
     FROM wanted w CROSS JOIN (VALUES ('index'), ('word'), ('bigram')) m(method)
@@ -459,7 +537,7 @@ def recall_eval_query(spark, sf_dir):
     truth = match_terms(segments.select("segment_id", "text"), "text", "segment_id", wanted, F.lower)
     distinct = wanted.distinct()
     methods = {
-        "index": term_hits(segments, wanted, trigram_postings(segments)),
+        "index": term_hits(segments, wanted, gram_blocks(segments)),
         "word": quality.token_hits(segments, distinct, quality.words),
         "bigram": quality.token_hits(segments, distinct, quality.runs_of(2)),
     }

@@ -11,7 +11,7 @@ from cuesift.functions.media import media_info
 from cuesift.functions.paths import extension, file_kind, file_name, path_key
 from cuesift.functions.redact import redact_text, redact_value
 from cuesift.functions.formats import convert_script
-from cuesift.operators.trigram import trigram_postings
+from cuesift.operators.trigram import gram_blocks, trigram_postings
 from cuesift.session import allow_text_decoding
 from cuesift.sources.text import segment_texts
 from cuesift.sources.transcripts import segment_transcripts
@@ -268,10 +268,9 @@ def decode_round_trip(spark, sf_dir):
 )
 def trigram_index(spark, sf_dir):
     """The whole index, summed per gram to compare it."""
-    postings = trigram_postings(a.segments(spark, sf_dir))
-    per_segment = postings.groupBy("gram", "segment_id").agg(
-        F.count(F.lit(1)).alias("tf"), F.sum("position").alias("spots")
-    )
+    postings = trigram_postings(gram_blocks(a.segments(spark, sf_dir)))
+    spots = F.aggregate("positions", F.lit(0).cast("long"), lambda total, at: total + at)
+    per_segment = postings.select("gram", "segment_id", F.size("positions").cast("long").alias("tf"), spots.alias("spots"))
     return per_segment.groupBy("gram").agg(
         F.count(F.lit(1)).alias("segments"),
         F.sum("tf").alias("occurrences"),

@@ -84,9 +84,23 @@ def find_assets(
     return found
 
 
-def list_assets(found: DataFrame, limit: int | None = None, offset: int | None = None) -> DataFrame:
-    """A page of assets by name, then id."""
+def list_assets(
+    found: DataFrame,
+    limit: int | None = None,
+    offset: int | None = None,
+    after: tuple[str, int] | None = None,
+) -> DataFrame:
+    """A page of assets by name, then id.
+
+    ``after`` is the name and id of the last asset seen. It goes into the scan
+    as a condition, so a page far down costs what the first one costs; an
+    offset has to pass over everything before it.
+    """
     present = [c for c in SUMMARY if c in found.columns]
+    if after is not None:
+        name, last = after
+        same = (F.col("file_name") == name) & (F.col("asset_id") > last)
+        found = found.where((F.col("file_name") >= name) & ((F.col("file_name") > name) | same))
     return (
         found.select(*present)
         .orderBy("file_name", "asset_id")
@@ -101,9 +115,10 @@ def list_assets_with_tags(
     asset_tags: DataFrame,
     limit: int | None = None,
     offset: int | None = None,
+    after: tuple[str, int] | None = None,
 ) -> DataFrame:
     """The page of ``list_assets`` with the tags of its assets only."""
-    page = _with_tags(list_assets(found, limit, offset), tags, asset_tags)
+    page = _with_tags(list_assets(found, limit, offset, after), tags, asset_tags)
     return page.orderBy("file_name", "asset_id")
 
 
@@ -119,12 +134,18 @@ def asset_details(
 
 
 def list_segments(
-    segments: DataFrame, asset_id: int, limit: int | None = None, offset: int | None = None
+    segments: DataFrame,
+    asset_id: int,
+    limit: int | None = None,
+    offset: int | None = None,
+    after: int | None = None,
 ) -> DataFrame:
-    """A page of one asset's segments in reading order."""
+    """A page of one asset's segments in reading order, ``after`` the last ordinal seen."""
+    own = segments.where(F.col("asset_id") == asset_id)
+    if after is not None:
+        own = own.where(F.col("ordinal") > after)
     return (
-        segments.where(F.col("asset_id") == asset_id)
-        .orderBy("ordinal")
+        own.orderBy("ordinal")
         .offset(max(offset or 0, 0))
         .limit(page_size(limit, SEGMENT_PAGE))
     )

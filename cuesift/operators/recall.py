@@ -10,7 +10,7 @@ from ..session import cut_lineage, salted_join
 from .bm25 import score_hits
 from .matching import match_terms
 from .terms import QueryTerms, Terms
-from .trigram import phrase_hits, scan_hits, segment_stats
+from .trigram import GramIndex, phrase_hits, scan_hits, segment_stats
 
 
 def filter_assets(
@@ -67,13 +67,15 @@ def recall_tags(
 
 
 def term_hits(
-    segments: DataFrame, terms: Terms, postings: DataFrame | None = None
+    segments: DataFrame, terms: Terms, postings: DataFrame | GramIndex | None = None
 ) -> DataFrame:
     """Whole-term matches of long terms, through the index where there is one.
 
     Scoring reads the matches twice, for the weights and for the scores. They
     are written out in between, so the text or the index is read once.
     """
+    if isinstance(postings, GramIndex):
+        return cut_lineage(postings.hits(terms))
     if postings is not None:
         return cut_lineage(phrase_hits(postings, terms))
     texts = segments.select("segment_id", "asset_id", "text")
@@ -83,7 +85,7 @@ def term_hits(
 def recall_ranked(
     segments: DataFrame,
     terms: QueryTerms,
-    postings: DataFrame | None = None,
+    postings: DataFrame | GramIndex | None = None,
     stats: DataFrame | None = None,
 ) -> DataFrame:
     """``query_id, asset_id, segment_id, rank`` for terms of three or more characters."""

@@ -1,21 +1,36 @@
-"""The trigram index: which segments hold which three-character runs, and where."""
+"""The trigram index: which segments hold which three-character runs, and where.
+
+Segments are dealt into blocks of some thousand. A row of the index is one gram
+of one block: the block's segments that hold it, each with its positions. So a
+common gram is spread over all blocks, and everything a phrase needs to be
+found in a block comes together in a few rows. Stored rows lie in folders by
+gram bucket, sorted by gram: a search reads the grams it asks for and nothing
+else, and changes of the index keep that layout.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.query import GRAM_LENGTH
-from ..session import cut_lineage, fits_broadcast, salted_join
-from ..sources.changes import ChangeTable
-from .matching import grams
+from ..session import salted_join
+from ..sources.changes import read_stamps
 from .terms import Terms
 
-POSTINGS = "gram string, segment_id long, asset_id long, n_grams int, position int"
+BLOCKS = (
+    "gram string, block int, "
+    "entries array<struct<segment_id:bigint,asset_id:bigint,n_grams:int,positions:array<int>>>"
+)
+# Segments of a block; with segments of 2,000 characters some 8 million grams.
+BLOCK_SEGMENTS = 4096
 # Grams pushed into the scan of a stored index as literals.
 _PUSHED_GRAMS = 4096
-# Places to confirm that may be broadcast: narrow rows, at most about 100 MB.
-_BROADCAST_PLACES = 500_000
+# Bits of a character, and of a position inside a segment.
+_CHAR, _PLACE = 21, 32
 
 
 def gram_count(text: Column) -> Column:
@@ -23,19 +38,64 @@ def gram_count(text: Column) -> Column:
     return F.greatest(F.length(text) - (GRAM_LENGTH - 1), F.lit(0))
 
 
-def trigram_postings(segments: DataFrame) -> DataFrame:
-    """One row per gram occurrence; a pure projection without a shuffle."""
-    return segments.select(
+def _block_grams(key: tuple, rows: pa.Table) -> pa.Table:
+    """The grams of one block's ``segment_id, asset_id, n_grams, low``, in order.
+
+    Three characters of 21 bits make a number; a stable sort of these numbers
+    keeps segments and positions in order under each gram.
+    """
+    texts = rows.column("low").combine_chunks().fill_null("")
+    sizes = pc.utf8_length(texts).to_numpy().astype(np.int64)
+    chars = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
+    segment = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.flatnonzero(place <= sizes[segment] - GRAM_LENGTH)
+    code = (chars[at] << 2 * _CHAR) | (chars[np.minimum(at + 1, len(chars) - 1)] << _CHAR)
+    code |= chars[np.minimum(at + 2, len(chars) - 1)]
+    order = np.argsort(code, kind="stable")
+    code, segment, place = code[order], segment[at][order], place[at][order]
+    new_gram = np.append(True, code[1:] != code[:-1])[: len(code)]
+    new_entry = new_gram | np.append(True, segment[1:] != segment[:-1])[: len(code)]
+    entry = np.flatnonzero(new_entry)
+    gram = np.flatnonzero(new_gram)
+    ends = lambda starts, n: pa.array(np.append(starts, n).astype(np.int32))
+    positions = pa.ListArray.from_arrays(ends(entry, len(code)), pa.array(place.astype(np.int32)))
+    held = rows.select(["segment_id", "asset_id", "n_grams"]).take(pa.array(segment[entry])).combine_chunks()
+    fields = [held.column(c).combine_chunks() for c in held.column_names]
+    entries = pa.StructArray.from_arrays([*fields, positions], [*held.column_names, "positions"])
+    spelled = np.stack([code[gram] >> 2 * _CHAR, code[gram] >> _CHAR, code[gram]], axis=1) & ((1 << _CHAR) - 1)
+    spelled = spelled.astype("<u4").tobytes().decode("utf-32-le")
+    grams = [spelled[i : i + GRAM_LENGTH] for i in range(0, len(spelled), GRAM_LENGTH)]
+    in_gram = ends(np.searchsorted(entry, gram), len(entry))
+    columns = [pa.array(grams, pa.string()), pa.array(np.full(len(gram), key[0].as_py(), np.int32))]
+    return pa.table([*columns, pa.ListArray.from_arrays(in_gram, entries)], ["gram", "block", "entries"])
+
+
+def gram_blocks(segments: DataFrame, per_block: int = BLOCK_SEGMENTS) -> DataFrame:
+    """The index of ``segments``: ``gram, block, entries``.
+
+    Only the texts are shuffled, to their blocks, evenly by segment id.
+    """
+    blocks = max(-(-segments.count() // per_block), 1)
+    rows = segments.select(
+        F.pmod(F.xxhash64("segment_id"), F.lit(blocks)).cast("int").alias("block"),
         "segment_id",
         "asset_id",
         gram_count(F.col("text")).alias("n_grams"),
-        F.posexplode(grams(F.lower(F.col("text")), GRAM_LENGTH)).alias("position", "gram"),
-    ).select("gram", "segment_id", "asset_id", "n_grams", "position")
+        F.lower("text").alias("low"),
+    )
+    return rows.groupBy("block").applyInArrow(_block_grams, BLOCKS)
+
+
+def trigram_postings(blocks: DataFrame) -> DataFrame:
+    """One row per gram of a segment: ``gram, segment_id, asset_id, n_grams, positions``."""
+    rest = [c for c in blocks.columns if c not in ("gram", "block", "entries")]
+    return blocks.select(*rest, "gram", F.inline("entries"))
 
 
 def gram_frequencies(postings: DataFrame) -> DataFrame:
     """``gram, segment_id, tf``: occurrences of each gram in each segment."""
-    return postings.groupBy("gram", "segment_id").agg(F.count(F.lit(1)).alias("tf"))
+    return postings.select("gram", "segment_id", F.size("positions").cast("long").alias("tf"))
 
 
 def segment_stats(segments: DataFrame) -> DataFrame:
@@ -47,14 +107,14 @@ def _gram_bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int")
 
 
-def write_postings(postings: DataFrame, path: str, buckets: int = 64) -> None:
-    """Store postings by gram bucket, sorted by gram.
+def write_blocks(blocks: DataFrame, path: str, buckets: int = 64) -> None:
+    """Store index rows by gram bucket, sorted by gram.
 
     Rebalancing sizes the write tasks by the data: a bucket with a very common
     gram is split over as many tasks and files as it needs.
     """
     (
-        postings.withColumn("gram_bucket", _gram_bucket(buckets))
+        blocks.withColumn("gram_bucket", _gram_bucket(buckets))
         .hint("rebalance", F.col("gram_bucket"))
         .sortWithinPartitions("gram_bucket", "gram")
         .write.mode("overwrite")
@@ -63,37 +123,82 @@ def write_postings(postings: DataFrame, path: str, buckets: int = 64) -> None:
     )
 
 
-def read_postings(
-    spark: SparkSession, path: str, terms: Terms | None = None, buckets: int = 64
-) -> DataFrame:
-    """Stored postings; with ``terms``, only the buckets and grams these need.
-
-    Few grams go into the scan as literals, more of them through the join.
-    """
-    stored = spark.read.schema(f"{POSTINGS}, gram_bucket int").parquet(path)
-    if terms is None or not terms.few:
-        return stored.drop("gram_bucket")
-    wanted = sorted({gram for row in terms.rows for gram, _ in cover_of(row.folded)})
-    if len(wanted) > _PUSHED_GRAMS:
-        return stored.drop("gram_bucket")
-    named = spark.createDataFrame([(gram,) for gram in wanted], "gram string")
-    named = named.select(_gram_bucket(buckets).alias("bucket")).distinct()
-    held = sorted(row.bucket for row in named.collect())
-    return stored.where(F.col("gram_bucket").isin(held) & F.col("gram").isin(wanted)).drop("gram_bucket")
-
-
-def index_table(spark: SparkSession, path: str) -> ChangeTable:
-    """An index that follows its segments: postings replaced asset by asset."""
-    return ChangeTable(spark, path, POSTINGS, "asset_id")
+def _holding(stored: DataFrame, terms: Terms | None, buckets: int) -> DataFrame:
+    """The stored rows that ``terms`` need: their buckets as folders, their grams as literals."""
+    if terms is not None and terms.few:
+        wanted = sorted({gram for row in terms.rows for gram, _ in cover_of(row.folded)})
+        if len(wanted) <= _PUSHED_GRAMS:
+            named = stored.sparkSession.createDataFrame([(gram,) for gram in wanted], "gram string")
+            named = named.select(_gram_bucket(buckets).alias("bucket")).distinct()
+            held = sorted(row.bucket for row in named.collect())
+            stored = stored.where(F.col("gram_bucket").isin(held) & F.col("gram").isin(wanted))
+    return stored.drop("gram_bucket")
 
 
-def update_index(index: ChangeTable, segments: DataFrame, touched: DataFrame, stamp: int) -> None:
-    """Bring the postings of the assets in ``touched(asset_id)`` to ``segments``.
+class GramIndex:
+    """A stored index that follows its segments, in one layout for every write.
 
-    ``segments`` holds all segments these assets have now; an asset without any
-    leaves the index. Only the touched assets' postings are written.
+    ``blocks/stamp=n/gram_bucket=b`` holds what write ``n`` brought, sorted by
+    gram; ``marks/stamp=n`` names the assets that write replaced. Write 0 builds
+    the index, later ones have larger stamps. A posting counts if its write is
+    the last that marks its asset, or the build where none does. That is asked
+    of the hits of a search, which are few, never of the postings: a search
+    reads the grams it needs from every write and meets the marks afterwards.
     """
-    index.replace(trigram_postings(segments), touched, stamp)
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, per_block: int = BLOCK_SEGMENTS):
+        self.spark, self.path, self.buckets, self.per_block = spark, path.rstrip("/"), buckets, per_block
+
+    def _write(self, blocks: DataFrame, stamp: int) -> None:
+        write_blocks(blocks, f"{self.path}/blocks/stamp={stamp}", self.buckets)
+
+    def build(self, segments: DataFrame) -> None:
+        """Index all segments."""
+        self._write(gram_blocks(segments, self.per_block), 0)
+
+    def update(self, segments: DataFrame, touched: DataFrame, stamp: int) -> None:
+        """Bring the assets in ``touched(asset_id)`` to ``segments``.
+
+        ``segments`` holds all segments these assets have now; an asset without
+        any leaves the index. Only the touched assets' postings are written, and
+        they count from the moment the marks are there: a write that breaks off
+        changes no search, and repeating it replaces what it left.
+        """
+        if stamp < 1:
+            raise ValueError("stamp 0 is the build; updates begin at 1")
+        self._write(gram_blocks(segments, self.per_block), stamp)
+        touched.select("asset_id").distinct().write.mode("overwrite").parquet(f"{self.path}/marks/stamp={stamp}")
+
+    def blocks(self, terms: Terms | None = None) -> DataFrame:
+        """Rows of all writes with their ``stamp``, those of replaced assets too."""
+        stored = read_stamps(self.spark, f"{self.path}/blocks", f"{BLOCKS}, gram_bucket int")
+        return _holding(stored, terms, self.buckets)
+
+    def current(self, rows: DataFrame) -> DataFrame:
+        """Of rows with ``asset_id`` and ``stamp``, those that count now."""
+        marks = read_stamps(self.spark, f"{self.path}/marks", "asset_id long")
+        newest = marks.groupBy("asset_id").agg(F.max("stamp").alias("__newest"))
+        met = rows.join(newest, "asset_id", "left")
+        return met.where(F.col("stamp") == F.coalesce("__newest", F.lit(0))).drop("__newest")
+
+    def hits(self, terms: Terms) -> DataFrame:
+        """``phrase_hits`` of the current texts."""
+        return self.current(phrase_hits(self.blocks(terms), terms, "stamp")).drop("stamp")
+
+    def read(self) -> DataFrame:
+        """All current postings, one row per gram of a segment."""
+        return self.current(trigram_postings(self.blocks())).drop("stamp")
+
+    def compacted(self, path: str) -> GramIndex:
+        """The current postings as the build of a new index, in the same buckets."""
+        out = GramIndex(self.spark, path, self.buckets, self.per_block)
+        rows = self.read()
+        number = -(-rows.select("segment_id").distinct().count() // self.per_block)
+        block = F.pmod(F.xxhash64("segment_id"), F.lit(max(number, 1))).cast("int")
+        entry = F.struct("segment_id", "asset_id", "n_grams", "positions")
+        grouped = rows.groupBy("gram", block.alias("block")).agg(F.collect_list(entry).alias("entries"))
+        out._write(grouped, 0)
+        return out
 
 
 def cover_of(folded: str) -> list[tuple[str, int]]:
@@ -105,11 +210,6 @@ def cover_of(folded: str) -> list[tuple[str, int]]:
 
 def term_covers(terms: Terms) -> DataFrame:
     """``folded, n_cover, offset, gram``: the cover of each distinct term."""
-    if terms.few:
-        covers = {row.folded: cover_of(row.folded) for row in terms.rows}
-        rows = [(t, len(c), at, gram) for t, c in sorted(covers.items()) for gram, at in c]
-        schema = "folded string, n_cover int, offset int, gram string"
-        return terms.table.sparkSession.createDataFrame(rows, schema)
     last = F.length("folded") - GRAM_LENGTH
     offsets = F.array_distinct(
         F.concat(F.sequence(F.lit(0), last, F.lit(GRAM_LENGTH)), F.array(last))
@@ -121,63 +221,92 @@ def term_covers(terms: Terms) -> DataFrame:
     ).withColumn("gram", F.substring(F.col("folded"), F.col("offset") + 1, F.lit(GRAM_LENGTH)))
 
 
-def rarest_grams(postings: DataFrame, covers: DataFrame) -> DataFrame:
-    """Of each term's cover, the gram with the fewest postings: one row per term."""
-    # only grams that are asked for are counted, and a common one leaves each task as one row
-    wanted = covers.select("gram").distinct()
-    counted = postings.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rated = covers.join(counted, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    first = F.min(F.struct("n", "offset", "gram"))
-    return rated.groupBy("folded", "n_cover").agg(first.alias("lead")).select(
-        "folded", "n_cover", "lead.offset", "lead.gram"
-    )
+HITS = "folded string, segment_id long, asset_id long, n_grams int, tf long"
 
 
-def phrase_hits(postings: DataFrame, terms: Terms) -> DataFrame:
-    """``folded, segment_id, asset_id, n_grams, tf`` of every whole-term match.
+def _matches(rows: pa.Table, covers: dict[str, list[tuple[str, int]]]) -> pa.Table:
+    """Every term's occurrences in one block, from the block's rows of the grams asked for.
 
-    The rarest gram of a term proposes places where the term may start; only
-    these places are looked up among the postings of its other grams. A place
-    that all of them confirm is an occurrence, so no text is read.
+    A place is a segment's number and a position in one integer. The rarest gram
+    of a term proposes starts; each other gram keeps those it stands right after.
     """
-    covers = term_covers(terms)
-    leads = rarest_grams(postings, covers)
-    if terms.few:
-        met = postings.join(F.broadcast(leads), "gram")
-    else:
-        met = salted_join(postings, leads, ["gram"], "inner", F.col("segment_id"))
-    hit = ["folded", "segment_id", "asset_id", "n_grams"]
-    proposed = cut_lineage(
-        met.select(
-            *hit,
-            "n_cover",
-            F.col("offset").alias("lead"),
-            (F.col("position") - F.col("offset")).alias("start"),
-        ).where(F.col("start") >= 0)
+    grams = rows.column("gram").to_pylist()
+    entries = rows.column("entries").combine_chunks()
+    held = entries.flatten()
+    names, first, where = np.unique(
+        held.field("segment_id").to_numpy(), return_index=True, return_inverse=True
     )
-    several = proposed.where(F.col("n_cover") > 1)
-    spelled = covers.select("folded", "offset", "gram")
-    if terms.few:
-        asked = several.join(F.broadcast(spelled), "folded")
-    else:
-        asked = salted_join(several, spelled, ["folded"], "inner", F.col("segment_id"))
-    asked = asked.where(F.col("offset") != F.col("lead")).withColumn(
-        "position", F.col("start") + F.col("offset")
-    )
-    place = ["gram", "segment_id", "position"]
-    held = postings.select(*place)
-    # the key names one occurrence, so no value of it is common
-    if fits_broadcast(asked, _BROADCAST_PLACES):
-        confirmed = held.join(F.broadcast(asked), place)
-    else:
-        confirmed = held.join(asked, place)
-    whole = (
-        confirmed.groupBy(*hit, "n_cover", "start")
-        .agg((F.count(F.lit(1)) + 1).alias("grams"))
-        .where(F.col("grams") == F.col("n_cover"))
+    positions = held.field("positions")
+    sizes = pc.list_value_length(positions).to_numpy().astype(np.int64)
+    places = (np.repeat(where, sizes) << _PLACE) | positions.flatten().to_numpy().astype(np.int64)
+    last = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(pc.list_value_length(entries).to_numpy()))]
+    lists = {gram: np.sort(places[a:b]) for gram, a, b in zip(grams, last[:-1], last[1:])}
+    found = []
+    for folded, cover in covers.items():
+        asked = sorted(((lists.get(gram), offset) for gram, offset in cover), key=lambda c: -1 if c[0] is None else len(c[0]))
+        if not asked or asked[0][0] is None:
+            continue
+        spots, offset = asked[0]
+        starts = spots[(spots & ((1 << _PLACE) - 1)) >= offset] - offset
+        for spots, offset in asked[1:]:
+            near = np.searchsorted(spots, starts + offset)
+            starts = starts[spots[np.minimum(near, len(spots) - 1)] == starts + offset]
+        at, tf = np.unique(starts >> _PLACE, return_counts=True)
+        if len(at):
+            found.append((folded, at, tf))
+    at = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+    tf = np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.int64)
+    folded = [f[0] for f in found for _ in range(len(f[1]))]
+    take = pa.array(first[at])
+    columns = [held.field(c).take(take) for c in ("segment_id", "asset_id", "n_grams")]
+    return pa.table([pa.array(folded, pa.string()), *columns, pa.array(tf.astype(np.int64))], [c.split()[0] for c in HITS.split(", ")])
+
+
+def phrase_hits(blocks: DataFrame, terms: Terms, *version: str) -> DataFrame:
+    """``folded, segment_id, asset_id, n_grams, tf`` of every whole-term match.
+
+    The index is read once, and the rows of a block meet in one task, which
+    finds all terms in them. No text is read. Terms too many to be sent to the
+    tasks meet the postings by joins instead. ``version`` names columns that
+    tell rows of one block apart and are kept.
+    """
+    if not terms.few:
+        return _joined_hits(trigram_postings(blocks), terms, *version)
+    covers = {row.folded: cover_of(row.folded) for row in terms.rows}
+    wanted = sorted({gram for cover in covers.values() for gram, _ in cover})
+    named = F.broadcast(blocks.sparkSession.createDataFrame([(g,) for g in wanted], "gram string"))
+    types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+
+    def match(key: tuple, rows: pa.Table) -> pa.Table:
+        found = _matches(rows, covers)
+        for name, value in zip(version, key[1:]):
+            found = found.append_column(name, pa.array([value.as_py()] * len(found), value.type))
+        return found
+
+    schema = ", ".join([HITS, *(f"{v} {types[v]}" for v in version)])
+    asked = blocks.select("block", *version, "gram", "entries").join(named, "gram", "left_semi")
+    return asked.groupBy("block", *version).applyInArrow(match, schema)
+
+
+def _joined_hits(postings: DataFrame, terms: Terms, *version: str) -> DataFrame:
+    """The same rows by joins: the places that all grams of a term agree on."""
+    met = salted_join(postings, term_covers(terms), ["gram"], "inner", F.col("segment_id"))
+    starts = F.transform("positions", lambda at: at - F.col("offset"))
+    met = met.select(*version, "folded", "segment_id", "asset_id", "n_grams", "n_cover", starts.alias("starts"))
+    grouped = (
+        met.groupBy("folded", "segment_id", *version)
+        .agg(
+            F.first("asset_id").alias("asset_id"),
+            F.first("n_grams").alias("n_grams"),
+            F.first("n_cover").alias("n_cover"),
+            F.collect_list("starts").alias("starts"),
+        )
+        .where(F.size("starts") == F.col("n_cover"))
     )
-    starts = whole.select(*hit).unionByName(proposed.where(F.col("n_cover") == 1).select(*hit))
-    return starts.groupBy(*hit).agg(F.count(F.lit(1)).alias("tf"))
+    # the places all grams agree on, at most as many as the shortest list has
+    agreed = F.aggregate(F.slice("starts", 2, F.size("starts")), F.get("starts", F.lit(0)), F.array_intersect)
+    hit = ["folded", "segment_id", "asset_id", "n_grams", *version]
+    return grouped.select(*hit, F.size(agreed).cast("long").alias("tf")).where("tf > 0")
 
 
 def scan_hits(matched: DataFrame) -> DataFrame:

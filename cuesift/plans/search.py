@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.snippet import with_snippet
 from ..functions.text import ascii_fold
+from ..operators.bm25 import score_hits
+from ..operators.bounded import first_results, page_counts
 from ..operators.catalogue import asset_summaries
 from ..operators.matching import match_terms
 from ..operators.ranking import (
     SEGMENTS_PER_ASSET,
+    next_page,
     page_limit,
     rank_candidates,
     result_page,
@@ -30,18 +33,19 @@ from ..operators.recall import (
     term_hits,
 )
 from ..operators.terms import QueryTerms, load_terms, normalize_queries
-from ..session import BROADCAST_ROWS, fits_broadcast
+from ..operators.trigram import GramIndex, segment_stats
+from ..session import BROADCAST_ROWS, cut_lineage, fits_broadcast
 
 
 @dataclass(frozen=True)
 class Catalogue:
-    """The tables a search reads; the index is optional."""
+    """The tables a search reads; the index, stored or made on the way, is optional."""
 
     assets: DataFrame
     segments: DataFrame
     tags: DataFrame
     asset_tags: DataFrame
-    postings: DataFrame | None = None
+    postings: DataFrame | GramIndex | None = None
     stats: DataFrame | None = None
 
 
@@ -74,6 +78,22 @@ def search(
     """
     normalized = normalize_queries(queries)
     terms = load_terms(normalized)
+    assets, keep = _filtered(catalogue, kind, extract_status, directory_id)
+    ranked = keep(recall_ranked(catalogue.segments, terms, catalogue.postings, catalogue.stats))
+    like = keep(recall_like(catalogue.segments, terms))
+    names = recall_names(assets, terms)
+    tags = recall_tags(catalogue.tags, catalogue.asset_tags, assets, terms)
+    body = _body_terms(catalogue, terms, keep) if count_body_terms else None
+    return SearchResult(
+        queries=normalized,
+        terms=terms,
+        candidates=rank_candidates(names, tags, merge_recalls(ranked, like), body),
+        segment_hits=merge_segments(ranked, like),
+    )
+
+
+def _filtered(catalogue: Catalogue, kind: str | None, extract_status: str | None, directory_id: int | None):
+    """The assets a search is about, and a function that keeps their hits."""
     assets = filter_assets(catalogue.assets, kind, extract_status, directory_id)
     unfiltered = kind is None and extract_status is None and directory_id is None
 
@@ -82,17 +102,53 @@ def search(
             return hits
         return hits.join(assets.select("asset_id"), "asset_id", "left_semi")
 
-    ranked = keep(recall_ranked(catalogue.segments, terms, catalogue.postings, catalogue.stats))
+    return assets, keep
+
+
+def search_top(
+    catalogue: Catalogue,
+    queries: DataFrame,
+    limit: int | None = None,
+    offset: int = 0,
+    kind: str | None = None,
+    extract_status: str | None = None,
+    directory_id: int | None = None,
+    digits: int | None = None,
+) -> DataFrame:
+    """The page ``result_page`` cuts from ``search``, without ranking all candidates.
+
+    Hits that cannot bring their asset onto the page are dropped before they are
+    summed, see ``operators.bounded``. ``digits`` rounds ranks for the order.
+    """
+    terms = load_terms(normalize_queries(queries))
+    assets, keep = _filtered(catalogue, kind, extract_status, directory_id)
+    first = max(offset, 0) + page_limit(limit)
+    long = terms.long()
+    stats = segment_stats(catalogue.segments) if catalogue.stats is None else catalogue.stats
+    hits = term_hits(catalogue.segments, long, catalogue.postings)
+    scored = cut_lineage(keep(score_hits(hits, stats, long)).select("folded", "asset_id", "segment_id", "score"))
     like = keep(recall_like(catalogue.segments, terms))
+    like_counts = cut_lineage(like.groupBy("query_id", "asset_id").agg(F.count(F.lit(1)).alias("n_like")))
     names = recall_names(assets, terms)
     tags = recall_tags(catalogue.tags, catalogue.asset_tags, assets, terms)
-    body = _body_terms(catalogue, terms, keep) if count_body_terms else None
-    return SearchResult(
-        queries=normalized,
-        terms=terms,
-        candidates=rank_candidates(names, tags, merge_recalls(ranked, like), body),
-        segment_hits=merge_segments(ranked, like),
+    nothing = queries.sparkSession.createDataFrame(
+        [], "query_id long, asset_id long, segment_hits long, best_rank double"
     )
+    labels = cut_lineage(rank_candidates(names, tags, nothing).drop("segment_hits", "best_rank"))
+    found = first_results(labels, scored, like_counts, long, first, digits)
+    page = cut_lineage(result_page(found, limit, offset))
+    return page_counts(page, scored, like_counts, long)
+
+
+def search_after(
+    catalogue: Catalogue, result: SearchResult, last: DataFrame, limit: int | None = None
+) -> DataFrame:
+    """The page of results that follows the rows ``last``, with asset summaries."""
+    page = next_page(result.candidates, last, limit)
+    summaries = asset_summaries(
+        catalogue.assets, catalogue.tags, catalogue.asset_tags, page.select("asset_id").distinct()
+    )
+    return page.join(summaries, "asset_id")
 
 
 def _body_terms(catalogue: Catalogue, terms: QueryTerms, keep) -> DataFrame:

@@ -1,6 +1,7 @@
 """Search on a small catalogue, with and without the index."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,15 +10,17 @@ from cuesift.operators.matching import match_terms
 from cuesift.operators.ranking import page_limit, result_page
 from cuesift.operators.terms import load_terms, normalize_queries
 from cuesift.operators.trigram import (
+    GramIndex,
+    gram_blocks,
     gram_frequencies,
     phrase_hits,
-    read_postings,
     scan_hits,
     segment_stats,
     trigram_postings,
-    write_postings,
+    write_blocks,
 )
 from cuesift.plans.search import Catalogue, one_query, page_snippets, search, search_page, search_totals
+from cuesift.session import cut_lineage
 from cuesift.sources.text import ORDINAL_BITS
 
 
@@ -43,7 +46,7 @@ def library(spark, items, indexed=False):
     )
     tags = spark.createDataFrame([(i, n, None) for n, i in tags.items()], "tag_id long, name string, color string")
     links = spark.createDataFrame(links, "asset_id long, tag_id long")
-    postings = trigram_postings(segments) if indexed else None
+    postings = gram_blocks(segments, 3) if indexed else None
     return Catalogue(assets, segments, tags, links, postings)
 
 
@@ -214,7 +217,7 @@ def test_phrases_and_counts(small, many):
     segments, few, large = small
     terms = (large if many else few).long()
     want = {k: v for k, v in brute(TEXTS, TERMS).items() if len(k[0]) >= 3}
-    from_index = phrase_hits(trigram_postings(segments), terms)
+    from_index = phrase_hits(gram_blocks(segments, 4), terms)
     scanned = scan_hits(match_terms(segments, "text", "segment_id", terms, F.lower))
     for hits in (from_index, scanned):
         assert {(r.folded, r.segment_id): r.tf for r in hits.collect()} == want
@@ -222,19 +225,103 @@ def test_phrases_and_counts(small, many):
 
 def test_stored_index(spark, small, tmp_path):
     segments, few, _ = small
-    write_postings(trigram_postings(segments), str(tmp_path / "p"), buckets=4)
+    index = GramIndex(spark, str(tmp_path / "p"), buckets=4, per_block=5)
+    index.build(segments)
     terms = few.long()
-    kept = read_postings(spark, str(tmp_path / "p"), terms, buckets=4)
-    assert kept.count() < read_postings(spark, str(tmp_path / "p")).count()
+    kept = index.blocks(terms)
+    assert kept.count() < index.blocks().count()
     got = {(r.folded, r.segment_id): r.tf for r in phrase_hits(kept, terms).collect()}
     assert got == {k: v for k, v in brute(TEXTS, TERMS).items() if len(k[0]) >= 3}
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [gram_bucket" in plan and "In(gram" in plan
+    assert "PartitionFilters: [isnotnull(gram_bucket" in plan or "PartitionFilters: [gram_bucket" in plan
+    assert "In(gram" in plan
+
+
+def test_postings_hold_every_position(spark, small):
+    segments, _, _ = small
+    want = {}
+    for i, text in enumerate(TEXTS):
+        low = text.lower()
+        for p in range(len(low) - 2):
+            want.setdefault((low[p : p + 3], i), []).append(p)
+    rows = trigram_postings(gram_blocks(segments, 4)).collect()
+    assert {(r.gram, r.segment_id): r.positions for r in rows} == want and len(rows) == len(want)
+
+
+def test_phrases_read_the_postings_once(spark, small):
+    segments, few, _ = small
+    blocks = cut_lineage(gram_blocks(segments))
+    plan = phrase_hits(blocks, few.long())._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Scan ExistingRDD\[gram#\d+,block", plan)) == 1
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def searched(index, query, spark):
+    terms = load_terms(normalize_queries(one_query(spark, query))).long()
+    return index.hits(terms), terms
+
+
+def test_index_follows_its_segments(spark, tmp_path):
+    def segments(**texts):
+        rows = [(int(k[1:]) * 10, int(k[1:]), t) for k, t in texts.items()]
+        return spark.createDataFrame(rows, "segment_id long, asset_id long, text string")
+
+    def assets(*ids):
+        return spark.createDataFrame([(i,) for i in ids], "asset_id long")
+
+    def held(index):
+        return sorted((r.folded, r.asset_id, r.tf) for r in searched(index, "alpha beta", spark)[0].collect())
+
+    index = GramIndex(spark, str(tmp_path / "i"), buckets=4)
+    index.build(segments(a1="alpha beta", a2="alpha alpha", a3="beta"))
+    assert held(index) == [("alpha", 1, 1), ("alpha", 2, 2), ("beta", 1, 1), ("beta", 3, 1)]
+    index.update(segments(a1="beta beta", a4="alpha"), assets(1, 4), 1)
+    index.update(segments(), assets(3), 2)
+    want = [("alpha", 2, 2), ("alpha", 4, 1), ("beta", 1, 2)]
+    assert held(index) == want
+    # a write without its marks does not count, and a repeated one replaces what it left
+    write_blocks(gram_blocks(segments(a2="beta")), f"{index.path}/blocks/stamp=3", 4)
+    assert held(index) == want
+    index.update(segments(a2="gamma"), assets(2), 3)
+    index.update(segments(a2="alpha"), assets(2), 3)
+    want[0] = ("alpha", 2, 1)
+    assert held(index) == want
+    merged = index.compacted(str(tmp_path / "j"))
+    assert held(merged) == want and merged.read().count() == index.read().count() < trigram_postings(index.blocks()).count()
+    with pytest.raises(ValueError):
+        index.update(segments(), assets(1), 0)
+
+
+def test_changed_index_is_read_by_gram(spark, tmp_path):
+    rows = [(i, i // 10, f"alpha{i} common words") for i in range(200)]
+    segments = spark.createDataFrame(rows, "segment_id long, asset_id long, text string")
+    index = GramIndex(spark, str(tmp_path / "i"), buckets=8)
+    index.build(segments)
+    some = segments.where("asset_id < 3")
+    index.update(some, some.select("asset_id").distinct(), 1)
+    for one in (index, index.compacted(str(tmp_path / "j"))):
+        hits, terms = searched(one, "alpha7", spark)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [gram_bucket" in plan and "In(gram" in plan
+        assert one.blocks(terms).select("gram").distinct().count() == 2
+        assert len(hits.collect()) == 11
+
+
+def test_search_through_a_changed_index(spark, tmp_path):
+    found = library(spark, [("a.mp4", [], ["去火锅店"]), ("b.mp4", [], ["在家做饭"])])
+    index = GramIndex(spark, str(tmp_path / "i"), buckets=4)
+    index.build(found.segments)
+    swapped = found.segments.withColumn("text", F.when(F.col("asset_id") == 1, "无").otherwise("新火锅店"))
+    index.update(swapped, found.assets.select("asset_id"), 1)
+    now = Catalogue(found.assets, swapped, found.tags, found.asset_tags, index)
+    result = search(now, one_query(spark, "火锅店"), count_body_terms=True)
+    assert [(r.asset_id, r.matched_terms) for r in result.candidates.collect()] == [(2, ["火锅店"])]
+    assert [h.snippet for h in page_snippets(now, result).collect()] == ["新火锅店"]
 
 
 def test_gram_frequencies(spark, small):
     segments, _, _ = small
-    rows = gram_frequencies(trigram_postings(segments)).where("segment_id = 0").collect()
+    rows = gram_frequencies(trigram_postings(gram_blocks(segments))).where("segment_id = 0").collect()
     assert [(r.gram, r.tf) for r in rows] == [("aaa", 2)]
 
 
