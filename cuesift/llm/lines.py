@@ -12,7 +12,7 @@ from .arrays import row_key
 DEPTH = 3
 # Documents in which a template must stand to be recurring.
 MIN_DOCUMENTS = 10
-# Share of a line's tokens that its template must keep.
+# Share of a line's tokens that its template must keep; variable fields are not kept.
 SIMILARITY = 0.8
 
 VARIABLE = "<*>"
@@ -47,38 +47,72 @@ def document_lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def placed_lines(docs: DataFrame) -> DataFrame:
+    """``place, key, at, line, branch`` of all lines, written once; no later step masks them again."""
+    rows = document_lines(docs).drop("masked")
+    return stored(rows.withColumn("place", F.monotonically_increasing_id()), "placed-lines")
+
+
+def _masked(docs: DataFrame, wanted: DataFrame, places: DataFrame) -> DataFrame:
+    """``line, masked`` of the lines ``wanted(line, place)``, each read at one place of the texts."""
+    at = places.select("place", "key", "at").join(wanted.select("line", "place"), "place")
+    read = at.groupBy("key").agg(F.collect_list(F.struct("at", "line")).alias("read"))
+    texts = docs.select(row_key().alias("key"), "text").join(read, "key")
+    every = texts.select(F.split("text", "\r\n|\r|\n").alias("every"), F.explode("read").alias("r"))
+    rows = every.select("r.line", masked_line(F.get("every", F.col("r.at"))).alias("masked"))
+    # repeated rows of a document give their lines again
+    return rows.groupBy("line").agg(F.min("masked").alias("masked"))
+
+
+def _widespread(members: DataFrame, by: list[str], pairs: DataFrame, least: int) -> DataFrame:
+    """The groups ``by`` of ``members(by, line, documents)`` that stand in ``least`` different documents.
+
+    The lines' numbers of documents bound the group's from both sides. Where
+    their sum is enough and no line is enough by itself, documents are counted
+    one by one; every line there has fewer than ``least``.
+    """
+    bounds = members.groupBy(*by).agg(F.sum("documents").alias("n"), F.max("documents").alias("top"))
+    bounds = stored(bounds.where(F.col("n") >= least), "bounds")
+    open_ = bounds.where(F.col("top") < least).select(*by)
+    seen = members.join(open_, by, "left_semi").select(*by, "line").join(pairs, "line").select(*by, "key").distinct()
+    counted = seen.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return bounds.where(F.col("top") >= least).select(*by).unionByName(counted.select(*by))
+
+
 def recurring_lines(
-    lines: DataFrame, min_documents: int = MIN_DOCUMENTS, similarity: float = SIMILARITY
+    docs: DataFrame, places: DataFrame, min_documents: int = MIN_DOCUMENTS, similarity: float = SIMILARITY
 ) -> DataFrame:
-    """``line, template, documents`` of the masked lines that belong to a recurring template.
-
-    Branches with too few documents are left at once, before any text is moved.
-    In the others a token is kept where enough documents of the branch have it at
-    that place, and is a variable field elsewhere; lines that come to the same
-    kept tokens share a template. A line joins its template only if enough of its
-    tokens are kept. Counting is by distinct masked line, each with its number of
-    documents, so a line in a third of all documents is one row.
+    """``line, template`` of the masked lines that belong to a recurring template.
+
+    Branches with too few documents are left at once, before any text is read.
+    In the others a token is kept where enough different documents of the branch
+    have it at that place, and is a variable field elsewhere; lines that come to
+    the same kept tokens share a template. A line joins its template only if
+    enough of its tokens are kept, and the template recurs only if its lines
+    stand in enough different documents. A line in a third of all documents is
+    one row with its number of documents.
     """
-    counted = lines.select("branch", "line", "key").distinct()
-    counted = stored(
-        counted.groupBy("branch", "line").agg(F.count(F.lit(1)).alias("documents")), "distinct-lines"
-    )
+    pairs = places.groupBy("branch", "line", "key").agg(F.min("place").alias("place"))
+    counted = pairs.groupBy("branch", "line").agg(F.count(F.lit(1)).alias("documents"), F.min("place").alias("place"))
+    counted = stored(counted, "distinct-lines")
     full = counted.groupBy("branch").agg(F.sum("documents").alias("n")).where(F.col("n") >= min_documents)
     wanted = stored(counted.join(full.select("branch"), "branch", "left_semi"), "open-lines")
-    texts = lines.select("line", "masked").join(wanted.select("line"), "line", "left_semi")
-    texts = texts.groupBy("line").agg(F.min("masked").alias("masked"))
-    open_ = stored(wanted.join(texts, "line"), "open-texts")
+    open_ = stored(wanted.drop("place").join(_masked(docs, wanted, places), "line"), "open-texts")
+    rare = wanted.where(F.col("documents") < min_documents).select("line")
+    pairs = places.select("line", "key").join(rare, "line", "left_semi").distinct()
     tokens = open_.select("branch", "line", "documents", F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    support = tokens.groupBy("branch", "at", "token").agg(F.sum("documents").alias("n"))
+    words = tokens.where(F.col("token") != VARIABLE)
+    place = ["branch", "at", "token"]
+    support = stored(_widespread(words, place, pairs, min_documents).withColumn("fixed", F.lit(1)), "kept-tokens")
     kept = (
-        tokens.join(support, ["branch", "at", "token"])
+        tokens.join(support, place, "left")
         .select(
             "branch",
             "line",
             "documents",
             "at",
-            F.when(F.col("n") >= min_documents, F.col("token")).otherwise(VARIABLE).alias("field"),
-            (F.col("n") >= min_documents).cast("int").alias("fixed"),
+            F.when(F.col("fixed") == 1, F.col("token")).otherwise(VARIABLE).alias("field"),
+            F.coalesce("fixed", F.lit(0)).alias("fixed"),
         )
         .groupBy("branch", "line", "documents")
         .agg(
@@ -88,9 +122,8 @@ def recurring_lines(
         .where(F.col("share") >= similarity)
     )
     kept = stored(kept, "kept-lines")
-    templates = kept.groupBy("branch", "template").agg(F.sum("documents").alias("n"))
-    templates = templates.where(F.col("n") >= min_documents)
-    return kept.join(templates, ["branch", "template"]).select("line", "template", F.col("n").alias("documents"))
+    templates = stored(_widespread(kept, ["branch", "template"], pairs, min_documents), "templates")
+    return kept.join(templates, ["branch", "template"]).select("line", "template")
 
 
 def line_dedup(
@@ -100,18 +133,19 @@ def line_dedup(
 
     Lines are parsed by a tree of fixed depth: token count, then leading tokens
     with numbers masked; below a branch, fields that vary are masked as well. All
-    lines of a template that stands in at least ``min_documents`` documents go,
-    in every document. Lines without tokens stay. A document counts once per
-    masked line.
+    lines of a template that stands in at least ``min_documents`` different
+    documents go, in every document. Masked fields do not count as kept, so lines
+    of numbers stay, and so do lines that are alike in one document only. Lines
+    without tokens stay.
 
     Null text is empty, has one line and stays null. Repeated rows count as one
     document and get equal results. Ids may be null. An empty table gives no
     rows. Only ``doc_id`` and ``text`` are read.
     """
-    lines = document_lines(docs)
-    recurring = stored(recurring_lines(lines, min_documents, similarity).select("line"), "recurring-lines")
+    places = placed_lines(docs)
+    recurring = stored(recurring_lines(docs, places, min_documents, similarity).select("line"), "recurring-lines")
     dropped = (
-        lines.select("key", "at", "line")
+        places.select("key", "at", "line")
         .join(recurring, "line", "left_semi")
         .groupBy("key")
         .agg(F.collect_set("at").alias("gone"))

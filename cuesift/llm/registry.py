@@ -148,20 +148,22 @@ all_lines AS (
          list_transform(list_filter(string_split_regex(line, '[\x20\x09\x0b\x0c]+'), lambda t: t <> ''),
                         lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
   FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM texts)),
-masked AS (
-  SELECT tokens, len(tokens) AS n, tokens[1:3] AS lead, count(DISTINCT doc_id) AS docs
-  FROM all_lines WHERE len(tokens) > 0 GROUP BY tokens),
+held AS (SELECT DISTINCT doc_id, tokens, len(tokens) AS n, tokens[1:3] AS lead FROM all_lines WHERE len(tokens) > 0),
+support AS (
+  SELECT n, lead, place, token, count(DISTINCT doc_id) AS seen
+  FROM (SELECT *, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM held) GROUP BY ALL),
 fields AS (
-  SELECT tokens, n, lead, docs, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM masked),
-support AS (SELECT n, lead, place, token, sum(docs) AS seen FROM fields GROUP BY ALL),
+  SELECT tokens, n, lead, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place
+  FROM (SELECT DISTINCT tokens, n, lead FROM held)),
 kept AS (
-  SELECT tokens, n, lead, docs,
+  SELECT tokens, n, lead,
          list(CASE WHEN seen >= 10 THEN token ELSE '<*>' END ORDER BY place) AS template,
-         avg(CASE WHEN seen >= 10 THEN 1 ELSE 0 END) AS share
-  FROM fields JOIN support USING (n, lead, place, token) GROUP BY tokens, n, lead, docs),
-gone AS (
-  SELECT tokens FROM kept WHERE share >= 0.8
-  QUALIFY sum(docs) OVER (PARTITION BY n, lead, template) >= 10),
+         avg(CASE WHEN seen >= 10 AND token <> '<*>' THEN 1 ELSE 0 END) AS share
+  FROM fields JOIN support USING (n, lead, place, token) GROUP BY tokens, n, lead),
+templates AS (
+  SELECT n, lead, template FROM kept JOIN held USING (tokens, n, lead) WHERE share >= 0.8
+  GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+gone AS (SELECT tokens FROM kept JOIN templates USING (n, lead, template) WHERE share >= 0.8),
 judged AS (
   SELECT l.*, g.tokens IS NOT NULL AS dropped FROM all_lines l LEFT JOIN gone g ON l.tokens = g.tokens),
 joined AS (
