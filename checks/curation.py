@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cuesift.functions.formats import engine_label, minute_stamp
+from cuesift.functions.tagnames import tag_key
 from cuesift.operators import quality, tagging
 from cuesift.operators.catalogue import tags_by_asset
 from cuesift.operators.keywords import (
@@ -175,6 +177,42 @@ def tag_dictionary(spark, sf_dir):
     return tagging.tag_dictionary(_asked(spark, sf_dir)).drop("created_at")
 
 
+_WIDE = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# the same letters in their wide forms
+_WIDER = "".join(chr(ord(c) + 0xFEE0) for c in _WIDE)
+
+
+@check(
+    "tag_keys_normalised",
+    f"""SELECT p_partkey, lower({a.trim_sql(f"regexp_replace(p_name || ' fi', '{a.WS}+', ' ', 'g')")}) AS tag_key FROM part""",
+)
+def tag_keys_normalised(spark, sf_dir):
+    """Names in wide letters, with a ligature, share the key of their plain spelling."""
+    wide = F.concat(F.translate("p_name", _WIDE, _WIDER), F.lit("\u3000\ufb01"))
+    return a.table(spark, sf_dir, "part").select("p_partkey", tag_key(wide).alias("tag_key"))
+
+
+@check(
+    "engine_labels",
+    """SELECT event_id, 'parser-' || (user_id % 3) || '+' || event_type AS label FROM events""",
+)
+def engine_labels(spark, sf_dir):
+    base = F.concat(F.lit("parser-"), (F.col("user_id") % 3).cast("string"))
+    return a.table(spark, sf_dir, "events").select("event_id", engine_label(base, F.col("event_type")).alias("label"))
+
+
+@check(
+    "minute_stamps",
+    """SELECT event_id, CASE WHEN event_type = 'error' THEN '—' ELSE strftime(make_timestamp(user_id * 86399000000 + event_id * 1000000), '%Y-%m-%d %H:%M') END AS stamp
+    FROM events""",
+)
+def minute_stamps(spark, sf_dir):
+    """Times as shown to people, in the zone of the session; the test tables' is UTC."""
+    ms = F.col("user_id") * 86_399_000 + F.col("event_id") * 1000
+    ms = F.when(F.col("event_type") != "error", ms)
+    return a.table(spark, sf_dir, "events").select("event_id", minute_stamp(ms).alias("stamp"))
+
+
 # tags that exist beforehand, and links that do
 _BEFORE_SQL = """
 old_tags AS (SELECT n_nationkey AS tag_id, name, name AS name_key, 'old' AS color

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuesift.functions.paths import fingerprint
+from cuesift.functions.payloads import json_field, read_jobs
 from cuesift.operators import catalogue as ops
 from cuesift.operators.extraction import (
     cached_runs,
@@ -16,6 +17,10 @@ from cuesift.operators.extraction import (
 )
 from cuesift.operators.manifest import apply_diff, diff_manifest, listed_files, scan_errors, scan_summary
 
+from cuesift.schemas import SEGMENTS
+from cuesift.session import scratch_folder
+from cuesift.sources.buckets import BucketStore
+
 from . import adapters as a
 
 QUERIES = {}
@@ -111,6 +116,66 @@ def list_segments_page(spark, sf_dir):
     return ops.list_segments(a.segments(spark, sf_dir), 3, offset=1).select("asset_id", "ordinal", "text")
 
 
+@check(
+    "job_list_ordered",
+    f"""WITH {a.JOBS_SQL} SELECT job_id, status, row_number() OVER (ORDER BY job_id DESC) AS place FROM jobs WHERE target_id = 1""",
+)
+def job_list_ordered(spark, sf_dir):
+    """The jobs of one target, newest first."""
+    listed = ops.list_jobs(a.jobs(spark, sf_dir), target_id=1)
+    return _placed(listed.select("job_id", "status"))
+
+
+def _placed(listed):
+    """A listing's rows with their places, to compare the order too."""
+    at = listed.withColumn("__at", F.monotonically_increasing_id())
+    return at.withColumn("place", F.row_number().over(Window.orderBy("__at")).cast("long")).drop("__at")
+
+
+@check(
+    "directories_ordered",
+    """SELECT n_nationkey AS directory_id, n_name AS label, row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS place FROM nation""",
+)
+def directories_ordered(spark, sf_dir):
+    directories = a.table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("directory_id"), F.col("n_name").alias("label"), F.col("n_regionkey").alias("created_at")
+    )
+    return _placed(ops.list_directories(directories).select("directory_id", "label"))
+
+
+@check(
+    "job_payloads",
+    """
+    WITH raw AS (
+      SELECT event_id AS job_id, CASE event_type
+               WHEN 'view' THEN '{"assetId": ' || user_id || ', "deep": {"flag": true}}'
+               WHEN 'click' THEN '{"assetId": "' || user_id || '", "deep": [1, {"flag": false}]}'
+               WHEN 'error' THEN '{"assetId": ' || user_id
+               WHEN 'purchase' THEN '[' || user_id || ']' END AS payload, event_type
+      FROM events)
+    SELECT job_id, payload IS NOT NULL AND json_valid(payload) AS is_json,
+           CASE WHEN event_type IN ('view', 'click') THEN CAST(json_extract_string(payload, '$.assetId') AS BIGINT) END AS asset_id,
+           CASE WHEN event_type = 'view' THEN true END AS flag
+    FROM raw""",
+)
+def job_payloads(spark, sf_dir):
+    """Open JSON of jobs; a damaged one is null and keeps nothing else from being read."""
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    text = (
+        F.when(kind == "view", F.concat(F.lit('{"assetId": '), user, F.lit(', "deep": {"flag": true}}')))
+        .when(kind == "click", F.concat(F.lit('{"assetId": "'), user, F.lit('", "deep": [1, {"flag": false}]}')))
+        .when(kind == "error", F.concat(F.lit('{"assetId": '), user))
+        .when(kind == "purchase", F.concat(F.lit("["), user, F.lit("]")))
+    )
+    jobs = read_jobs(a.table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), text.alias("payload")))
+    return jobs.select(
+        "job_id",
+        F.col("payload").isNotNull().alias("is_json"),
+        json_field(F.col("payload"), "$.assetId", "bigint").alias("asset_id"),
+        json_field(F.col("payload"), "$.deep.flag", "boolean").alias("flag"),
+    )
+
+
 @check(
     "job_list_active",
     f"""WITH {a.JOBS_SQL} SELECT job_id, target_id, type, status FROM jobs
@@ -413,6 +478,18 @@ def replace_segments_query(spark, sf_dir):
     return replace_segments(old, new, touched).select("asset_id", "ordinal", "text")
 
 
+@check("replace_stored_segments", ORACLES["replace_segments"])
+def replace_stored_segments(spark, sf_dir):
+    """The same in a store that only rewrites the folders of the assets touched."""
+    old = a.segments(spark, sf_dir)
+    store = BucketStore(spark, scratch_folder(spark, "segments"), SEGMENTS, "asset_id", 32)
+    store.build(old)
+    labels = a.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("asset_id"), "quality", "toxic")
+    touched = labels.where("toxic = 1 OR quality = 0")
+    store.replace(store.of(touched.where("toxic = 0")).withColumn("text", F.lower("text")), touched)
+    return store.read().select("asset_id", "ordinal", "text")
+
+
 @check(
     "run_outcomes",
     f"""WITH {a.SEGMENTS_SQL}, counted AS (SELECT asset_id, count(*) AS n FROM segments GROUP BY 1)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import curation, library, searches, streams, texts
+from . import curation, folders, library, searches, streams, texts
 
-MODULES = [texts, searches, library, curation, streams]
+MODULES = [texts, searches, library, curation, folders, streams]
 
 
 def queries() -> dict:

@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from cuesift.functions.snippet import highlight_pieces, with_snippet
 from cuesift.functions.text import contains_literal
 from cuesift.operators import quality
 from cuesift.operators.bm25 import score_hits
@@ -486,11 +487,56 @@ def search_totals_query(spark, sf_dir):
     return search_totals(search(a.catalogue(spark, sf_dir), a.queries(spark, sf_dir)))
 
 
-@check("search_snippets")
+# snippets of rows ``text, shown``: places of terms, joined where they touch, the window around the first
+_SNIPPETS = """
+places AS (
+  SELECT *, list_sort(flatten(list_transform(shown, lambda t: list_transform(
+      list_filter(generate_series(1, length(text) - length(t) + 1), lambda p: substr(lower(text), p, length(t)) = lower(t)),
+      lambda p: {'s': p - 1, 'e': p - 1 + length(t)})))) AS r
+  FROM shown_rows),
+joined_places AS (
+  SELECT *, CASE WHEN len(r) = 0 THEN [] ELSE list_reduce(list_transform(r, lambda x: [x]),
+      lambda acc, x: CASE WHEN acc[len(acc)].e >= x[1].s
+        THEN list_concat(acc[1:len(acc) - 1], [{'s': acc[len(acc)].s, 'e': greatest(acc[len(acc)].e, x[1].e)}])
+        ELSE list_concat(acc, x) END) END AS m FROM places),
+near_first AS (SELECT *, greatest(0, m[1].s - 24) AS near FROM joined_places),
+begun AS (
+  SELECT *, CASE WHEN len(m) = 0 THEN 0 WHEN m[1].s - near < 6 THEN greatest(0, m[1].s - 6) ELSE near END AS st FROM near_first),
+windowed AS (
+  SELECT *, CASE WHEN len(m) = 0 THEN least(length(text), 96)
+                 ELSE least(length(text), greatest(least(length(text), st + 96), m[1].e)) END AS en FROM begun),
+snippets AS (
+  SELECT *, substr(text, st + 1, en - st) AS snippet,
+         list_transform(list_filter(m, lambda x: x.s >= st AND x.e <= en), lambda x: {'s': x.s - st, 'e': x.e - st}) AS h,
+         len(m) > 0 AND st > 0 AS truncated_head, en < length(text) AS truncated_tail FROM windowed)
+"""
+
+
+@check(
+    "search_snippets",
+    f"""{_FLAGSHIP_ALL},
+    page AS (SELECT asset_id FROM candidates ORDER BY tier, n_terms DESC, best_rank NULLS LAST, asset_id LIMIT 30),
+    best AS (
+      SELECT query_id, asset_id, segment_id, rank, row_number() OVER (PARTITION BY asset_id ORDER BY rank NULLS LAST, segment_id) AS n
+      FROM (SELECT query_id, asset_id, segment_id, round(min(rank), 9) AS rank
+            FROM (SELECT * FROM ranked UNION ALL SELECT *, NULL FROM short_hits) GROUP BY ALL) JOIN page USING (asset_id)),
+    shown_rows AS (
+      SELECT b.*, s.text, CASE WHEN rank IS NULL THEN ['en', 'ch'] ELSE ['src1_EN', 'the', 'entre', 'en', 'ch'] END AS shown
+      FROM best b JOIN segments s USING (segment_id) WHERE n <= 3),
+    {_SNIPPETS}
+    SELECT query_id, asset_id, segment_id, CAST(n AS INTEGER) AS n, snippet, truncated_head, truncated_tail,
+           '[' || array_to_string(list_transform(h, lambda x: '{{"start":' || x.s || ',"end":' || x.e || '}}'), ',') || ']' AS highlights
+    FROM snippets""",
+)
 def search_snippets(spark, sf_dir):
-    """Snippets of the first page; tested against brute force on a fixture."""
+    """Snippets of the first page; ranks are rounded, as the last digits of a sum depend on its order."""
     found = a.catalogue(spark, sf_dir)
     result = search(found, one_query(spark, FLAGSHIP))
+    result = replace(
+        result,
+        candidates=result.candidates.withColumn("best_rank", _six("best_rank")),
+        segment_hits=result.segment_hits.withColumn("rank", F.round("rank", 9)),
+    )
     rows = page_snippets(found, result, per_asset=3)
     return rows.select(
         "query_id",
@@ -504,6 +550,42 @@ def search_snippets(spark, sf_dir):
     )
 
 
+@check(
+    "snippet_pieces",
+    f"""WITH {a.SEGMENTS_SQL},
+    shown_rows AS (SELECT segment_id, text, ['entre', 'tion', 'the', 'Ent'] AS shown FROM segments),
+    {_SNIPPETS}
+    SELECT segment_id, array_to_string(list_transform(h, lambda x, i:
+             substr(snippet, CASE WHEN i = 1 THEN 0 ELSE h[i - 1].e END + 1, x.s - CASE WHEN i = 1 THEN 0 ELSE h[i - 1].e END)
+             || '[' || substr(snippet, x.s + 1, x.e - x.s) || ']'), '')
+           || substr(snippet, CASE WHEN len(h) = 0 THEN 0 ELSE h[len(h)].e END + 1) AS pieces
+    FROM snippets""",
+)
+def snippet_pieces(spark, sf_dir):
+    """The snippet of every segment for four overlapping terms, cut into pieces for display."""
+    terms = F.array(*[F.lit(t) for t in ("entre", "tion", "the", "Ent")])
+    rows = with_snippet(a.segments(spark, sf_dir).select("segment_id", "text", terms.alias("shown")), "text", "shown")
+    pieces = F.transform(
+        highlight_pieces(F.col("snippet"), F.col("highlights")),
+        lambda p: F.when(p["hit"], F.concat(F.lit("["), p["text"], F.lit("]"))).otherwise(p["text"]),
+    )
+    return rows.select("segment_id", F.array_join(pieces, "").alias("pieces"))
+
+
+@check(
+    "first_segments",
+    f"""WITH {a.SEGMENTS_SQL}
+    SELECT asset_id, segment_id, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY ordinal) AS INTEGER) AS n FROM segments
+    QUALIFY n <= 5""",
+)
+def first_segments(spark, sf_dir):
+    """Segments without a rank come in reading order: the first five of every asset."""
+    every = a.segments(spark, sf_dir).select(
+        F.lit(0).alias("query_id"), "asset_id", "segment_id", F.lit(None).cast("double").alias("rank")
+    )
+    return top_segments(every, 5).select("asset_id", "segment_id", "n")
+
+
 @check(
     "recall_eval",
     rf"""WITH {a.SEGMENTS_SQL}, {a.QUERIES_SQL},

@@ -59,6 +59,11 @@ def engine_label(base: Column | str, script: Column | str) -> Column:
     return F.concat_ws("+", as_col(base), as_col(script))
 
 
+def label_text(base: str, script: str) -> str:
+    """The same label where both parts are plain values."""
+    return f"{base}+{script}"
+
+
 # Version and wording of the message sent for one asset.
 PROMPT_VERSION = "polish-v1"
 PROMPT_NAME_PREFIX = "素材："

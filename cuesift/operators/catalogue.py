@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import file_name, path_key
 from ..functions.text import contains_literal, trim_space
 from ..session import salted_join
+from .ids import IdSet
 from .recall import filter_assets
 
 # Page sizes of the listings where none is asked for.
@@ -229,19 +230,17 @@ def remove_directories(
 ) -> Remaining:
     """Drop directories ``ids(directory_id)`` with their assets and child rows.
 
-    ``children`` are tables with an ``asset_id``. Rows are kept by the surviving
-    directories, which are few; the corpus is never shuffled for them unless the
-    list of removed assets is itself large.
+    ``children`` are tables with an ``asset_id``. The removed assets are a set of
+    bitmaps that every child table is tested against where it is read, so no
+    child row is shuffled; see ``IdSet`` for sets too wide for that.
     """
     gone = assets.join(ids, "directory_id", "left_semi").select("asset_id", "directory_id")
     counted = gone.groupBy("directory_id").agg(F.count(F.lit(1)).alias("removed_assets"))
     removed = ids.join(counted, "directory_id", "left").select(
         "directory_id", F.coalesce("removed_assets", F.lit(0)).alias("removed_assets")
     )
-    kept = {
-        name: table.join(gone.select("asset_id"), "asset_id", "left_anti")
-        for name, table in children.items()
-    }
+    removed_assets = IdSet(gone, "asset_id")
+    kept = {name: removed_assets.absent_from(table) for name, table in children.items()}
     return Remaining(
         directories.join(ids, "directory_id", "left_anti"),
         assets.join(ids, "directory_id", "left_anti"),

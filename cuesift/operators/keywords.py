@@ -19,16 +19,17 @@ HAN = r"\u4e00-\u9fff\u3400-\u4dbf"
 LETTERS = r"\p{L}"
 
 # Frequent function words that make useless tags.
-STOPWORDS = """
-我们 你们 他们 她们 它们 这个 那个 这里 那里 这样 那样
-什么 怎么 为什么 因为 所以 但是 可是 如果 就是 还是 或者
-已经 可以 应该 可能 没有 不是 不能 不会 一个 一种 一些
-这些 那些 自己 大家 现在 时候 地方 东西 事情 问题 感觉
-知道 觉得 看到 听到 出来 起来 过去 过来 下来 一下 一直
-而且 然后 于是 虽然 不过 其实 真的 好像 一定 非常 特别
-有点 一点 很多 多少 这么 那么 怎样 如何 以及 还有
-的话 的人 的事 的时候 那种 这种 只是 就是 而是 不能
-""".split()
+STOPWORDS = [
+    "我们", "你们", "他们", "她们", "它们", "这个", "那个", "这里", "那里", "这样",
+    "那样", "什么", "怎么", "为什么", "因为", "所以", "但是", "可是", "如果", "就是",
+    "还是", "或者", "已经", "可以", "应该", "可能", "没有", "不是", "不能", "不会",
+    "一个", "一种", "一些", "这些", "那些", "自己", "大家", "现在", "时候", "地方",
+    "东西", "事情", "问题", "感觉", "知道", "觉得", "看到", "听到", "出来", "起来",
+    "过去", "过来", "下来", "一下", "一直", "而且", "然后", "于是", "虽然", "不过",
+    "其实", "真的", "好像", "一定", "非常", "特别", "有点", "一点", "很多", "多少",
+    "这么", "那么", "怎样", "如何", "以及", "还有", "的话", "的人", "的事", "的时候",
+    "那种", "这种", "只是", "就是", "而是", "不能",
+]
 
 # Code point of the line feed that stands for any character outside a word.
 _OUTSIDE = 10

@@ -29,14 +29,29 @@ def listed_files(listing: DataFrame, case_insensitive: bool = False) -> DataFram
     )
 
 
-def diff_manifest(previous: DataFrame, files: DataFrame, scans: DataFrame) -> DataFrame:
+def _below(missing: DataFrame, unread: DataFrame) -> DataFrame:
+    """``asset_id`` of the files under a directory that could not be listed.
+
+    Each file names the directories above it, so this is a join by equality.
+    """
+    parts = F.split("old_path", "/")
+    depths = F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
+    above = F.transform(depths, lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    rows = missing.select("asset_id", "directory_id", F.explode(above).alias("path"))
+    return rows.join(unread, ["directory_id", "path"], "left_semi").select("asset_id").distinct()
+
+
+def diff_manifest(
+    previous: DataFrame, files: DataFrame, scans: DataFrame, unread: DataFrame | None = None
+) -> DataFrame:
     """Classify every file of the scanned directories by one full join.
 
     ``previous(asset_id, directory_id, path_key, path, fingerprint)`` is the
     catalogue, ``files`` comes from ``listed_files``, and
     ``scans(directory_id, completed)`` lists the directories walked. A file that
-    was not seen is removed only if its directory was walked to the end. New
-    files have no id yet; ``apply_diff`` gives them one.
+    was not seen is removed only if its directory was walked to the end, and
+    kept if it lies below one of the ``unread(directory_id, path)`` directories.
+    New files have no id yet; ``apply_diff`` gives them one.
     """
     supported = files.where(F.col("kind").isNotNull())
     before = previous.join(scans, "directory_id").select(
@@ -48,6 +63,11 @@ def diff_manifest(previous: DataFrame, files: DataFrame, scans: DataFrame) -> Da
         F.col("fingerprint").alias("old_fingerprint"),
     )
     both = before.join(supported, ["directory_id", "path_key"], "full_outer")
+    if unread is not None:
+        spared = _below(both.where(F.col("fingerprint").isNull()), unread).withColumn("__spared", F.lit(True))
+        both = both.join(spared, "asset_id", "left").withColumn(
+            "completed", F.col("completed") & F.col("__spared").isNull()
+        )
     change = (
         F.when(F.col("asset_id").isNull(), F.lit(NEW))
         .when(F.col("fingerprint").isNull() & F.col("completed"), F.lit(REMOVED))
