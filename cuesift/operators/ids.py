@@ -66,9 +66,19 @@ class IdSet:
         """The rows whose id is not in the set; rows without an id stay."""
         if self.bitmaps is None:
             return rows.join(self.ids, self.column, "left_anti")
+        met, held = self._met(rows, "left")
+        return met.where(~F.coalesce(held, F.lit(False))).drop("__bucket", "__bits")
+
+    def present_in(self, rows: DataFrame) -> DataFrame:
+        """The rows whose id is in the set."""
+        if self.bitmaps is None:
+            return rows.join(self.ids, self.column, "left_semi")
+        met, held = self._met(rows, "inner")
+        return met.where(held).drop("__bucket", "__bits")
+
+    def _met(self, rows: DataFrame, how: str) -> tuple[DataFrame, Column]:
         bits = self.bitmaps.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
-        met = rows.join(F.broadcast(bits), F.bitmap_bucket_number(self.column) == F.col("__bucket"), "left")
+        met = rows.join(F.broadcast(bits), F.bitmap_bucket_number(self.column) == F.col("__bucket"), how)
         place = F.bitmap_bit_position(self.column)
         byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10)
-        held = F.getbit(byte.cast("long"), F.pmod(place, F.lit(8)).cast("int")) == 1
-        return met.where(~F.coalesce(held, F.lit(False))).drop("__bucket", "__bits")
+        return met, F.getbit(byte.cast("long"), F.pmod(place, F.lit(8)).cast("int")) == 1

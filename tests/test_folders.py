@@ -152,6 +152,8 @@ def test_id_sets(spark):
     got = sorted((r.asset_id for r in kept.collect()), key=lambda i: (i is None, i or 0))
     assert got == [i for i in every if i not in ids] + [None]
     assert "Exchange hashpartitioning" not in plan_of(kept)
+    within = IdSet(gone, "asset_id").present_in(rows)
+    assert sorted(r.asset_id for r in within.collect()) == sorted(ids) and within.columns == kept.columns
     wide = IdSet(gone, "asset_id")
     wide.bitmaps = None
     assert sorted(map(str, wide.absent_from(rows).collect())) == sorted(map(str, kept.collect()))
