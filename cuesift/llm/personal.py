@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import count
 
@@ -31,11 +32,10 @@ LOOKS = {
     "phone": r"[(]?[0-9]{2,4}[)./-]?[0-9]{2,4}(?:[./-][0-9]{2,5}){1,3}",
 }
 
-# Characters of a word that can look like an identifier.
-LONGEST = 100
-
-# Words before an identifier that make up its context.
+# Words before an identifier that make up its context, and the characters at
+# the end of each that count.
 CONTEXT = 2
+TAIL = 40
 # Change of a pattern's score below which all scores count as final.
 SETTLED = 1e-6
 # Different known identifiers a context must have, and the score it must reach.
@@ -93,22 +93,72 @@ def written(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in spans)
 
 
-_WORD = re.compile(r"\S+")
 _HINT = re.compile(r"[0-9@]|[(\[]at[)\]]")
+_AT = re.compile(r"@|\(at\)|\[at\]")
+_AFTER_AT = re.compile("[A-Za-z0-9.-]+")
+_SHAPES = {kind: re.compile(LOOKS[kind]) for kind in KINDS if kind != "email"}
+# What stands between the members of a list.
+_BETWEEN = " \t\r\n,;|/"
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the looks of an email, found from their signs, so that long words cost no more."""
+    upto = 0
+    for sign in _AT.finditer(text):
+        start = sign.start()
+        while start > upto and text[start - 1] in _LOCAL:
+            start -= 1
+        rest = _AFTER_AT.match(text, sign.end()) if start < sign.start() else None
+        if rest:
+            upto = rest.end()
+            yield start, upto
 
 
-def _context(text: str, start: int) -> str:
-    """The words before a place, in lower case; numbers in them are masked."""
-    # a step back of 40 characters a word is looked at; longer words have no use as context
-    before = text[max(0, start - 40 * CONTEXT) : start].split()
-    return " ".join(re.sub("[0-9]+", "0", word.lower()) for word in before[-CONTEXT:])
+def _shaped(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """``kind, start, end`` of everything that looks like an identifier and overlaps nothing taken.
+
+    The whole text is searched for one kind after the other; a place belongs to
+    the first kind that finds it.
+    """
+    held = bytearray(len(text))
+    for a, b in taken:
+        held[a:b] = b"\1" * (b - a)
+    out = []
+    for kind in KINDS:
+        found = _addresses(text) if kind == "email" else (m.span() for m in _SHAPES[kind].finditer(text))
+        for a, b in found:
+            if b - a >= 6 and not any(held[a:b]):
+                held[a:b] = b"\1" * (b - a)
+                out.append((kind, a, b))
+    return out
+
+
+def _contexts(text: str, places: list[tuple[int, int]]) -> list[str]:
+    """The words before each of the ordered places, in lower case, numbers masked.
+
+    Of a word its last ``TAIL`` characters count. Places that only a separator
+    sets apart are a list and share the context of its first member.
+    """
+    words = [m.span() for m in re.finditer(r"\S+", text)] if places else []
+    starts = [start for start, _ in words]
+    out, last, shared = [], 0, None
+    for a, b in places:
+        if shared is None or text[last:a].strip(_BETWEEN):
+            at = bisect_right(starts, a) - 1
+            before = [*words[max(0, at - CONTEXT) : at], (starts[at], a)]
+            pieces = [text[max(start, end - TAIL) : end] for start, end in reversed(before) if start < end][:CONTEXT]
+            shared = " ".join(re.sub("[0-9]+", "0", piece.lower()) for piece in reversed(pieces))
+        out.append(shared)
+        last = max(last, b)
+    return out
 
 
 def mentions(docs: DataFrame) -> DataFrame:
     """``doc_id, base, n_email, n_ip, n_card, n_phone, mentions`` of every document.
 
-    ``base`` are the spans of the fixed forms. ``mentions`` are these and every
-    other word that looks like an identifier, with the words before it.
+    ``base`` are the spans of the fixed forms. ``mentions`` are these and
+    everything else that looks like an identifier, however long the word it
+    stands in and however many there are, with the words before it.
     """
     mention = pa.struct(
         [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("known", pa.bool_()),
@@ -118,21 +168,13 @@ def mentions(docs: DataFrame) -> DataFrame:
     def find(text: str) -> tuple:
         base = base_spans(text)
         out = [(kind, a, b, True) for a, kind, b in base]
-        taken = [(a, b) for a, _, b in base]
         if _HINT.search(text):
-            for word in _WORD.finditer(text):
-                if word.end() - word.start() > LONGEST or not _HINT.search(word[0]):
-                    continue
-                for kind in KINDS:
-                    m = re.search(LOOKS[kind], word[0])
-                    if m and len(m[0]) >= 6:
-                        a, b = word.start() + m.start(), word.start() + m.end()
-                        if not any(a < y and x < b for x, y in taken):
-                            out.append((kind, a, b, False))
-                            break
+            out += [(*found, False) for found in _shaped(text, [(a, b) for a, _, b in base])]
+        out.sort(key=lambda m: (m[1], KINDS.index(m[0])))
+        patterns = _contexts(text, [(a, b) for _, a, b, _ in out])
         rows = [
-            {"kind": k, "start": a, "end": b, "known": known, "instance": text[a:b].lower(), "pattern": _context(text, a)}
-            for k, a, b, known in out
+            {"kind": k, "start": a, "end": b, "known": known, "instance": text[a:b].lower(), "pattern": pattern}
+            for (k, a, b, known), pattern in zip(out, patterns)
         ]
         counts = [sum(kind == k for _, kind, _ in base) for k in KINDS]
         return written(base), *counts, rows

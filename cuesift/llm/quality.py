@@ -215,17 +215,19 @@ def train(
 
     ``labels(doc_id, quality)``: only rows with quality 1 are used, as trusted
     positives; zeros are never looked at. At most ``trusted`` of them and
-    ``unlabelled`` of all documents are taken in the order of a hash. Without a
-    positive or without documents there is no classifier.
+    ``unlabelled`` of all documents are taken in the order of a hash, one row of
+    each id. Without a positive or without documents there is no classifier.
     """
     order = F.xxhash64("doc_id", F.lit(29))
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     good = good.orderBy(order, "doc_id").limit(trusted).withColumn("trusted", F.lit(True))
-    every = docs.where(F.col("doc_id").isNotNull()).select("doc_id")
-    every = every.orderBy(order, "doc_id").limit(unlabelled).distinct().withColumn("trusted", F.lit(False))
+    every = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    every = every.orderBy(order, "doc_id").limit(unlabelled).withColumn("trusted", F.lit(False))
     # at most trusted + unlabelled rows of two values
     picked = stored(good.unionByName(every), "quality-sample")
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # of the rows of one id a single one, so that what is collected keeps its bound
+    sample = sample.groupBy("doc_id", "trusted").agg(F.min("text").alias("text"))
     seen = document_measures(sample).toPandas()
     values = [np.array(seen.loc[seen["trusted"] == flag, "measures"].to_list()) for flag in (True, False)]
     if not len(values[0]) or not len(values[1]):

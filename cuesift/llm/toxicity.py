@@ -28,6 +28,8 @@ LANDMARKS = 256
 DECAY = 0.6
 # Log-likelihood ratio from which a string is taken to make documents toxic.
 CHANCE = 25.0
+# Strings taken where none reaches that.
+RARE = 256
 GAPPED = 300
 # Symbols from the first to the last of a subsequence, at most.
 REACH = 6
@@ -325,7 +327,11 @@ def _distinct_documents(docs: DataFrame, draws: int = 3) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
-    """A machine fitted on labelled documents; None without both classes.
+    """A machine fitted on labelled documents.
+
+    None without both classes, or if no string stands in toxic documents more
+    often than in clean ones. Where no string is telling enough by itself, the
+    ``RARE`` ones with the highest ratio are taken.
 
     At most ``sample`` documents of each class, taken in the order of a hash and
     rid of copies, are cut into strings. Which string makes a toxic document
@@ -366,6 +372,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
     odds = F.log((F.col("bad") + 0.5) / (rate + 0.5))
     telling = counts.where((rate < 0.05 * F.col("bad")) & (ratio >= CHANCE)).orderBy(F.desc(ratio), "word")
     telling = telling.limit(sample).select("word", "bad", odds.alias("odds")).collect()
+    if not telling:
+        # insults that are each too rare for the ratio: the strings with the highest one
+        rare = counts.where(F.col("bad") > rate).orderBy(F.desc(ratio), F.desc(odds), "word").limit(RARE)
+        telling = rare.select("word", "bad", odds.alias("odds")).collect()
     if not telling:
         return None
     bad = {row.word: row.bad for row in telling}

@@ -139,3 +139,27 @@ def test_classifier_learns_from_positives_only(spark, odd, empty):
     assert quality.quality(empty, classifier).collect() == []
     assert quality.train(docs, good.limit(0)) is None and quality.train(empty, good) is None
     assert {r.score for r in quality.quality(odd, None).collect()} == {0.5}
+
+
+def test_rare_insults_still_make_a_machine(spark):
+    """No string is telling by itself: the ones of the highest ratio are learned."""
+    draw = np.random.default_rng(3)
+    plain = [f"word{i}" for i in range(40)]
+    rows = [(i, " ".join(draw.choice(plain, 12)) + f" grumblebug{'abcdefghij'[i]}") for i in range(10)]
+    rows += [(i, " ".join(draw.choice(plain, 12))) for i in range(10, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 10)) for i, _ in rows], "doc_id long, toxic int")
+    machine = toxicity.train(docs, labels)
+    assert machine is not None
+    score = {r.doc_id: r.score for r in toxicity.toxicity(docs, machine).collect()}
+    assert min(score[i] for i in range(10)) > max(score[i] for i in range(10, 20))
+    assert toxicity.train(docs, labels.where("toxic = 1")) is None
+
+
+def test_repeated_rows_do_not_change_the_sample(spark):
+    rows = [(i, f"A good text number {i}. It has sentences." if i % 2 else "x9 $$ 1 | 2 | 3") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 60, 4)], "doc_id long, quality int")
+    one = quality.train(docs, labels, 10, 30)
+    again = quality.train(docs.unionByName(docs.where("doc_id < 20")).unionByName(docs), labels, 10, 30)
+    assert np.allclose(one.weights, again.weights) and one.prior == again.prior

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from cuesift.llm import personal, substrings
 from cuesift.llm.arrays import flat
 from cuesift.llm.lines import line_dedup, placed_lines, recurring_lines
-from cuesift.llm.personal import FORMS, KINDS, base_spans, learned_patterns, personal_data, written
+from cuesift.llm.personal import FORMS, KINDS, base_spans, learned_patterns, mentions, personal_data, written
 
 
 def luhn(digits):
@@ -117,6 +117,36 @@ def test_few_known_identifiers_suffice(spark):
     assert {r.doc_id: r.spans != "" for r in got} == {i: True for i, _ in rows}
 
 
+def test_lists_and_long_words_are_searched_whole(spark):
+    """Any number of identifiers in a word, and words of any length."""
+    rows = [(i, f"reach me at user{i}@mail.example.org") for i in range(5)]
+    long = "x" * 130 + "(at)" + "y" * 130 + ".org"
+    tail = "zz" * 5000
+    rows += [
+        (10, "reach me at bob(at)y.org,eve(at)z.org"),
+        (11, f"reach me at {long}"),
+        (12, f"{tail} reach me at ann(at)y.org; tom@known.example.org, kim[at]w.org {tail}"),
+        (13, "another text of eve2(at)z.org only"),
+        (14, "reach   \n  me " + " " * 200 + "at lou(at)y.org"),
+    ]
+    got = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+
+    def found(doc):
+        return [texts[doc][int(a) : int(b)] for _, a, b in (s.split(":") for s in got[doc].split(",") if s)]
+
+    assert found(10) == ["bob(at)y.org", "eve(at)z.org"]
+    assert found(11) == [long]
+    assert found(12) == ["ann(at)y.org", "tom@known.example.org", "kim[at]w.org"]
+    assert found(13) == [] and found(14) == ["lou(at)y.org"]
+
+
+def test_mentions_of_long_texts_take_no_longer_than_their_length(spark):
+    texts = [(1, "a" * 300_000 + "(at)" * 3), (2, "a@" * 150_000), (3, "1.2.3.4 " * 40_000), (4, "12-34" * 60_000), (5, "9" * 300_000)]
+    rows = mentions(spark.createDataFrame(texts, "doc_id long, text string")).select("doc_id").collect()
+    assert len(rows) == 5
+
+
 def prose(draw, n):
     return " ".join("".join(draw.choice("abcdefé") for _ in range(draw.randrange(2, 8))) for _ in range(n))
 
