@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ids import IdSet
 from ..session import stored
 from .arrays import NOT_SPACE, flat, mix, row_key, slices, words
 
 # A cut falls after about one byte in 2^CUT_BITS, and not within LEAST bytes of
 # the cut before it; no chunk is longer than MOST bytes.
-CUT_BITS = 4
-LEAST = 12
+CUT_BITS = 5
+LEAST = 20
 MOST = 256
 
 # Words that a repeated passage has before it counts.
@@ -25,7 +26,7 @@ RUN_WORDS = 16
 
 # Bytes beside a seed that are compared first; seeds that agree in all of them
 # are compared again over everything beside them.
-AROUND = 64
+AROUND = 96
 
 _WINDOW = 16
 
@@ -257,6 +258,17 @@ def _reach(mine: bytes, other: bytes, mine_all: bool, other_all: bool, most: int
     return far, not other[far : far + 1].strip(), more
 
 
+def _texts_of(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of ``texts`` that may belong to ``keys``.
+
+    A bit for each of 2^25 hashes, at most 4 MB in all, is tested where the
+    texts are read, so that texts without a seed are not shuffled.
+    """
+    number = F.pmod(F.xxhash64("key"), F.lit(1 << 25))
+    marked = IdSet(keys.select(number.alias("hash")), "hash")
+    return marked.present_in(texts.withColumn("hash", number)).drop("hash").dropDuplicates(["key"])
+
+
 def extended(runs: DataFrame, texts: DataFrame, around: int = AROUND) -> DataFrame:
     """``row, begin, end, n, first_id, whole_left, whole_right`` of the seeds, as far as both texts agree.
 
@@ -294,7 +306,8 @@ def extended(runs: DataFrame, texts: DataFrame, around: int = AROUND) -> DataFra
             {f"most_{c}": F.col(c) for c in _PLACE[3:]} | {c: F.least(c, F.lit(width)) for c in _PLACE[3:]}
         )
         firsts = near.select(*[F.col(f"first_{c}").alias(c) for c in _PLACE[:3]], *_PLACE[3:])
-        sides = stored(surroundings(near.select(*_PLACE).unionByName(firsts).distinct(), texts), "surroundings")
+        places = near.select(*_PLACE).unionByName(firsts).distinct()
+        sides = stored(surroundings(places, _texts_of(places.select("key"), texts)), "surroundings")
         of_first = sides.select(
             *[F.col(c) if c in _PLACE[3:] else F.col(c).alias(f"first_{c}") for c in sides.columns]
         )
@@ -335,7 +348,7 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     table gives no rows. Only ``doc_id`` and ``text`` are read.
     """
     cut = stored(chunks(docs).withColumn("row", F.monotonically_increasing_id()), "chunks")
-    texts = docs.select(row_key().alias("key"), "text").dropDuplicates(["key"])
+    texts = docs.select(row_key().alias("key"), "text")
     found = stored(seeds(repeated_chunks(cut)), "seeds")
     repeats = extended(found, texts).groupBy("row").agg(
         F.collect_list(F.struct("begin", "end", "n", "first_id", "whole_left", "whole_right")).alias("repeats")
@@ -361,7 +374,7 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
                     [pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names
                 )
 
-    return numbered.join(texts, "key").select("doc_id", "rows", "text").mapInArrow(
+    return numbered.join(texts.dropDuplicates(["key"]), "key").select("doc_id", "rows", "text").mapInArrow(
         clean,
         "doc_id long, n_chunks long, n_repeated long, removed_words long, "
         "spans array<struct<begin: long, end: long>>, first_ids array<long>, text string",
