@@ -12,6 +12,7 @@ from cuesift.operators.keywords import (
     LETTERS,
     drop_fragments,
     eligible_words,
+    frequent_words,
     ngram_stats,
     suggest_keywords,
 )
@@ -72,7 +73,7 @@ def ngram_stats_query(spark, sf_dir):
 
 @check("keyword_fragments_removed", f"{_WORDS} SELECT asset_id, word, frequency FROM whole")
 def keyword_fragments_removed(spark, sf_dir):
-    words = eligible_words(ngram_stats(a.segments(spark, sf_dir), LETTERS))
+    words = eligible_words(frequent_words(a.segments(spark, sf_dir), LETTERS))
     return drop_fragments(words).drop("first_seen")
 
 

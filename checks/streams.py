@@ -9,7 +9,7 @@ from cuesift.schemas import SEGMENTS
 from cuesift.session import scratch_folder
 from cuesift.sources.changes import ChangeTable
 from cuesift.streaming.ingest import stream_segments
-from cuesift.streaming.status import active_status, job_states, stream_job_states
+from cuesift.streaming.status import active_status, job_states, stream_job_changes, stream_job_states
 
 from . import adapters as a
 
@@ -27,17 +27,23 @@ def check(name: str, sql: str | None = None):
     return register
 
 
-def _stream(spark, sf_dir, name):
-    schema = a.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+def _arriving(spark, name, *writes):
+    """A stream of several micro-batches: each write's files come after those of the one before."""
+    folder = scratch_folder(spark, name)
+    for frame, files, key in writes:
+        frame.repartition(files, key).write.mode("append").parquet(folder)
+    schema = writes[0][0].schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 @check("stream_text_segments", f"WITH {a.SEGMENTS_SQL} SELECT asset_id, segment_id, ordinal, text FROM segments")
 def stream_text_segments(spark, sf_dir):
-    """Documents arrive as a stream; the stored table equals the batch result."""
+    """Documents arrive in five micro-batches, first in an older state that is replaced."""
     folder = scratch_folder(spark, "segments")
     table = ChangeTable(spark, f"{folder}/table", SEGMENTS, "asset_id")
-    texts = _stream(spark, sf_dir, "documents").select(
+    docs = a.table(spark, sf_dir, "documents").select("doc_id", "text")
+    older = docs.withColumn("text", F.concat(F.reverse("text"), F.lit("\nolder")))
+    texts = _arriving(spark, "texts", (older, 2, "doc_id"), (docs, 3, "doc_id")).select(
         F.col("doc_id").alias("asset_id"), F.lit(".txt").alias("ext"), F.col("text").alias("content")
     )
     stream_segments(texts, table, f"{folder}/progress").awaitTermination()
@@ -52,17 +58,22 @@ GROUP BY 1
 """
 
 
-def _job_states(spark, sf_dir):
-    folder = scratch_folder(spark, "jobs")
+def _job_events(spark, sf_dir):
+    """All events in three micro-batches, then earlier ones late and again in two more."""
     kind = F.col("event_type")
-    events = _stream(spark, sf_dir, "events").select(
+    events = a.table(spark, sf_dir, "events").select(
         (F.col("user_id") * 10 + F.length(kind)).alias("job_id"),
         F.lit("extract").alias("type"),
         F.when(kind == "view", "running").when(kind == "click", "queued").otherwise("succeeded").alias("status"),
         F.col("user_id").alias("target_id"),
         "event_id",
     )
-    stream_job_states(events, f"{folder}/table", f"{folder}/progress").awaitTermination()
+    return _arriving(spark, "events", (events, 3, "event_id"), (events.where("event_id % 2 = 0"), 2, "event_id"))
+
+
+def _job_states(spark, sf_dir, store=stream_job_states):
+    folder = scratch_folder(spark, "jobs")
+    store(_job_events(spark, sf_dir), f"{folder}/table", f"{folder}/progress").awaitTermination()
     return job_states(spark, f"{folder}/table")
 
 
@@ -71,6 +82,12 @@ def stream_job_states_query(spark, sf_dir):
     return _job_states(spark, sf_dir).select("job_id", "status", "event_id")
 
 
+@check("stream_job_changes", _STATES_SQL)
+def stream_job_changes_query(spark, sf_dir):
+    """The same from keyed state, which only passes on what changes a job."""
+    return _job_states(spark, sf_dir, stream_job_changes).select("job_id", "status", "event_id")
+
+
 @check(
     "stream_active_status",
     f"""SELECT job_id // 10 AS asset_id, arg_max(status, job_id) AS active_status FROM ({_STATES_SQL})

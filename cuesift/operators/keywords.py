@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,9 @@ STOPWORDS = [
 # Code point of the line feed that stands for any character outside a word.
 _OUTSIDE = 10
 
+# Bits that stand for the words of an asset; a fuller set lets more through.
+MARKS = 4096
+
 # Candidates per asset examined in one round of the greedy choice.
 _ROUND = 256
 
@@ -53,20 +58,13 @@ def _windows(framed: Column, size: int) -> Column:
     )
 
 
-def ngram_stats(segments: DataFrame, chars: str = HAN) -> DataFrame:
-    """``asset_id, word, frequency, left_varied, right_varied, first_seen``.
-
-    A side is varied when it shows two different characters, that is when the
-    smallest and the largest differ: plain minimum and maximum, combined before
-    the shuffle. Neighbours are kept as code points, which hash aggregation can
-    update in place. ``first_seen`` orders words of one length by appearance.
-    """
-    sizes = range(MIN_LENGTH, MAX_LENGTH + 1)
+def _framed(segments: DataFrame, chars: str) -> DataFrame:
     plain = F.regexp_replace("text", rf"[^{chars}]", "\n")
-    framed = segments.select(
-        "asset_id", "ordinal", F.concat(F.lit("\n"), plain, F.lit("\n")).alias("framed")
-    )
-    found = F.concat(*[_windows(F.col("framed"), size) for size in sizes])
+    return segments.select("asset_id", "ordinal", F.concat(F.lit("\n"), plain, F.lit("\n")).alias("framed"))
+
+
+def _counted(framed: DataFrame, found: Column) -> DataFrame:
+    """The statistics of the words at the places ``found``."""
     rows = framed.select("asset_id", "ordinal", F.inline(found))
 
     def neighbour(char: Column) -> Column:
@@ -88,6 +86,67 @@ def ngram_stats(segments: DataFrame, chars: str = HAN) -> DataFrame:
     )
 
 
+def ngram_stats(segments: DataFrame, chars: str = HAN) -> DataFrame:
+    """``asset_id, word, frequency, left_varied, right_varied, first_seen`` of every word.
+
+    A side is varied when it shows two different characters, that is when the
+    smallest and the largest differ: plain minimum and maximum, combined before
+    the shuffle. Neighbours are kept as code points, which hash aggregation can
+    update in place. ``first_seen`` orders words of one length by appearance.
+    """
+    framed = _framed(segments, chars)
+    sizes = range(MIN_LENGTH, MAX_LENGTH + 1)
+    return _counted(framed, F.concat(*[_windows(F.col("framed"), size) for size in sizes]))
+
+
+def _mark(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(MARKS)).cast("int")
+
+
+def _marks(words: DataFrame) -> DataFrame:
+    """``asset_id, marks``: one bit for each word of an asset, in an array of 64-bit numbers."""
+    rows = words.select("asset_id", _mark(F.col("word")).alias("h"))
+    slots = rows.groupBy("asset_id", F.expr("h div 64").alias("slot")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(h % 64 AS int))")).alias("bits")
+    )
+    found = slots.groupBy("asset_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "bits"))).alias("m"))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(MARKS // 64 - 1).cast("long"))
+    return found.select(
+        "asset_id", F.transform(places, lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("marks")
+    )
+
+
+def longer_words(framed: DataFrame, shorter: DataFrame, size: int) -> tuple[DataFrame, Column]:
+    """Texts, and in them the places of words of ``size`` whose two shorter parts are both in ``shorter``.
+
+    A word is never more frequent in its asset than its parts, so all others need
+    no counting. The parts are looked up in bits that travel with the asset; a bit
+    that two words share only lets more through.
+    """
+    rows = framed.join(cut_lineage(_marks(shorter)), "asset_id")
+
+    def held(word: Column) -> Column:
+        mark = _mark(word)
+        return F.getbit(F.get("marks", F.shiftright(mark, 6)), mark.bitwiseAND(F.lit(63))) == 1
+
+    part = lambda w, at: F.substring(w["w"], at, size - 1)
+    return rows, F.filter(_windows(F.col("framed"), size), lambda w: held(part(w, 2)) & held(part(w, 3)))
+
+
+def frequent_words(segments: DataFrame, chars: str = HAN, minimum: int = MIN_FREQUENCY) -> DataFrame:
+    """The rows of ``ngram_stats`` with at least ``minimum`` occurrences, counted length by length.
+
+    Most longer words occur once; they are left out before they are rows.
+    """
+    framed = _framed(segments, chars)
+    found = []
+    for size in range(MIN_LENGTH, MAX_LENGTH + 1):
+        places = _windows(F.col("framed"), size)
+        rows, places = longer_words(framed, found[-1], size) if found else (framed, places)
+        found.append(cut_lineage(_counted(rows, places).where(F.col("frequency") >= minimum)))
+    return reduce(DataFrame.unionByName, found)
+
+
 def eligible_words(stats: DataFrame) -> DataFrame:
     """Words frequent and varied enough that are no stopword and no repetition.
 
@@ -239,7 +298,7 @@ def suggest_keywords(
 
     Names are excluded after the choice, by spelling, so fewer may remain.
     """
-    words = drop_fragments(eligible_words(ngram_stats(segments, chars)))
+    words = drop_fragments(eligible_words(frequent_words(segments, chars)))
     chosen = pick_keywords(words, limit)
     named = salted_join(
         asset_tags.select("asset_id", "tag_id"),

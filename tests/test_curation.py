@@ -262,3 +262,28 @@ def test_running_totals_across_spans(spark):
     for combine, plain in ((F.sum, sum), (F.max, max)):
         got = {(r.k, r.i): r.out for r in running(frame, ["k"], "i", "v", "out", combine, span=8).collect()}
         assert got == {(k, i): plain((j * 7) % 11 for j in range(i + 1)) for k in (1, 2) for i in range(50)}
+
+
+def test_frequent_words_are_counted_length_by_length(spark):
+    """The same rows as counting everything, from a part of the places."""
+    import random
+
+    from cuesift.operators import keywords
+
+    draw = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(draw.choices(letters, k=draw.randint(2, 7))) for _ in range(400)]
+    texts = [(a, o, " ".join(draw.choices(words, k=14))) for a in range(6) for o in range(5)]
+    texts += [(7, 0, "lonely"), (8, 0, ""), (9, 0, "anan anan anan")]
+    segments = spark.createDataFrame(texts, "asset_id long, ordinal int, text string")
+    every = keywords.ngram_stats(segments, keywords.LETTERS)
+    pick = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()))
+    for minimum in (2, 3):
+        got = keywords.frequent_words(segments, keywords.LETTERS, minimum)
+        assert pick(got) == pick(every.where(F.col("frequency") >= minimum))
+    framed = keywords._framed(segments, keywords.LETTERS)
+    pairs = every.where("length(word) = 2 AND frequency >= 3")
+    rows, places = keywords.longer_words(framed, pairs, 3)
+    counted = rows.select(F.explode(places)).count()
+    plain = framed.select(F.explode(keywords._windows(F.col("framed"), 3))).count()
+    assert 0 < counted < plain / 3

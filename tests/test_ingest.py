@@ -8,10 +8,10 @@ from cuesift.operators.catalogue import mark_scanned, register_directories, remo
 from cuesift.operators.ids import number_rows
 from cuesift.operators.manifest import diff_manifest, listed_files, scan_errors, scan_summary
 from cuesift.plans.ingest import apply_scan, import_texts, scan_folder
-from cuesift.sources.changes import ChangeTable
+from cuesift.sources.changes import ChangeTable, read_stamps
 from cuesift.sources.text import segment_id, segment_texts
 from cuesift.streaming.ingest import import_failures, retry_paths, stream_texts
-from cuesift.streaming.status import active_status, compact_job_states, job_states, newest_states, stream_job_states
+from cuesift.streaming.status import active_status, compact_job_states, job_states, newest_states, stream_job_changes, stream_job_states
 
 LISTING = "directory_id long, path string, size_bytes long, mtime_ms double, error string"
 
@@ -241,3 +241,25 @@ def test_streamed_job_states_equal_the_batch(spark, tmp_path):
     assert [tuple(r) for r in active_status(job_states(spark, path)).collect()] == [(10, "running")]
     compact_job_states(spark, path, str(tmp_path / "small"))
     assert pick(job_states(spark, str(tmp_path / "small"))) == pick(newest_states(whole))
+
+
+def test_keyed_state_passes_on_only_what_changes(spark, tmp_path):
+    """Five micro-batches with late and repeated events, against the batch result."""
+    schema = "job_id long, type string, status string, target_id long, event_id long"
+    batches = [
+        [(1, "extract", "queued", 10, 1), (2, "extract", "queued", 11, 2), (3, "scan", "queued", 10, 3)],
+        [(1, "extract", "running", 10, 4), (1, "extract", "queued", 10, 1)],
+        [(2, "extract", "queued", 11, 2), (3, "scan", "queued", 10, 3)],
+        [(1, "extract", "succeeded", 10, 9), (1, "extract", "failed", 10, 8), (2, "extract", "running", 11, 7)],
+        [(1, "extract", "failed", 10, 8), (2, "extract", "canceled", 11, 5), (4, "scan", "queued", 12, 6)],
+    ]
+    path, root = str(tmp_path / "t"), str(tmp_path / "in")
+    for number, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(root)
+        events = spark.readStream.schema(schema).parquet(root)
+        stream_job_changes(events, path, str(tmp_path / "progress")).awaitTermination()
+    whole = spark.createDataFrame([e for batch in batches for e in batch], schema)
+    pick = lambda frame: sorted(tuple(r) for r in frame.select("job_id", "status", "event_id").collect())
+    assert pick(job_states(spark, path)) == pick(newest_states(whole))
+    stored = read_stamps(spark, path, schema).groupBy("stamp").count().collect()
+    assert sorted(r["count"] for r in stored) == [1, 1, 2, 3]  # the third batch changed nothing
