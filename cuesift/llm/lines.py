@@ -24,7 +24,9 @@ _NUMBERED = rf"(?<![^{_SPACE}])(?=[^{_SPACE}0-9]*[0-9])[^{_SPACE}]+"
 def masked_line(line: Column) -> Column:
     """The tokens of a line with one space between them, those with a digit as a variable field."""
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _NUMBERED, VARIABLE)).otherwise(line)
-    return F.trim(F.regexp_replace(masked, f"[{_SPACE}]+", " "))
+    # most lines have single spaces already and are not written again
+    uneven = masked.rlike(r"[\x09\x0b\x0c]|\x20\x20")
+    return F.trim(F.when(uneven, F.regexp_replace(masked, f"[{_SPACE}]+", " ")).otherwise(masked))
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
