@@ -25,7 +25,9 @@ def masked_line(line: Column) -> Column:
     """The tokens of a line with one space between them, those with a digit as a variable field."""
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _NUMBERED, VARIABLE)).otherwise(line)
     # most lines have single spaces already and are not written again
-    uneven = masked.rlike(r"[\x09\x0b\x0c]|\x20\x20")
+    uneven = F.contains(line, F.lit("  "))
+    for space in "\t\x0b\x0c":
+        uneven |= F.contains(line, F.lit(space))
     return F.trim(F.when(uneven, F.regexp_replace(masked, f"[{_SPACE}]+", " ")).otherwise(masked))
 
 
