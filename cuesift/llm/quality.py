@@ -232,7 +232,7 @@ def least_risk(
     ridge: float,
     steps: int = 30,
 ) -> np.ndarray:
-    """The weights of least non-negative risk, from ``w`` on.
+    """Weights of low non-negative risk, from ``w`` on: the least, or where a step cannot go on above zero.
 
     ``shares`` weigh the loss of the trusted texts as positives, that of all
     texts as negatives, and that of the trusted texts as negatives, which is

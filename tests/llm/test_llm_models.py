@@ -163,3 +163,42 @@ def test_repeated_rows_do_not_change_the_sample(spark):
     one = quality.train(docs, labels, 10, 30)
     again = quality.train(docs.unionByName(docs.where("doc_id < 20")).unionByName(docs), labels, 10, 30)
     assert np.allclose(one.weights, again.weights) and one.prior == again.prior
+
+
+def test_risk_is_that_of_all_documents(spark):
+    """Few documents show the curvature; edges and prior are those of all, and the risk over all is brought down."""
+    docs = corpus(spark, 700, 4)
+    labels = docs.select("doc_id", "quality").where("doc_id % 3 = 0")
+    few, many = (quality.train(docs, labels, curvature=n) for n in (120, 700))
+    assert np.array_equal(few.edges, many.edges) and abs(few.prior - many.prior) < 0.01
+
+    rows = docs.orderBy("doc_id").collect()
+    every = quality.cells(quality.measures(pa.array([r.text for r in rows])))
+    counts = [np.bincount(column, minlength=quality.CELLS) for column in every.T]
+    assert np.array_equal(quality.bin_edges(np.array(counts)), many.edges)
+
+    good = many.bins(every[[r.doc_id % 3 == 0 and r.quality == 1 for r in rows]])
+    size = len(many.weights)
+    held_good, held_all = np.zeros((len(good), size)), np.zeros((len(every), size))
+    held_good[np.arange(len(good))[:, None], good] = 1
+    held_all[np.arange(len(every))[:, None], many.bins(every)] = 1
+
+    def risk(weights, offset):
+        of_good, of_all = held_good @ weights + offset, held_all @ weights + offset
+        p = many.prior
+        negative = np.logaddexp(0, of_all).mean() - p * np.logaddexp(0, of_good).mean()
+        return p * np.logaddexp(0, -of_good).mean() + max(0, negative) + 3e-4 * (weights**2).sum() / 2, negative
+
+    least, left = risk(many.weights, many.offset)
+    assert left >= 0
+    for shrunk in (0.0, 0.5, 0.9):
+        assert risk(shrunk * many.weights, shrunk * many.offset)[0] >= least
+
+
+def test_equal_edges_and_constant_measures():
+    counts = np.zeros((2, quality.CELLS), int)
+    counts[0, 7] = 50
+    counts[1, :100] = 1
+    edges = quality.bin_edges(counts)
+    assert edges.shape == (2, quality.BINS - 1) and set(edges[0]) == {7, 8}
+    assert (np.diff(edges[1]) >= 0).all() and edges[1][0] == 1 and edges[1][-1] == 98
