@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import salted_join
 
-# Events of one key handled by one window task; longer histories are cut here.
-SPAN = 100_000
+def _so_far(key: list[str], order: str) -> Window:
+    return Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def running(
@@ -20,32 +19,15 @@ def running(
     value: str,
     name: str,
     combine: Callable[[Column], Column],
-    span: int = SPAN,
+    span: int | None = None,
 ) -> DataFrame:
-    """Running ``combine`` (sum or max) of ``value`` along integer ``order``.
+    """Running ``combine`` (sum or max) of ``value`` along ``order``.
 
-    The history of a key is cut into spans of ``order``; each span runs on its
-    own and starts from the combined spans before it, so one endless history
-    does not end up in one task.
+    A plain window, which reads ``rows`` once and spills a long history. ``span``
+    changes nothing any more: joining histories cut into spans read the rows
+    twice at every step, so that seven steps in a row read them 192 times.
     """
-    cut = rows.withColumn("__span", F.floor(F.col(order) / span).cast("long"))
-    within = Window.partitionBy(*key, "__span").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    spans = cut.groupBy(*key, "__span").agg(combine(F.col(value)).alias("__total"))
-    earlier = Window.partitionBy(*key).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    starts = spans.select(*key, "__span", combine(F.col("__total")).over(earlier).alias("__before"))
-    local = cut.withColumn("__here", combine(F.col(value)).over(within))
-    joined = salted_join(local, starts, [*key, "__span"], "left", F.col(order))
-    both = F.array_compact(F.array("__before", "__here"))
-    whole = F.aggregate(both, F.lit(None).cast("double"), lambda a, b: _merge(combine, a, b.cast("double")))
-    return joined.withColumn(name, whole).drop("__span", "__before", "__here")
-
-
-def _merge(combine: Callable[[Column], Column], left: Column, right: Column) -> Column:
-    if combine is F.max:
-        return F.greatest(left, right)
-    return F.coalesce(left, F.lit(0.0)) + right
+    return rows.withColumn(name, combine(F.col(value)).over(_so_far(key, order)))
 
 
 def download_progress(events: DataFrame) -> DataFrame:
@@ -54,6 +36,7 @@ def download_progress(events: DataFrame) -> DataFrame:
     ``events(download_id, seq, status, file, loaded, total)``. Bytes add up over
     the files of a download; a finished file counts its whole size even where
     the event omits it. The percentage is the highest reached so far.
+    The events are shuffled twice, by file and by download.
     """
     known = events.where(F.col("status").isin("initiate", "download", "progress", "done")).select(
         "download_id",
@@ -64,14 +47,13 @@ def download_progress(events: DataFrame) -> DataFrame:
         F.when(F.col("total") > 0, F.col("total")).cast("long").alias("declared"),
     )
     # the size last declared for the file, then how far the file has come
-    sized = _latest(known, ["download_id", "file"], "seq", "declared", "file_total")
+    file = ["download_id", "file"]
+    sized = _latest(known, file, "seq", "declared", "file_total")
     finished = (F.col("status") == "done") & F.col("file_total").isNotNull()
     far = F.when(F.col("status") == "initiate", F.lit(0)).otherwise(
         F.when(finished, F.greatest("reported", "file_total")).otherwise(F.col("reported"))
     )
-    reached = running(
-        sized.withColumn("far", far.cast("long")), ["download_id", "file"], "seq", "far", "file_loaded", F.max
-    )
+    reached = running(sized.withColumn("far", far.cast("long")), file, "seq", "far", "file_loaded", F.max)
     steps = _steps(_steps(reached, "file_loaded", "d_loaded"), "file_total", "d_total")
     loaded = running(steps, ["download_id"], "seq", "d_loaded", "loaded", F.sum)
     total = running(loaded, ["download_id"], "seq", "d_total", "total", F.sum)
@@ -93,33 +75,25 @@ def download_progress(events: DataFrame) -> DataFrame:
 
 
 def _latest(rows: DataFrame, key: list[str], order: str, value: str, name: str) -> DataFrame:
-    """Last non-null ``value`` so far, as the running maximum of its position."""
-    tagged = rows.withColumn("__at", F.when(F.col(value).isNotNull(), F.col(order)))
-    placed = running(tagged, key, order, "__at", "__seen", F.max)
-    source = rows.where(F.col(value).isNotNull()).select(
-        *key, F.col(order).cast("double").alias("__seen"), F.col(value).alias(name)
+    """Last non-null ``value`` so far.
+
+    Values given at the same place all count, each in a row of its own; rows
+    without a place or without a whole key neither give nor take a value.
+    """
+    placed = F.col(order).isNotNull()
+    for column in key:
+        placed = placed & F.col(column).isNotNull()
+    here = Window.partitionBy(*key).orderBy(order).rangeBetween(Window.currentRow, Window.currentRow)
+    given = rows.withColumn("__here", F.collect_list(F.when(placed, F.col(value))).over(here))
+    last = F.last(F.when(F.size("__here") > 0, F.col("__here")), ignorenulls=True)
+    return (
+        given.withColumn("__last", last.over(_so_far(key, order)))
+        .withColumn(name, F.explode_outer("__last"))
+        .drop("__here", "__last")
     )
-    return salted_join(placed, source, [*key, "__seen"], "left", F.col(order)).drop("__at", "__seen")
 
 
 def _steps(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Change of ``value`` since the previous event of the same file.
-
-    Neighbours are found inside spans; the first event of a span looks up the
-    end of the span before it.
-    """
-    key = ["download_id", "file"]
-    cut = rows.withColumn("__span", F.floor(F.col("seq") / SPAN).cast("long"))
-    inside = F.lag(value).over(Window.partitionBy(*key, "__span").orderBy("seq"))
-    ends = cut.groupBy(*key, "__span").agg(F.max_by(value, "seq").alias("__end"))
-    previous = ends.select(
-        *key,
-        "__span",
-        F.lag("__end").over(Window.partitionBy(*key).orderBy("__span")).alias("__carry"),
-    )
-    first = F.row_number().over(Window.partitionBy(*key, "__span").orderBy("seq")) == 1
-    local = cut.withColumn("__prev", inside).withColumn("__first", first)
-    joined = salted_join(local, previous, [*key, "__span"], "left", F.col("seq"))
-    before = F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__prev"))
-    change = F.coalesce(F.col(value), F.lit(0)) - F.coalesce(before, F.lit(0))
-    return joined.withColumn(name, change).drop("__span", "__prev", "__first", "__carry")
+    """Change of ``value`` since the previous event of the same file."""
+    before = F.lag(value).over(Window.partitionBy("download_id", "file").orderBy("seq"))
+    return rows.withColumn(name, F.coalesce(F.col(value), F.lit(0)) - F.coalesce(before, F.lit(0)))

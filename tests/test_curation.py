@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuesift.operators import quality, tagging
 from cuesift.operators.keywords import HAN, drop_fragments, eligible_words, ngram_stats, pick_keywords, suggest_keywords
-from cuesift.operators.progress import running
+from cuesift.operators.progress import download_progress, running
 from cuesift.operators.results import current_results, last_failures, mark_current, save_results
 from cuesift.operators.status import active_conflicts, derive_status, status_drift
 from cuesift.operators.transform import asset_texts, prompt_gate, text_parts, transform_texts
@@ -287,3 +287,23 @@ def test_frequent_words_are_counted_length_by_length(spark):
     counted = rows.select(F.explode(places)).count()
     plain = framed.select(F.explode(keywords._windows(F.col("framed"), 3))).count()
     assert 0 < counted < plain / 3
+
+
+def test_download_progress_reads_its_events_once(spark, tmp_path):
+    """Two shuffles, no joins; sizes, finished files and the highest percentage as before."""
+    events = [
+        (1, 1, "initiate", "a", None, 100), (1, 2, "progress", "a", 40, None), (1, 3, "initiate", "b", None, 300),
+        (1, 4, "progress", "a", 30, None), (1, 5, "done", "a", None, None), (1, 6, "other", "a", 9, 9),
+        (1, 7, "done", "b", None, None), (2, 8, "progress", None, 5, None), (2, 9, "progress", "", 7, 14),
+    ]
+    path = str(tmp_path / "events")
+    schema = "download_id long, seq long, status string, file string, loaded long, total long"
+    spark.createDataFrame(events, schema).write.parquet(path)
+    got = download_progress(spark.read.parquet(path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and plan.count("Exchange") == 2
+    assert sorted(tuple(r)[1:] for r in got.collect()) == [
+        (1, "preparing", 0, 100, None), (2, "downloading", 40, 100, 40), (3, "preparing", 40, 400, None),
+        (4, "downloading", 40, 400, 40), (5, "downloading", 100, 400, 40), (7, "downloading", 400, 400, 100),
+        (8, "downloading", 5, 0, None), (9, "downloading", 7, 14, 50),
+    ]
