@@ -364,3 +364,41 @@ def test_batch_equals_single(spark):
         alone = result_page(search(found, one_query(spark, query)).candidates).collect()
         pick = lambda r: (r.position, r.asset_id, r.tier, r.n_terms, r.segment_hits)
         assert sorted(map(pick, alone)) == sorted(pick(r) for r in rows if r.query_id == i)
+
+
+def test_many_terms_are_found_where_the_texts_are_read(spark):
+    """More terms than literals, of every length: counts with overlaps, nothing joined or shuffled."""
+    import random
+
+    from cuesift.operators.matching import count_terms
+    from cuesift.operators.recall import term_hits
+    from cuesift.operators.terms import Terms
+
+    draw = random.Random(4)
+    texts = ["".join(draw.choices("abAß店𝄞", k=draw.randint(0, 40))) for _ in range(60)] + ["", "aaaa", None]
+    texts += ["b" * 5000, "店" * 3]
+    terms = sorted({"".join(draw.choices("abß店𝄞", k=draw.randint(1, 9))) for _ in range(300)} | {"aa", "店店"})
+    segments = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "segment_id long, asset_id long, text string")
+    table = spark.createDataFrame([(0, t, t) for t in terms], "query_id long, term string, folded string")
+    wanted = Terms(table, table.collect())
+    found = count_terms(segments, "text", wanted, F.lower, ["segment_id"])
+    want = brute([t or "" for t in texts], terms)
+    assert {(r.folded, r.segment_id): r.tf for r in found.collect()} == want and found.count() == len(want)
+    pairs = match_terms(segments, "text", "segment_id", wanted, F.lower, keep=["segment_id"])
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    long = Terms(table.where("length(term) > 2"), [r for r in wanted.rows if len(r.term) > 2])
+    assert {(r.folded, r.segment_id): r.tf for r in term_hits(segments, long).collect()} == {
+        k: n for k, n in want.items() if len(k[0]) > 2
+    }
+
+
+def test_hits_are_gathered_by_asset_before_they_are_returned_to_queries(spark):
+    from cuesift.operators.recall import recall_like, recall_ranked
+
+    segments = spark.createDataFrame([(0, 0, "an apple"), (1, 0, "a pear")], "segment_id long, asset_id long, text string")
+    asked = load_terms(normalize_queries(spark.createDataFrame([(1, "an apple"), (2, "pe pear")], "query_id long, query string")))
+    for frame in (recall_ranked(segments, asked), recall_like(segments, asked)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(asset_id" in plan and "hashpartitioning(query_id" not in plan
+    assert {(r.query_id, r.segment_id) for r in recall_like(segments, asked).collect()} == {(1, 0), (2, 1)}
