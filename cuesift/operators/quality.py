@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import salted_join
+from ..session import cut_lineage, fits_broadcast, salted_join
+
+# Segments whose tokens are met as bits at once.
+_BIT_ROWS = 2048
 
 
 def missing_parents(name: str, child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -64,6 +70,58 @@ def token_hits(
     Terms without a token match nothing, as in a real index.
     """
     asked = terms.select("folded", F.array_distinct(tokenizer(F.col("folded"))).alias("tokens"))
+    if not fits_broadcast(asked):
+        return _joined_tokens(segments, asked, tokenizer)
+    covers = [(row.folded, row.tokens) for row in asked.collect() if row.folded is not None and row.tokens]
+    # a segment id that comes again, or is missing, is judged by all its rows together
+    again = segments.groupBy(F.col("segment_id").alias("__again")).count().where("count > 1 OR __again IS NULL")
+    again = cut_lineage(again.select("__again"))
+    if again.isEmpty():
+        return _bit_tokens(segments, covers, tokenizer)
+    same = F.col("segment_id").eqNullSafe(F.col("__again"))
+    alone = _bit_tokens(segments.join(again, same, "left_anti"), covers, tokenizer)
+    return alone.unionByName(_joined_tokens(segments.join(again, same, "left_semi"), asked, tokenizer))
+
+
+def _bit_tokens(
+    segments: DataFrame, covers: list[tuple[str, list[str]]], tokenizer: Callable[[Column], Column]
+) -> DataFrame:
+    """Few terms, found where the texts of segments with an id of their own are read."""
+    tokens = segments.select("segment_id", tokenizer(F.col("text")).alias("tokens"))
+    kind = tokens.schema["segment_id"].dataType.simpleString()
+    return tokens.mapInArrow(_token_finder(covers), f"folded string, segment_id {kind}")
+
+
+def _token_finder(covers: list[tuple[str, list[str]]]) -> Callable:
+    """Terms of batches ``segment_id, tokens``: the segments that hold each token, as bits, met by term."""
+    wanted = sorted({token for _, tokens in covers for token in tokens})
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {token: n for n, token in enumerate(wanted)}
+        asked = [[number[token] for token in tokens] for _, tokens in covers]
+        names, values = pa.array([folded for folded, _ in covers], pa.string()), pa.array(wanted, pa.string())
+        for batch in batches:
+            for begin in range(0, len(batch), _BIT_ROWS):
+                part = batch.slice(begin, _BIT_ROWS)
+                lists = part.column("tokens")
+                which = pc.index_in(pc.list_flatten(lists), value_set=values)
+                kept = pc.is_valid(which)
+                held = np.zeros((len(wanted), len(part)), bool)
+                held[
+                    which.filter(kept).to_numpy(), pc.list_parent_indices(lists).filter(kept).to_numpy()
+                ] = True
+                rows = [np.flatnonzero(np.logical_and.reduce(held[tokens])) for tokens in asked]
+                term = np.repeat(np.arange(len(rows)), np.array([len(r) for r in rows], np.int64))
+                row = np.concatenate([np.zeros(0, np.int64), *rows])
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(term)), part.column("segment_id").take(pa.array(row))], ["folded", "segment_id"]
+                )
+
+    return find
+
+
+def _joined_tokens(segments: DataFrame, asked: DataFrame, tokenizer: Callable[[Column], Column]) -> DataFrame:
+    """The same by joins, for terms too many to be sent to the tasks."""
     asked = asked.select("folded", F.size("tokens").alias("needed"), F.explode("tokens").alias("token"))
     offered = segments.select(
         "segment_id", F.explode(F.array_distinct(tokenizer(F.col("text")))).alias("token")
@@ -90,13 +148,14 @@ def recall_eval(
     for name, found in methods.items():
         rows = rows.unionByName(found.select("folded", "segment_id", F.lit(name).alias("method")))
     # one row per pair: whether it is true, and the methods that found it
+    by = [F.max(F.coalesce(F.col("method") == name, F.lit(False))) for name in methods]
     pairs = rows.groupBy("folded", "segment_id").agg(
-        F.max(F.col("method").isNull()).alias("is_true"),
-        F.collect_set("method").alias("found_by"),
+        F.max(F.col("method").isNull()).alias("is_true"), F.array(*by).alias("found_by")
     )
     names = F.array(*[F.lit(name) for name in methods])
-    judged = pairs.select("folded", "is_true", "found_by", F.explode(names).alias("method"))
-    found = F.array_contains("found_by", F.col("method"))
+    judged = pairs.select("folded", "is_true", F.explode(F.arrays_zip(names.alias("method"), F.col("found_by").alias("found"))).alias("by"))
+    judged = judged.select("folded", "is_true", "by.method", "by.found")
+    found = F.col("found")
     counted = judged.groupBy("method", "folded").agg(
         F.sum(F.col("is_true").cast("long")).alias("expected"),
         F.sum(found.cast("long")).alias("returned"),

@@ -307,3 +307,22 @@ def test_download_progress_reads_its_events_once(spark, tmp_path):
         (4, "downloading", 40, 400, 40), (5, "downloading", 100, 400, 40), (7, "downloading", 400, 400, 100),
         (8, "downloading", 5, 0, None), (9, "downloading", 7, 14, 50),
     ]
+
+
+def test_tokens_are_met_where_the_texts_are_read(spark):
+    """Terms found by all their tokens without joins; ids that come again as the joins find them."""
+    texts = ["the end", "then he", "", None, "endless hen", "店の前 the"]
+    segments = spark.createDataFrame(list(enumerate(texts)), "segment_id long, text string")
+    terms = spark.createDataFrame([("the",), ("end",), ("hen",), ("x",), ("-",), ("店の前",)], "folded string")
+    pick = lambda df: sorted(map(tuple, df.select("folded", "segment_id").collect()), key=str)
+    again = segments.where("segment_id < 2").unionByName(segments.selectExpr("CAST(NULL AS BIGINT) AS segment_id", "text"))
+    for cut in (quality.words, quality.runs_of(2)):
+        asked = terms.select("folded", F.array_distinct(cut(F.col("folded"))).alias("tokens"))
+        got = quality.token_hits(segments, terms, cut)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+        for rows in (segments, segments.unionByName(again)):
+            assert pick(quality.token_hits(rows, terms, cut)) == pick(quality._joined_tokens(rows, asked, cut))
+    assert pick(quality.token_hits(segments, terms, quality.runs_of(2))) == [
+        ("end", 0), ("end", 4), ("hen", 0), ("hen", 1), ("hen", 4), ("the", 0), ("the", 1), ("the", 5), ("店の前", 5)
+    ]
