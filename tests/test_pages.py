@@ -63,6 +63,20 @@ def test_top_counts_fewer_hits(spark, found):
     assert counting_hits(scored, terms, nobody, 10_000).count() == every
 
 
+def test_leaders_meet_the_hits_once(spark, found):
+    """Hits of candidates by name and tag all stay, and the hits are neither met nor grouped once per case."""
+    asked = load_terms(normalize_queries(batch(spark).where("query_id IN (0, 1)")))
+    terms = asked.long()
+    scored = cut_lineage(score_hits(term_hits(found.segments, terms), segment_stats(found.segments), terms))
+    every = terms.asked_by(scored, "segment_id").select("query_id", "asset_id", "segment_id", "score")
+    leaders = cut_lineage(every.select("query_id", "asset_id").distinct().where("asset_id % 2 = 0"))
+    hits = counting_hits(scored, terms, leaders, 3)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan and "LeftAnti" not in plan
+    led = lambda df: sorted(map(tuple, df.where("asset_id % 2 = 0").collect()))
+    assert led(hits) == led(every) and hits.count() < every.count()
+
+
 def test_leaders_keep_whole_ties(spark):
     rows = [(0, i, 0 if i < 2 else 1, 2 if i < 4 else 1) for i in range(10)]
     labels = spark.createDataFrame(rows, "query_id long, asset_id long, tier int, n_terms int")
