@@ -10,15 +10,18 @@ else, and changes of the index keep that layout.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.query import GRAM_LENGTH
-from ..session import salted_join
+from ..session import cut_lineage, fits_broadcast, salted_join, stored
 from ..sources.changes import read_stamps
+from .ids import BITMAPS
 from .terms import Terms
 
 BLOCKS = (
@@ -27,6 +30,8 @@ BLOCKS = (
 )
 # Segments of a block; with segments of 2,000 characters some 8 million grams.
 BLOCK_SEGMENTS = 4096
+# Characters of the blocks that one task makes and sorts; each becomes some 70 bytes of rows in memory.
+_TASK_CHARS = 1 << 22
 # Grams pushed into the scan of a stored index as literals.
 _PUSHED_GRAMS = 4096
 # Bits of a character, and of a position inside a segment.
@@ -74,9 +79,13 @@ def _block_grams(key: tuple, rows: pa.Table) -> pa.Table:
 def gram_blocks(segments: DataFrame, per_block: int = BLOCK_SEGMENTS) -> DataFrame:
     """The index of ``segments``: ``gram, block, entries``.
 
-    Only the texts are shuffled, to their blocks, evenly by segment id.
+    Only the texts are shuffled, to their blocks, evenly by segment id. The tasks
+    are as many as the characters ask for, so that each can sort what it makes.
     """
-    blocks = max(-(-segments.count() // per_block), 1)
+    size = segments.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    blocks = max(-(-size.n // per_block), 1)
+    cores = segments.sparkSession.sparkContext.defaultParallelism
+    tasks = max(min(blocks, cores), -(-(size.chars or 0) // _TASK_CHARS))
     rows = segments.select(
         F.pmod(F.xxhash64("segment_id"), F.lit(blocks)).cast("int").alias("block"),
         "segment_id",
@@ -84,7 +93,7 @@ def gram_blocks(segments: DataFrame, per_block: int = BLOCK_SEGMENTS) -> DataFra
         gram_count(F.col("text")).alias("n_grams"),
         F.lower("text").alias("low"),
     )
-    return rows.groupBy("block").applyInArrow(_block_grams, BLOCKS)
+    return rows.repartition(tasks, "block").groupBy("block").applyInArrow(_block_grams, BLOCKS)
 
 
 def trigram_postings(blocks: DataFrame) -> DataFrame:
@@ -110,14 +119,14 @@ def _gram_bucket(buckets: int) -> Column:
 def write_blocks(blocks: DataFrame, path: str, buckets: int = 64) -> None:
     """Store index rows by gram bucket, sorted by gram.
 
-    Rebalancing sizes the write tasks by the data: a bucket with a very common
-    gram is split over as many tasks and files as it needs.
+    A task writes the blocks it holds, so a very common gram lies in as many
+    files as there are tasks, and no posting is shuffled.
     """
     (
         blocks.withColumn("gram_bucket", _gram_bucket(buckets))
-        .hint("rebalance", F.col("gram_bucket"))
         .sortWithinPartitions("gram_bucket", "gram")
         .write.mode("overwrite")
+        .option("compression", "zstd")
         .partitionBy("gram_bucket")
         .parquet(path)
     )
@@ -135,6 +144,53 @@ def _holding(stored: DataFrame, terms: Terms | None, buckets: int) -> DataFrame:
     return stored.drop("gram_bucket")
 
 
+def _marked_bits(marks: DataFrame) -> DataFrame:
+    """``stamp, range, bits``: the assets of ``marks(asset_id, stamp)`` as bitmaps of 32,768 ids."""
+    spots = marks.select("stamp", F.shiftright("asset_id", 15).alias("range"), (F.col("asset_id").bitwiseAND(32767)).alias("spot"))
+    return spots.groupBy("stamp", "range").agg(F.bitmap_construct_agg("spot").alias("bits"))
+
+
+def _keep_live(marked: list[Row]):
+    """A task's function that cuts index rows of all writes down to the entries that count.
+
+    An entry counts in the write that marked its asset last, or in the build if
+    none did.
+    """
+    found: dict[int | None, dict[int, np.ndarray]] = {None: {}}
+    for row in marked:
+        bits = np.frombuffer(row.bits, np.uint8)
+        found.setdefault(row.stamp, {})[row.range] = bits
+        found[None][row.range] = found[None].get(row.range, 0) | bits
+    tables = {stamp: (np.array(sorted(of), np.int64), np.stack([of[r] for r in sorted(of)])) for stamp, of in found.items() if of}
+
+    def held(stamp: int | None, assets: np.ndarray) -> np.ndarray:
+        if stamp not in tables:
+            return np.zeros(len(assets), bool)
+        ranges, bits = tables[stamp]
+        at = np.minimum(np.searchsorted(ranges, assets >> 15), len(ranges) - 1)
+        spot = assets & 32767
+        return (ranges[at] == assets >> 15) & ((bits[at, spot >> 3] >> (spot & 7)) & 1 == 1)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("entries")
+            entries, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy()
+            ids = entries.field("asset_id")
+            known, assets = ids.is_valid().to_numpy(False), ids.fill_null(0).to_numpy()
+            of = np.repeat(batch.column("stamp").to_numpy(), sizes)
+            live = np.zeros(len(of), bool)
+            for stamp in np.unique(of):
+                here = np.flatnonzero(of == stamp)
+                one = held(int(stamp), assets[here]) & known[here]
+                live[here] = one if stamp else ~(held(None, assets[here]) & known[here])
+            ends = np.append(0, np.cumsum(live))[np.append(0, np.cumsum(sizes))]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries.filter(pa.array(live)))
+            rows = pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("block"), lists, batch.column("stamp")], ["gram", "block", "entries", "stamp"])
+            yield rows.filter(pa.array(np.diff(ends) > 0))
+
+    return keep
+
+
 class GramIndex:
     """A stored index that follows its segments, in one layout for every write.
 
@@ -221,6 +277,16 @@ def term_covers(terms: Terms) -> DataFrame:
     ).withColumn("gram", F.substring(F.col("folded"), F.col("offset") + 1, F.lit(GRAM_LENGTH)))
 
 
+# What a search ships of the entries of a row, each as one flat array.
+_SHIPPED = ["segment_id", "asset_id", "n_grams", "tf", "positions"]
+
+
+def _shipped() -> list[Column]:
+    places = F.col("entries.positions")
+    flat = [F.col(f"entries.{name}").alias(name) for name in _SHIPPED[:3]]
+    return [*flat, F.transform(places, F.size).alias("tf"), F.flatten(places).alias("positions")]
+
+
 HITS = "folded string, segment_id long, asset_id long, n_grams int, tf long"
 
 
@@ -231,15 +297,14 @@ def _matches(rows: pa.Table, covers: dict[str, list[tuple[str, int]]]) -> pa.Tab
     of a term proposes starts; each other gram keeps those it stands right after.
     """
     grams = rows.column("gram").to_pylist()
-    entries = rows.column("entries").combine_chunks()
-    held = entries.flatten()
+    held = {name: rows.column(name).combine_chunks().flatten() for name in _SHIPPED}
     names, first, where = np.unique(
-        held.field("segment_id").to_numpy(), return_index=True, return_inverse=True
+        held["segment_id"].to_numpy(False), return_index=True, return_inverse=True
     )
-    positions = held.field("positions")
-    sizes = pc.list_value_length(positions).to_numpy().astype(np.int64)
-    places = (np.repeat(where, sizes) << _PLACE) | positions.flatten().to_numpy().astype(np.int64)
-    last = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(pc.list_value_length(entries).to_numpy()))]
+    sizes = held["tf"].to_numpy().astype(np.int64)
+    places = (np.repeat(where, sizes) << _PLACE) | held["positions"].to_numpy().astype(np.int64)
+    in_gram = pc.list_value_length(rows.column("tf").combine_chunks()).to_numpy()
+    last = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(in_gram))]
     lists = {gram: np.sort(places[a:b]) for gram, a, b in zip(grams, last[:-1], last[1:])}
     found = []
     for folded, cover in covers.items():
@@ -258,7 +323,7 @@ def _matches(rows: pa.Table, covers: dict[str, list[tuple[str, int]]]) -> pa.Tab
     tf = np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.int64)
     folded = [f[0] for f in found for _ in range(len(f[1]))]
     take = pa.array(first[at])
-    columns = [held.field(c).take(take) for c in ("segment_id", "asset_id", "n_grams")]
+    columns = [held[c].take(take) for c in ("segment_id", "asset_id", "n_grams")]
     return pa.table([pa.array(folded, pa.string()), *columns, pa.array(tf.astype(np.int64))], [c.split()[0] for c in HITS.split(", ")])
 
 
@@ -285,6 +350,7 @@ def phrase_hits(blocks: DataFrame, terms: Terms, *version: str) -> DataFrame:
 
     schema = ", ".join([HITS, *(f"{v} {types[v]}" for v in version)])
     asked = blocks.select("block", *version, "gram", "entries").join(named, "gram", "left_semi")
+    asked = asked.select("block", *version, "gram", *_shipped())
     return asked.groupBy("block", *version).applyInArrow(match, schema)
 
 

@@ -402,3 +402,13 @@ def test_hits_are_gathered_by_asset_before_they_are_returned_to_queries(spark):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(asset_id" in plan and "hashpartitioning(query_id" not in plan
     assert {(r.query_id, r.segment_id) for r in recall_like(segments, asked).collect()} == {(1, 0), (2, 1)}
+
+
+def test_an_index_is_written_without_shuffling_its_postings(spark, small):
+    segments, few, _ = small
+    blocks = gram_blocks(segments, 4)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    # a search ships flat arrays, not a struct for each entry
+    plan = phrase_hits(cut_lineage(blocks), few.long())._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"FlatMapGroupsInArrow.*match\(gram#\d+, segment_id#\d+L?, asset_id", plan) or "flatten(entries" in plan
