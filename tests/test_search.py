@@ -412,3 +412,22 @@ def test_an_index_is_written_without_shuffling_its_postings(spark, small):
     # a search ships flat arrays, not a struct for each entry
     plan = phrase_hits(cut_lineage(blocks), few.long())._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"FlatMapGroupsInArrow.*match\(gram#\d+, segment_id#\d+L?, asset_id", plan) or "flatten(entries" in plan
+
+
+def test_compaction_ships_only_small_blocks(spark, tmp_path):
+    """Full blocks stay where they are; marks of assets reach the rows as bits."""
+    rows = [(i, i // 10, f"alpha{i} common words") for i in range(400)]
+    segments = spark.createDataFrame([*rows, (999, None, "alpha of nobody")], "segment_id long, asset_id long, text string")
+    index = GramIndex(spark, str(tmp_path / "i"), buckets=4, per_block=50)
+    index.build(segments)
+    for stamp in range(1, 5):
+        some = segments.where(F.col("asset_id") == stamp).withColumn("text", F.lit(f"beta{stamp}"))
+        index.update(some, some.select("asset_id").distinct(), stamp)
+    live = index._live()
+    assert "Exchange" not in live._jdf.queryExecution().executedPlan().toString()
+    merged = index.compacted(str(tmp_path / "j"))
+    pick = lambda one: sorted(map(str, one.read().select("gram", "segment_id", "asset_id", "n_grams", "positions").collect()))
+    assert pick(merged) == pick(index)
+    assert merged.blocks().select("block").distinct().count() < index.blocks().select("stamp", "block").distinct().count()
+    one_row = merged.blocks().groupBy("gram", "block").count()
+    assert one_row.where("count > 1").isEmpty()
