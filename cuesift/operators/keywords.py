@@ -39,6 +39,9 @@ _OUTSIDE = 10
 # Bits that stand for the words of an asset; a fuller set lets more through.
 MARKS = 4096
 
+# Characters whose words one task counts; each gives up to three rows of some 100 bytes.
+_TASK_CHARS = 1 << 20
+
 # Candidates per asset examined in one round of the greedy choice.
 _ROUND = 256
 
@@ -63,6 +66,16 @@ def _framed(segments: DataFrame, chars: str) -> DataFrame:
     return segments.select("asset_id", "ordinal", F.concat(F.lit("\n"), plain, F.lit("\n")).alias("framed"))
 
 
+def _by_asset(framed: DataFrame, chars: int) -> DataFrame:
+    """The texts of an asset in one task: its words are counted there and never shuffled."""
+    cores = framed.sparkSession.sparkContext.defaultParallelism
+    return framed.repartition(max(cores, -(-chars // _TASK_CHARS)), "asset_id")
+
+
+def _characters(segments: DataFrame) -> int:
+    return segments.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+
+
 def _counted(framed: DataFrame, found: Column) -> DataFrame:
     """The statistics of the words at the places ``found``."""
     rows = framed.select("asset_id", "ordinal", F.inline(found))
@@ -90,11 +103,11 @@ def ngram_stats(segments: DataFrame, chars: str = HAN) -> DataFrame:
     """``asset_id, word, frequency, left_varied, right_varied, first_seen`` of every word.
 
     A side is varied when it shows two different characters, that is when the
-    smallest and the largest differ: plain minimum and maximum, combined before
-    the shuffle. Neighbours are kept as code points, which hash aggregation can
+    smallest and the largest differ: plain minimum and maximum. Only the texts
+    are shuffled, to the task of their asset. Neighbours are kept as code points, which hash aggregation can
     update in place. ``first_seen`` orders words of one length by appearance.
     """
-    framed = _framed(segments, chars)
+    framed = _by_asset(_framed(segments, chars), _characters(segments))
     sizes = range(MIN_LENGTH, MAX_LENGTH + 1)
     return _counted(framed, F.concat(*[_windows(F.col("framed"), size) for size in sizes]))
 
@@ -134,17 +147,8 @@ def longer_words(framed: DataFrame, shorter: DataFrame, size: int) -> tuple[Data
 
 
 def frequent_words(segments: DataFrame, chars: str = HAN, minimum: int = MIN_FREQUENCY) -> DataFrame:
-    """The rows of ``ngram_stats`` with at least ``minimum`` occurrences, counted length by length.
-
-    Most longer words occur once; they are left out before they are rows.
-    """
-    framed = _framed(segments, chars)
-    found = []
-    for size in range(MIN_LENGTH, MAX_LENGTH + 1):
-        places = _windows(F.col("framed"), size)
-        rows, places = longer_words(framed, found[-1], size) if found else (framed, places)
-        found.append(cut_lineage(_counted(rows, places).where(F.col("frequency") >= minimum)))
-    return reduce(DataFrame.unionByName, found)
+    """The rows of ``ngram_stats`` with at least ``minimum`` occurrences; the others stay in their tasks."""
+    return cut_lineage(ngram_stats(segments, chars).where(F.col("frequency") >= minimum))
 
 
 def eligible_words(stats: DataFrame) -> DataFrame:

@@ -326,3 +326,11 @@ def test_tokens_are_met_where_the_texts_are_read(spark):
     assert pick(quality.token_hits(segments, terms, quality.runs_of(2))) == [
         ("end", 0), ("end", 4), ("hen", 0), ("hen", 1), ("hen", 4), ("the", 0), ("the", 1), ("the", 5), ("店の前", 5)
     ]
+
+
+def test_words_are_counted_in_the_task_of_their_asset(spark):
+    from cuesift.operators import keywords
+
+    segments = spark.createDataFrame([(a, o, "alpha beta") for a in range(5) for o in range(3)], "asset_id long, ordinal int, text string")
+    plan = keywords.ngram_stats(segments, keywords.LETTERS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
