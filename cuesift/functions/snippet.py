@@ -23,11 +23,21 @@ def term_ranges(text: Column, terms: Column) -> Column:
 
     def of_needle(folded: Column, needle: Column) -> Column:
         size = F.length(needle)
-        starts = F.when(
-            (size > 0) & (F.length(folded) >= size),
-            F.sequence(F.lit(1), F.length(folded) - size + 1),
-        ).otherwise(F.array().cast("array<int>"))
-        found = F.filter(starts, lambda i: F.substring(folded, i, size) == needle)
+        # every occurrence starts inside one of those found without overlaps
+        apart = F.length(folded) - F.length(F.replace(folded, needle, F.lit("")))
+
+        def step(starts: Column, _: Column) -> Column:
+            last = F.coalesce(F.get(starts, F.size(starts) - 1), F.lit(0))
+            return bind(
+                F.position(needle, folded, last + 1),
+                lambda at: F.when(at > 0, F.concat(starts, F.array(at))).otherwise(starts),
+            )
+
+        none = F.array().cast("array<int>")
+        # most texts lack most terms and are passed over at once
+        found = F.when(
+            (size > 0) & F.contains(folded, needle), F.aggregate(F.sequence(F.lit(1), apart), none, step)
+        ).otherwise(none)
         return F.transform(
             found, lambda i: F.struct((i - 1).alias("start"), (i - 1 + size).alias("end"))
         )

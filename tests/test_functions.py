@@ -200,3 +200,15 @@ def test_nested_redaction(spark):
     got = spark.createDataFrame([(row,)], schema).select(redact_value(F.col("v"), kind).alias("v")).first().v
     assert got.n == 3 and got.l == ["sk-***", None] and got.m == {"k": "sk-***"}
     assert got.a.b.c.d.e.f.g == "[层级过深已截断]"
+
+
+def test_term_ranges_look_only_where_terms_stand(spark):
+    """Overlaps and odd needles included; no step for every character of a text."""
+    from cuesift.functions.snippet import term_ranges
+
+    rows = spark.createDataFrame([("aaaaa b",), ("ΣaΣ",), ("",), (None,), ("none",)], "t string")
+    found = rows.select("t", term_ranges(F.col("t"), F.array(*[F.lit(x) for x in ("AA", "σ", "", "aaaaaaaaaaaa")])).alias("r"))
+    got = {r.t: [(x.start, x.end) for x in r.r] for r in found.collect()}
+    assert got == {"aaaaa b": [(0, 2), (1, 3), (2, 4), (3, 5)], "ΣaΣ": [(0, 1), (2, 3)], "": [], None: [], "none": []}
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "filter(" not in plan and "substring(" not in plan
