@@ -27,13 +27,28 @@ def check(name: str, sql: str | None = None):
     return register
 
 
+# Rows of a file of a micro-batch.
+_FILE_ROWS = 20_000
+
+
 def _arriving(spark, name, *writes):
-    """A stream of several micro-batches: each write's files come after those of the one before."""
+    """A stream of several micro-batches: each write's files come after those of the one before.
+
+    A write makes ``parts`` micro-batches by its key. All micro-batches have the
+    same number of files, and the more rows there are the more files.
+    """
     folder = scratch_folder(spark, name)
-    for frame, files, key in writes:
-        frame.repartition(files, key).write.mode("append").parquet(folder)
+    part = lambda key, parts: F.pmod(F.hash(key), F.lit(parts))
+    sizes = []
+    for frame, parts, key in writes:
+        found = {row.part: row["count"] for row in frame.groupBy(part(key, parts).alias("part")).count().collect()}
+        sizes += [found.get(n, 0) for n in range(parts)]
+    files = max(min(sizes) // _FILE_ROWS, 1)
+    for frame, parts, key in writes:
+        for n in range(parts):
+            frame.where(part(key, parts) == n).repartition(files).write.mode("append").parquet(folder)
     schema = writes[0][0].schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @check("stream_text_segments", f"WITH {a.SEGMENTS_SQL} SELECT asset_id, segment_id, ordinal, text FROM segments")

@@ -12,7 +12,7 @@ from cuesift.functions.paths import extension, file_kind, file_name, path_key
 from cuesift.functions.redact import redact_text, redact_value
 from cuesift.functions.formats import convert_script
 from cuesift.operators.trigram import gram_blocks, trigram_postings
-from cuesift.session import allow_text_decoding
+from cuesift.session import allow_text_decoding, deal
 from cuesift.sources.text import segment_texts
 from cuesift.sources.transcripts import segment_transcripts
 
@@ -133,7 +133,7 @@ def srt_round_trip(spark, sf_dir):
         F.lit("NOTE not spoken"),
         F.lit("nor this"),
     )
-    files = a.spread_table(spark, sf_dir, "events").select(
+    files = deal(a.table(spark, sf_dir, "events"), "event_id").select(
         F.col("event_id").alias("asset_id"), F.lit(".SRT").alias("ext"), content.alias("content")
     )
     return segment_texts(files).select("asset_id", "ordinal", "text", "start_ms", "end_ms")
@@ -172,7 +172,7 @@ def ass_round_trip(spark, sf_dir):
         ),
         F.lit("Dialogue: 0:00:00.00,0:00:00.00,Default,{\\p1}m 0 0 l 9 9{\\p0}"),
     )
-    files = a.spread_table(spark, sf_dir, "orders").select(
+    files = deal(a.table(spark, sf_dir, "orders"), "o_orderkey").select(
         key.alias("asset_id"), F.lit(".ass").alias("ext"), content.alias("content")
     )
     return segment_texts(files).select("asset_id", "ordinal", "text", "start_ms", "end_ms")

@@ -263,3 +263,28 @@ def test_keyed_state_passes_on_only_what_changes(spark, tmp_path):
     assert pick(job_states(spark, path)) == pick(newest_states(whole))
     stored = read_stamps(spark, path, schema).groupBy("stamp").count().collect()
     assert sorted(r["count"] for r in stored) == [1, 1, 2, 3]  # the third batch changed nothing
+
+
+def test_micro_batches_have_more_files_with_more_rows(spark, monkeypatch):
+    from checks import streams
+
+    monkeypatch.setattr(streams, "_FILE_ROWS", 10)
+    rows = spark.range(0, 300, 1, 2).withColumnRenamed("id", "doc_id")
+    seen = []
+
+    def look(batch, number):
+        found = batch.collect()
+        seen.append((len({r.file for r in found}), {r.doc_id for r in found}))
+
+    arriving = streams._arriving(spark, "texts", (rows, 2, "doc_id"), (rows, 3, "doc_id"))
+    arriving = arriving.select("doc_id", F.input_file_name().alias("file"))
+    arriving.writeStream.foreachBatch(look).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 5 and {n for n, _ in seen} != {1} and len({n for n, _ in seen}) == 1
+    assert sum(len(ids) for _, ids in seen[:2]) == sum(len(ids) for _, ids in seen[2:]) == 300
+
+
+def test_slow_rows_are_dealt_to_tasks(spark):
+    from cuesift.session import deal
+
+    rows = spark.range(0, 500, 1, 1)
+    assert deal(rows, "id", 10).rdd.getNumPartitions() == 50
