@@ -56,9 +56,13 @@ def _made_folder(spark, sf_dir):
         import pyarrow as pa
 
         store, inside = file_system(folder)
+        made = set()
         for batch in batches:
             for name, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
-                store.create_dir(f"{inside}{name.rpartition('/')[0]}", recursive=True)
+                place = name.rpartition("/")[0]
+                if place not in made:
+                    store.create_dir(f"{inside}{place}", recursive=True)
+                    made.add(place)
                 with store.open_output_stream(f"{inside}{name}") as out:
                     out.write((text or "").encode())
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
