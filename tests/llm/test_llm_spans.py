@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from cuesift.llm import personal, substrings
 from cuesift.llm.arrays import flat
-from cuesift.llm.lines import line_dedup, placed_lines, recurring_lines
+from cuesift.llm.lines import document_lines, line_dedup, placed_lines, recurring_lines
 from cuesift.llm.personal import FORMS, KINDS, base_spans, learned_patterns, mentions, personal_data, written
 
 
@@ -291,6 +291,30 @@ def test_recurring_lines_match_brute_force(spark, odd, empty):
     assert line_dedup(empty).collect() == []
 
 
+def test_lines_end_in_every_form(spark):
+    """CR, LF and CR LF end lines; lines without tokens have their places and stay."""
+    ends = ["\r", "\n", "\r\n", "\n\r", "\r\r\n", "\n\n"]
+    shared = ["the same words in all", " \t\x0b ", "read  more\tabout 12 towns today"]
+    rows = [(i, ends[i % 6] + ends[i % 6].join([f"own line {'abcdefghijkl'[i]} only", *shared]) + ends[i % 4]) for i in range(12)]
+    rows += [(20, ""), (21, "\r"), (22, "\x0b\r\n\x0c"), (23, shared[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = expected_lines(rows, 10, 0.8)
+    for r in line_dedup(docs, 10).collect():
+        text = dict(rows)[r.doc_id]
+        split = re.split(r"\r\n|\r|\n", text)
+        stay = want[r.doc_id, text]
+        assert (r.n_lines, r.n_dropped) == (len(split), len(split) - len(stay))
+        assert r.text == (text if len(stay) == len(split) else "\n".join(stay))
+
+
+def test_texts_are_split_and_lines_masked_once(spark, odd):
+    """Neither an inferred filter nor the one of empty lines does the work of the columns again."""
+    plan = document_lines(odd)._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [line for line in plan.split("\n") if line.strip()]
+    assert not any("Filter" in node and ("<*>" in node or "split(" in node) for node in nodes)
+    assert sum("<*>" in node for node in nodes) == 1
+
+
 def test_lines_of_one_document_and_of_numbers_stay(spark):
     """What is alike only inside a document, or only in being numbers, is no template."""
     draw = random.Random(5)
