@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ids import IdSet
 from ..session import stored
 from .arrays import LOWER, NOT_SPACE, flat, mix, row_key, shingles, slices, span_hashes, words
 from .components import components
@@ -27,6 +28,21 @@ SHORT_LIST = 32
 BLOCK_CLASSES = 256
 BLOCK_SHINGLES = 1 << 17
 
+# Bits of the hash under which keys are held as a bitmap: 2 MB in all.
+KEY_BITS = 24
+
+# Text bytes that a task makes shingles of at once.
+SLICE = 1 << 18
+
+
+def _spot(key: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - KEY_BITS)
+
+
+def _spots(keys: DataFrame) -> IdSet:
+    """The hashes of ``keys(key)``: other keys may share one, so what meets them is looked at again."""
+    return IdSet(keys.select(_spot("key").alias("__spot")), "__spot")
+
 
 def _row_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     """The distinct shingles of every text, sorted."""
@@ -50,7 +66,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, coordinates: int = COORDINA
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 sets = _row_sets(part.column("text"), size)
                 counts = np.array([len(s) for s in sets])
                 filled = counts > 0
@@ -85,17 +101,22 @@ def signatures(docs: DataFrame, size: int = SHINGLE, coordinates: int = COORDINA
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``class, shingles`` for ``wanted(key, class)``, from the whole texts."""
+    """``class, shingles`` for ``wanted(key, class)``, from the whole texts.
+
+    Texts that no class asks for are left out where they are read, so only
+    those of classes that can agree with another are shuffled.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 sets = [s.view(np.int64) for s in _row_sets(part.column("text"), size)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("class"), pa.array(sets, pa.list_(pa.int64()))], names=["class", "shingles"]
                 )
 
-    texts = docs.select(row_key().alias("key"), "text").join(wanted, "key").dropDuplicates(["class"])
+    texts = docs.select(row_key().alias("key"), "text").withColumn("__spot", _spot("key"))
+    texts = _spots(wanted).present_in(texts).drop("__spot").join(wanted, "key").dropDuplicates(["class"])
     return texts.select("class", "text").mapInArrow(cut, "class long, shingles array<long>")
 
 
@@ -357,10 +378,18 @@ def near_duplicates(
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, and every document without words."""
-    result = near_duplicates(docs, **options)
+    """One document of each component, and every document without words.
+
+    Rows that stay and are not repeated stay where they are read; only the
+    others are shuffled.
+    """
+    result = stored(near_duplicates(docs, **options).select("key", "stays"), "verdicts")
+    alone = (F.count(F.lit(1)) == 1) & F.max("stays")
+    doubtful = result.groupBy("key").agg(alone.alias("alone")).where(~F.col("alone"))
+    spots = _spots(doubtful)
     names = docs.columns
-    keyed = docs.withColumn("__key", row_key())
+    keyed = docs.withColumn("__key", row_key()).withColumn("__spot", _spot("__key"))
     stay = result.where("stays").select(F.col("key").alias("__key")).distinct()
-    kept = keyed.join(stay, "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in names])
+    kept = spots.present_in(keyed).join(stay, "__key", "left_semi").dropDuplicates(["__key"])
+    columns = [F.col(f"`{c}`") for c in names]
+    return spots.absent_from(keyed).select(*columns).unionByName(kept.select(*columns))

@@ -6,11 +6,12 @@ import re
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cuesift.llm import near_dedup
 from cuesift.llm.components import components
 from cuesift.llm.decontamination import contamination, uncontaminated
-from cuesift.llm.near_dedup import near_duplicates, without_near_duplicates
+from cuesift.llm.near_dedup import near_duplicates, shingle_sets, without_near_duplicates
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -92,6 +93,41 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert near_duplicates(empty).collect() == [] and without_near_duplicates(empty).collect() == []
 
 
+def shuffled_texts(frame):
+    """Rows with a text that the exchanges of a collected ``frame`` wrote."""
+
+    def walk(node):
+        below = node.children()
+        below = [node.plan()] if "QueryStage" in node.nodeName() else [below.apply(i) for i in range(below.size())]
+        wrote = 0
+        # half-made aggregates name a text first
+        if node.nodeName() == "Exchange" and re.search("text#|first#", node.output().toString()):
+            wrote = node.metrics().apply("shuffleRecordsWritten").value()
+        return wrote + sum(walk(x) for x in below)
+
+    return walk(frame._jdf.queryExecution().executedPlan().finalPhysicalPlan())
+
+
+def test_only_texts_that_are_asked_for_are_shuffled(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(300)]
+    rows += [(300, rows[7][1]), (9, rows[9][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = docs.where("doc_id IN (5, 9)").select(near_dedup.row_key().alias("key"), F.col("doc_id").alias("class"))
+    sets = shingle_sets(docs, wanted.distinct())
+    assert sorted((r["class"], len(r.shingles)) for r in sets.collect()) == [(5, 17), (9, 17)]
+    assert 0 < shuffled_texts(sets) <= 12
+    kept = without_near_duplicates(docs)
+    assert sorted(map(tuple, kept.collect())) == sorted(rows[:300])
+    assert 0 < shuffled_texts(kept) <= 12
+
+
+def test_keys_that_share_a_hash_are_told_apart(spark, odd, monkeypatch):
+    docs = spark.createDataFrame(copies(), "doc_id long, text string").repartition(4)
+    wide = [sorted(map(str, without_near_duplicates(d).collect())) for d in (docs, odd)]
+    monkeypatch.setattr(near_dedup, "KEY_BITS", 3)
+    assert [sorted(map(str, without_near_duplicates(d).collect())) for d in (docs, odd)] == wide
+
+
 def test_components_of_a_long_path(spark):
     links = [(i + 1, i) for i in range(40)] + [(100, 101), (7, 7), (200, 200)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
