@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from cuesift.operators.counting import count_matches
 from cuesift.operators.matching import match_terms
 from cuesift.operators.ranking import page_limit, result_page
 from cuesift.operators.terms import load_terms, normalize_queries
@@ -431,3 +432,24 @@ def test_compaction_ships_only_small_blocks(spark, tmp_path):
     assert merged.blocks().select("block").distinct().count() < index.blocks().select("stamp", "block").distinct().count()
     one_row = merged.blocks().groupBy("gram", "block").count()
     assert one_row.where("count > 1").isEmpty()
+
+
+def test_hits_reach_their_task_without_null_lists(spark, monkeypatch):
+    """Spark asks for a batch's size at each row, and after null lists it counts from the last list again."""
+    sent, kind = [], type(spark.range(0))
+    to_python = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: sent.append(self) or to_python(self, *a, **b))
+    terms = load_terms(normalize_queries(spark.createDataFrame([(1, "wolf ab"), (2, "fox")], "query_id long, query string")))
+    hits = [(asset, asset * 10 + n, "wolf", -1.0) for asset in range(20) for n in range(3)]
+    scored = spark.createDataFrame(hits, "asset_id long, segment_id long, folded string, score double")
+    pairs = spark.createDataFrame([(3, 30, "ab"), (50, 500, "ab")], "asset_id long, segment_id long, folded string")
+    labels = spark.createDataFrame(
+        [(2, 3, ["x"], 1), (1, 3, [], 0), (2, 60, None, 2), (1, 7, ["y", None], None)],
+        "query_id long, asset_id long, names array<string>, tier int",
+    )
+    got = {(r.query_id, r.asset_id): tuple(r)[2:] for r in count_matches(scored, pairs, labels, terms).collect()}
+    want = {(1, asset): (3, -1.0, None, None) for asset in range(20)}
+    want |= {(1, 3): (3, -1.0, [], 0), (2, 3): (None, None, ["x"], 1), (1, 7): (3, -1.0, ["y", None], None)}
+    assert got == want | {(2, 60): (None, None, None, 2), (1, 50): (1, None, None, None)}
+    rows = sent[-1].where("kind <> 0")
+    assert rows.count() == 62 and rows.where("label.names IS NULL").count() == 0
