@@ -34,6 +34,8 @@ BLOCK_SEGMENTS = 4096
 _TASK_CHARS = 1 << 22
 # Grams pushed into the scan of a stored index as literals.
 _PUSHED_GRAMS = 4096
+# Where an index that is made on the way keeps the texts dealt to its blocks.
+_DEALT = "_dealt_texts"
 # Bits of a character, and of a position inside a segment.
 _CHAR, _PLACE = 21, 32
 
@@ -93,7 +95,12 @@ def gram_blocks(segments: DataFrame, per_block: int = BLOCK_SEGMENTS) -> DataFra
         gram_count(F.col("text")).alias("n_grams"),
         F.lower("text").alias("low"),
     )
-    return rows.repartition(tasks, "block").groupBy("block").applyInArrow(_block_grams, BLOCKS)
+    dealt = rows.repartition(tasks, "block")
+    blocks = dealt.groupBy("block").applyInArrow(_block_grams, BLOCKS)
+    # a search of blocks that are not stored goes on in the tasks that make them; what is derived
+    # from this table is a table without the mark
+    vars(blocks)[_DEALT] = dealt
+    return blocks
 
 
 def trigram_postings(blocks: DataFrame) -> DataFrame:
@@ -324,20 +331,34 @@ def _shipped() -> list[Column]:
 HITS = "folded string, segment_id long, asset_id long, n_grams int, tf long"
 
 
-def _matches(rows: pa.Table, covers: dict[str, list[tuple[str, int]]]) -> pa.Table:
-    """Every term's occurrences in one block, from the block's rows of the grams asked for.
+def _shipped_entries(rows: pa.Table) -> tuple[dict[str, pa.Array], np.ndarray]:
+    """The entries of rows ``gram`` and ``_SHIPPED`` one after the other, and how many each row has."""
+    held = {name: rows.column(name).combine_chunks().flatten() for name in _SHIPPED}
+    return held, pc.list_value_length(rows.column("tf").combine_chunks()).to_numpy()
+
+
+def _block_entries(rows: pa.Table) -> tuple[dict[str, pa.Array], np.ndarray]:
+    """The same from rows of ``BLOCKS``."""
+    lists = rows.column("entries").combine_chunks()
+    entries = lists.flatten()
+    held = {name: entries.field(name) for name in _SHIPPED if name != "tf"}
+    held |= {"tf": pc.list_value_length(held["positions"]), "positions": held["positions"].flatten()}
+    return held, pc.list_value_length(lists).to_numpy()
+
+
+def _matches(
+    grams: list[str], held: dict[str, pa.Array], in_gram: np.ndarray, covers: dict[str, list[tuple[str, int]]]
+) -> pa.Table:
+    """Every term's occurrences in one block, from the block's entries of the grams asked for.
 
     A place is a segment's number and a position in one integer. The rarest gram
     of a term proposes starts; each other gram keeps those it stands right after.
     """
-    grams = rows.column("gram").to_pylist()
-    held = {name: rows.column(name).combine_chunks().flatten() for name in _SHIPPED}
     names, first, where = np.unique(
         held["segment_id"].to_numpy(False), return_index=True, return_inverse=True
     )
     sizes = held["tf"].to_numpy().astype(np.int64)
     places = (np.repeat(where, sizes) << _PLACE) | held["positions"].to_numpy().astype(np.int64)
-    in_gram = pc.list_value_length(rows.column("tf").combine_chunks()).to_numpy()
     last = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(in_gram))]
     lists = {gram: np.sort(places[a:b]) for gram, a, b in zip(grams, last[:-1], last[1:])}
     found = []
@@ -355,29 +376,40 @@ def _matches(rows: pa.Table, covers: dict[str, list[tuple[str, int]]]) -> pa.Tab
             found.append((folded, at, tf))
     at = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
     tf = np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.int64)
-    folded = [f[0] for f in found for _ in range(len(f[1]))]
+    term = np.repeat(np.arange(len(found)), np.array([len(f[1]) for f in found], np.int64))
+    folded = pa.array([f[0] for f in found], pa.string()).take(pa.array(term))
     take = pa.array(first[at])
     columns = [held[c].take(take) for c in ("segment_id", "asset_id", "n_grams")]
-    return pa.table([pa.array(folded, pa.string()), *columns, pa.array(tf.astype(np.int64))], [c.split()[0] for c in HITS.split(", ")])
+    return pa.table([folded, *columns, pa.array(tf.astype(np.int64))], [c.split()[0] for c in HITS.split(", ")])
 
 
 def phrase_hits(blocks: DataFrame, terms: Terms, *version: str) -> DataFrame:
     """``folded, segment_id, asset_id, n_grams, tf`` of every whole-term match.
 
     The index is read once, and the rows of a block meet in one task, which
-    finds all terms in them. No text is read. Terms too many to be sent to the
-    tasks meet the postings by joins instead. ``version`` names columns that
-    tell rows of one block apart and are kept.
+    finds all terms in them. No text is read. Blocks that ``gram_blocks`` is only
+    about to make are searched in the tasks that make them, so no posting leaves
+    its task. Terms too many to be sent to the tasks meet the postings by joins
+    instead. ``version`` names columns that tell rows of one block apart and are kept.
     """
     if not terms.few:
         return _joined_hits(trigram_postings(blocks), terms, *version)
     covers = {row.folded: cover_of(row.folded) for row in terms.rows}
     wanted = sorted({gram for cover in covers.values() for gram, _ in cover})
+    dealt = vars(blocks).get(_DEALT)
+    if dealt is not None:
+
+        def make_and_match(key: tuple, rows: pa.Table) -> pa.Table:
+            made = _block_grams(key, rows)
+            made = made.filter(pc.is_in(made.column("gram"), value_set=pa.array(wanted, pa.string())))
+            return _matches(made.column("gram").to_pylist(), *_block_entries(made), covers)
+
+        return dealt.groupBy("block").applyInArrow(make_and_match, HITS)
     named = F.broadcast(blocks.sparkSession.createDataFrame([(g,) for g in wanted], "gram string"))
     types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
 
     def match(key: tuple, rows: pa.Table) -> pa.Table:
-        found = _matches(rows, covers)
+        found = _matches(rows.column("gram").to_pylist(), *_shipped_entries(rows), covers)
         for name, value in zip(version, key[1:]):
             found = found.append_column(name, pa.array([value.as_py()] * len(found), value.type))
         return found

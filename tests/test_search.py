@@ -257,6 +257,16 @@ def test_phrases_read_the_postings_once(spark, small):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_blocks_are_searched_where_they_are_made(spark, small):
+    segments, few, _ = small
+    segments = segments.unionByName(segments.where("segment_id < 3"))  # rows that come twice
+    found = phrase_hits(gram_blocks(segments, 4), few.long())
+    # the texts go to their blocks, the postings nowhere
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    stored = phrase_hits(cut_lineage(gram_blocks(segments, 4)), few.long())
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, stored.collect()))
+
+
 def searched(index, query, spark):
     terms = load_terms(normalize_queries(one_query(spark, query))).long()
     return index.hits(terms), terms
