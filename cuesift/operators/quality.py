@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, fits_broadcast, salted_join
+from ..session import BROADCAST_ROWS, cut_lineage, fits_broadcast, salted_join
 
 # Segments whose tokens are met as bits at once.
 _BIT_ROWS = 2048
+# Pairs that a task gathers before it packs them by segment.
+_PAIRS = 1 << 20
+# Segments times terms that are compared at once.
+_CELLS = 1 << 22
 
 
 def missing_parents(name: str, child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -140,9 +145,153 @@ def recall_eval(
 ) -> DataFrame:
     """``method, folded, expected, returned, hit, recall`` against substring truth.
 
-    ``truth`` and each method are ``folded, segment_id`` pairs. All are stacked
-    and grouped by pair, so nothing is joined per method.
+    ``truth`` and each method are ``folded, segment_id`` pairs. All are stacked,
+    packed by segment as the numbers of their terms, and compared where the rows
+    of a segment meet; a pair crosses the network as two bytes at most. Terms too
+    many to be numbered on the driver are grouped pair by pair.
     """
+    wanted = terms.select("folded").distinct()
+    rows = wanted.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        counted = _joined_counts(truth, methods)
+    else:
+        counted = _packed_counts(truth, methods, sorted(row.folded for row in rows if row.folded is not None))
+    names = F.array(*[F.lit(name) for name in methods])
+    full = wanted.select("folded", F.explode(names).alias("method")).join(counted, ["method", "folded"], "left")
+    full = full.fillna(0, ["expected", "returned", "hit"])
+    return full.withColumn(
+        "recall",
+        F.when(F.col("expected") == 0, F.lit(1.0)).otherwise(F.col("hit") / F.col("expected")),
+    )
+
+
+def _packed_counts(truth: DataFrame, methods: dict[str, DataFrame], wanted: list[str]) -> DataFrame:
+    """``method, folded, expected, returned, hit`` of the terms ``wanted``.
+
+    Source 0 is the truth, the methods follow.
+    """
+    rows = truth.select("folded", "segment_id", F.lit(0).alias("source"))
+    for at, found in enumerate(methods.values(), 1):
+        rows = rows.unionByName(found.select("folded", "segment_id", F.lit(at).alias("source")))
+    kind = rows.schema["segment_id"].dataType.simpleString()
+    packed = rows.mapInArrow(_pack_terms(wanted), f"segment_id {kind}, source int, dense boolean, terms binary")
+    met = packed.repartition("segment_id").sortWithinPartitions("segment_id")
+    counted = met.mapInArrow(
+        _count_terms(wanted, list(methods)), "method string, folded string, expected long, returned long, hit long"
+    )
+    return counted.groupBy("method", "folded").agg(*[F.sum(c).alias(c) for c in ("expected", "returned", "hit")])
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """A number for each value of ``column``, null too, and the value of each number."""
+    coded = column.dictionary_encode(null_encoding="encode")
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def _pack_terms(wanted: list[str]) -> Callable:
+    """Rows ``segment_id, source, dense, terms`` of pairs ``folded, segment_id, source``.
+
+    The terms of a segment are bits where these are shorter, else numbers of two bytes.
+    """
+    width = -(-len(wanted) // 8)
+
+    def rows(pairs: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> Iterator[pa.RecordBatch]:
+        term, source = (np.concatenate([p[n] for p in pairs]).astype(np.int64) for n in (0, 1))
+        segment, ids = _codes(pa.chunked_array([p[2] for p in pairs]).combine_chunks())
+        place = ((source.max(initial=0) + 1) * segment + source) * len(wanted) + term
+        order = np.argsort(place, kind="stable")
+        order = order[np.append(True, np.diff(place[order]) != 0)]
+        term, group = term[order], place[order] // len(wanted)
+        first = np.flatnonzero(np.append(True, np.diff(group) != 0))
+        size = np.diff(np.append(first, len(term)))
+        for dense in (False, True):
+            chosen = np.flatnonzero((size * 2 > width) == dense)
+            step = max(_CELLS // len(wanted), 1) if dense else max(len(chosen), 1)
+            for begin in range(0, len(chosen), step):
+                some = chosen[begin : begin + step]
+                row = np.repeat(np.arange(len(some)), size[some])
+                at = np.arange(len(row)) + np.repeat(first[some] - (np.cumsum(size[some]) - size[some]), size[some])
+                if dense:
+                    bits = np.zeros((len(some), len(wanted)), bool)
+                    bits[row, term[at]] = True
+                    values, ends = np.packbits(bits, axis=1).reshape(-1), np.arange(len(some) + 1) * width
+                else:
+                    values = term[at].astype("<u2").view(np.uint8)
+                    ends = np.append(0, np.cumsum(size[some])) * 2
+                held = pa.Array.from_buffers(
+                    pa.binary(), len(some), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)]
+                )
+                of = order[first[some]]
+                columns = [ids.take(pa.array(segment[of])), pa.array(source[of].astype(np.int32))]
+                columns += [pa.array(np.full(len(some), dense)), held]
+                yield pa.RecordBatch.from_arrays(columns, ["segment_id", "source", "dense", "terms"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, pairs = pa.array(wanted, pa.string()), []
+        for batch in batches:
+            term = pc.index_in(batch.column("folded"), value_set=values)
+            known = pc.is_valid(term)
+            source = batch.column("source").filter(known).to_numpy()
+            pairs.append((term.filter(known).to_numpy(), source, batch.column("segment_id").filter(known)))
+            if sum(len(p[0]) for p in pairs) >= _PAIRS:
+                yield from rows(pairs)
+                pairs = []
+        if sum(len(p[0]) for p in pairs):
+            yield from rows(pairs)
+
+    return pack
+
+
+def _count_terms(wanted: list[str], methods: list[str]) -> Callable:
+    """Counts of a task by method and term, from rows of ``_pack_terms`` in the order of their segments."""
+    step = max(_CELLS // max(len(wanted), 1), 1)
+
+    def unpacked(terms: pa.Array, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and term of every pair."""
+        bits, few = np.flatnonzero(dense), np.flatnonzero(~dense)
+        joined = lambda at: b"".join(terms.take(pa.array(at)).to_pylist())
+        one = np.frombuffer(joined(bits), np.uint8).reshape(len(bits), -1 if len(bits) else 1)
+        row, term = np.nonzero(np.unpackbits(one, axis=1))
+        size = pc.binary_length(terms).to_numpy()[few] // 2
+        other = np.frombuffer(joined(few), "<u2")
+        return np.append(bits[row], np.repeat(few, size)), np.append(term, other)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expected = np.zeros(len(wanted), np.int64)
+        returned, hit = (np.zeros((len(methods), len(wanted)), np.int64) for _ in range(2))
+        rest = None
+        for batch in chain(batches, [None]):
+            parts = [b for b in (rest, batch) if b is not None and len(b)]
+            if not parts:
+                continue
+            rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            segment = _codes(rows.column("segment_id"))[0]
+            starts = np.flatnonzero(np.append(True, np.diff(segment) != 0))
+            # the last segment may go on
+            end = len(rows) if batch is None else int(starts[-1])
+            rest = rows.slice(end)
+            for a, b in pairwise([*starts[starts < end][::step].tolist(), end]):
+                some = rows.slice(a, b - a)
+                row, term = unpacked(some.column("terms"), some.column("dense").to_numpy(False))
+                within = np.cumsum(np.append(0, np.diff(segment[a:b]) != 0))
+                held = np.zeros((len(methods) + 1, within[-1] + 1, len(wanted)), bool)
+                held[some.column("source").to_numpy()[row], within[row], term] = True
+                expected += held[0].sum(axis=0)
+                for at in range(len(methods)):
+                    returned[at] += held[at + 1].sum(axis=0)
+                    hit[at] += (held[at + 1] & held[0]).sum(axis=0)
+        method = pa.array(np.repeat(methods, len(wanted)).tolist(), pa.string())
+        columns = [np.tile(expected, len(methods)), returned.reshape(-1), hit.reshape(-1)]
+        yield pa.RecordBatch.from_arrays(
+            [method, pa.array(wanted * len(methods), pa.string()), *map(pa.array, columns)],
+            ["method", "folded", "expected", "returned", "hit"],
+        )
+
+    return count
+
+
+def _joined_counts(truth: DataFrame, methods: dict[str, DataFrame]) -> DataFrame:
+    """The counts of all terms that stand in a pair, grouped pair by pair."""
     none = F.lit(None).cast("string")
     rows = truth.select("folded", "segment_id", none.alias("method"))
     for name, found in methods.items():
@@ -156,14 +305,8 @@ def recall_eval(
     judged = pairs.select("folded", "is_true", F.explode(F.arrays_zip(names.alias("method"), F.col("found_by").alias("found"))).alias("by"))
     judged = judged.select("folded", "is_true", "by.method", "by.found")
     found = F.col("found")
-    counted = judged.groupBy("method", "folded").agg(
+    return judged.groupBy("method", "folded").agg(
         F.sum(F.col("is_true").cast("long")).alias("expected"),
         F.sum(found.cast("long")).alias("returned"),
         F.sum((found & F.col("is_true")).cast("long")).alias("hit"),
     )
-    wanted = terms.select("folded").distinct().select("folded", F.explode(names).alias("method"))
-    full = wanted.join(counted, ["method", "folded"], "left").fillna(0, ["expected", "returned", "hit"])
-    return full.withColumn(
-        "recall",
-        F.when(F.col("expected") == 0, F.lit(1.0)).otherwise(F.col("hit") / F.col("expected")),
-    )

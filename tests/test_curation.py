@@ -1,5 +1,6 @@
 """Keywords, tags, results, statuses and quality checks."""
 
+import re
 from collections import Counter
 
 import pytest
@@ -334,3 +335,31 @@ def test_words_are_counted_in_the_task_of_their_asset(spark):
     segments = spark.createDataFrame([(a, o, "alpha beta") for a in range(5) for o in range(3)], "asset_id long, ordinal int, text string")
     plan = keywords.ngram_stats(segments, keywords.LETTERS)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("many", [False, True], ids=["packed", "joined"])
+def test_recall_is_counted_by_pair(spark, many, monkeypatch):
+    if many:
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", 2)
+    words = [f"w{n}" for n in range(40)]
+    pairs = {
+        "truth": [(w, s) for n, w in enumerate(words) for s in range(n % 7)] + [("w5", None)],
+        "all": [(w, s) for w in words for s in (*range(7), None)] + [("w3", 1), ("other", 2), (None, 1)],
+        "few": [("w1", 0), ("w1", 0), ("w2", 9)],
+        "none": [],
+    }
+    tables = {k: spark.createDataFrame(v, "folded string, segment_id long").repartition(3) for k, v in pairs.items()}
+    truth = tables.pop("truth")
+    asked = spark.createDataFrame([(w,) for w in [*words, "w0", None]], "folded string")
+    found = quality.recall_eval(truth, tables, asked)
+    want = []
+    for name in tables:
+        for word in [*words, None]:
+            true = {p for p in pairs["truth"] if word and p[0] == word}
+            held = {p for p in pairs[name] if word and p[0] == word}
+            want.append((name, word, len(true), len(held), len(true & held), len(true & held) / len(true) if true else 1.0))
+    got = found.select("method", "folded", "expected", "returned", "hit", "recall").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    # no pair is shuffled by itself
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert bool(re.search(r"hashpartitioning\(folded#\d+, segment_id", plan)) == many
