@@ -463,3 +463,26 @@ def test_hits_reach_their_task_without_null_lists(spark, monkeypatch):
     assert got == want | {(2, 60): (None, None, None, 2), (1, 50): (1, None, None, None)}
     rows = sent[-1].where("kind <> 0")
     assert rows.count() == 62 and rows.where("label.names IS NULL").count() == 0
+
+
+def test_hits_of_a_segment_reach_their_task_as_one_row(spark, monkeypatch):
+    sent, kind = [], type(spark.range(0))
+    to_python = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: sent.append(self) or to_python(self, *a, **b))
+    asked = spark.createDataFrame([(1, "wolf bear ab cd"), (2, "bear cd")], "query_id long, query string")
+    terms = load_terms(normalize_queries(asked))
+    # a row that comes twice, a term that nobody asks for, ids that are missing
+    hits = [(a, a * 10, t, s) for a in range(9) for t, s in (("wolf", -1.0), ("bear", -2.0), ("lynx", -9.0))]
+    hits += [(0, 0, "wolf", -1.0), (None, 70, "bear", -3.0), (None, None, "bear", -5.0)]
+    scored = spark.createDataFrame(hits, "asset_id long, segment_id long, folded string, score double").coalesce(1)
+    pairs = spark.createDataFrame(
+        [(a, a * 10 + n, t) for a in (3, 50) for n in (0, 1) for t in ("ab", "cd")],
+        "asset_id long, segment_id long, folded string",
+    ).coalesce(1)
+    labels = spark.createDataFrame([], "query_id long, asset_id long, names array<string>, tier int")
+    got = {(r.query_id, r.asset_id): (r.segment_hits, r.best_rank) for r in count_matches(scored, pairs, labels, terms).collect()}
+    want = {(query, a): (1, rank) for query, rank in ((1, -3.0), (2, -2.0)) for a in range(9)}
+    want |= {(1, 0): (1, -4.0), (1, 3): (2, -3.0), (2, 3): (2, -2.0), (1, 50): (2, None), (2, 50): (2, None)}
+    assert got == want | {(1, None): (2, -5.0), (2, None): (2, -5.0)}
+    # a row for each segment of the long and of the short terms, a row for each hit before
+    assert sent[-1].where("kind <> 0").count() == 9 + 2 + 4
