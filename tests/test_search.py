@@ -486,3 +486,21 @@ def test_hits_of_a_segment_reach_their_task_as_one_row(spark, monkeypatch):
     assert got == want | {(1, None): (2, -5.0), (2, None): (2, -5.0)}
     # a row for each segment of the long and of the short terms, a row for each hit before
     assert sent[-1].where("kind <> 0").count() == 9 + 2 + 4
+
+
+def test_short_hits_are_counted_in_the_task_of_their_asset(spark):
+    from cuesift.operators.recall import like_pairs, recall_like
+    from cuesift.operators.terms import QueryTerms
+    from cuesift.plans.search import _like_counts
+
+    rows = [(s, s // 4, "ab cd" if s % 3 else "ab") for s in range(40)] + [(2, 0, "cd"), (99, None, "ab"), (None, None, "ab")]
+    segments = spark.createDataFrame(rows, "segment_id long, asset_id long, text string")
+    asked = spark.createDataFrame([(n, f"{w} wolf") for n, w in enumerate(["ab", "cd", "ab cd", "xy"])], "query_id long, query string")
+    terms = load_terms(normalize_queries(asked))
+    for some in (terms, QueryTerms(terms.table, None)):
+        want = recall_like(segments, some).groupBy("query_id", "asset_id").count()
+        got = _like_counts(like_pairs(segments, some.short()), some)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+        # where the terms are few, segments returned to their queries are not shuffled
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("hashpartitioning(query_id" in plan) == (some.rows is None)
