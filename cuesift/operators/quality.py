@@ -170,12 +170,14 @@ def _packed_counts(truth: DataFrame, methods: dict[str, DataFrame], wanted: list
 
     Source 0 is the truth, the methods follow.
     """
-    rows = truth.select("folded", "segment_id", F.lit(0).alias("source"))
-    for at, found in enumerate(methods.values(), 1):
-        rows = rows.unionByName(found.select("folded", "segment_id", F.lit(at).alias("source")))
-    kind = rows.schema["segment_id"].dataType.simpleString()
-    packed = rows.mapInArrow(_pack_terms(wanted), f"segment_id {kind}, source int, dense boolean, terms binary")
-    met = packed.repartition("segment_id").sortWithinPartitions("segment_id")
+
+    def packed(found: DataFrame, source: int) -> DataFrame:
+        kind = found.schema["segment_id"].dataType.simpleString()
+        form = f"segment_id {kind}, source int, dense boolean, terms binary"
+        return found.select("folded", "segment_id").mapInArrow(_pack_terms(wanted, source), form)
+
+    rows = reduce(DataFrame.unionByName, [packed(found, at) for at, found in enumerate([truth, *methods.values()])])
+    met = rows.repartition("segment_id").sortWithinPartitions("segment_id")
     counted = met.mapInArrow(
         _count_terms(wanted, list(methods)), "method string, folded string, expected long, returned long, hit long"
     )
@@ -188,17 +190,17 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
-def _pack_terms(wanted: list[str]) -> Callable:
-    """Rows ``segment_id, source, dense, terms`` of pairs ``folded, segment_id, source``.
+def _pack_terms(wanted: list[str], source: int) -> Callable:
+    """Rows ``segment_id, source, dense, terms`` of pairs ``folded, segment_id``.
 
     The terms of a segment are bits where these are shorter, else numbers of two bytes.
     """
     width = -(-len(wanted) // 8)
 
-    def rows(pairs: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> Iterator[pa.RecordBatch]:
-        term, source = (np.concatenate([p[n] for p in pairs]).astype(np.int64) for n in (0, 1))
-        segment, ids = _codes(pa.chunked_array([p[2] for p in pairs]).combine_chunks())
-        place = ((source.max(initial=0) + 1) * segment + source) * len(wanted) + term
+    def rows(pairs: list[tuple[np.ndarray, pa.Array]]) -> Iterator[pa.RecordBatch]:
+        term = np.concatenate([p[0] for p in pairs]).astype(np.int64)
+        segment, ids = _codes(pa.chunked_array([p[1] for p in pairs]).combine_chunks())
+        place = segment * len(wanted) + term
         order = np.argsort(place, kind="stable")
         order = order[np.append(True, np.diff(place[order]) != 0)]
         term, group = term[order], place[order] // len(wanted)
@@ -222,7 +224,7 @@ def _pack_terms(wanted: list[str]) -> Callable:
                     pa.binary(), len(some), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)]
                 )
                 of = order[first[some]]
-                columns = [ids.take(pa.array(segment[of])), pa.array(source[of].astype(np.int32))]
+                columns = [ids.take(pa.array(segment[of])), pa.array(np.full(len(some), source, np.int32))]
                 columns += [pa.array(np.full(len(some), dense)), held]
                 yield pa.RecordBatch.from_arrays(columns, ["segment_id", "source", "dense", "terms"])
 
@@ -231,8 +233,7 @@ def _pack_terms(wanted: list[str]) -> Callable:
         for batch in batches:
             term = pc.index_in(batch.column("folded"), value_set=values)
             known = pc.is_valid(term)
-            source = batch.column("source").filter(known).to_numpy()
-            pairs.append((term.filter(known).to_numpy(), source, batch.column("segment_id").filter(known)))
+            pairs.append((term.filter(known).to_numpy(), batch.column("segment_id").filter(known)))
             if sum(len(p[0]) for p in pairs) >= _PAIRS:
                 yield from rows(pairs)
                 pairs = []
